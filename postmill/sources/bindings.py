@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FIRST_WORDS = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
 SECOND_WORDS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -19,8 +20,15 @@ TABLES = (
 ).split()
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One given table; its footer is read once per process to learn the schema."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def _word(name: str) -> Column:
@@ -99,8 +107,8 @@ def _columns() -> dict[str, tuple[str, Column]]:
         # a part name is always two words, so two skill flags are set
         "tech_stack_size": ("part", F.col("p_size") % 12 + 2),
         "quantity": ("lineitem", F.col("l_quantity")),
-        "published_at": ("orders", F.col("o_orderdate")),
-        "scraped_at": ("lineitem", F.col("l_shipdate")),
+        "published_at": ("orders", F.col("o_orderdate").cast("timestamp")),
+        "scraped_at": ("lineitem", F.col("l_shipdate").cast("timestamp")),
         "day": ("lineitem", F.col("l_shipdate").cast("date")),
         **flags,
     }
