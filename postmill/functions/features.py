@@ -73,7 +73,7 @@ def geography(city: Column, area: Column) -> Column:
         first_match([(area == k, v[i]) for k, v in AREA_DEFAULTS.items()], "unknown") for i in range(3)
     ]
     country = first_match([(contains_any(lowered, words), c) for c, words in COUNTRY_WORDS], defaults[0])
-    collapsed = F.trim(F.regexp_replace(raw, r"[\s ]+", " "))
+    collapsed = F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))
     shown = F.when(collapsed != "", F.substring(collapsed, 1, 100)).otherwise("unknown")
     fallback = F.when(defaults[2] == "unknown", shown).otherwise(defaults[2])
     cases = [(lowered == "", place(*defaults))]

@@ -266,3 +266,11 @@ def dataset_warning(meta: DataFrame, as_of: Column, stale_days: int = 30) -> Dat
         F.when(F.coalesce("date_semantics_status", F.lit("")) != "passed", F.lit("date_semantics_not_passed")),
         F.when(F.col("updated_at").isNull() | (age > stale_days), F.lit("stale")),
     ))
+
+
+def domain_priorities(df: DataFrame) -> DataFrame:
+    """Domain flags by number of true rows, from one aggregate."""
+    names = sorted(prefixed_flags(df, "domain_"))
+    entries = F.array(*[F.struct(F.lit(c).alias("domain"), F.sum(flag_int(c)).alias("count")) for c in names])
+    long = df.agg(entries.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    return long.orderBy(F.desc("count"), "domain")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "market", "stats", "cleaning",
+    "market", "stats", "cleaning", "features", "text",
 )
 
 

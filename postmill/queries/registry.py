@@ -13,6 +13,7 @@ from postmill.sources import bindings
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+MODULE_OF: dict[str, str] = {}
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in SPARK:
             raise ValueError(f"duplicate query {name}")
+        MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         SPARK[name] = lambda spark, sf_dir: tidy(fn(Tables(spark, sf_dir)))
         if sql is not None:
             SQL[name] = with_views(sql)

@@ -56,7 +56,8 @@ if __name__ == "__main__":
 
     load()
     sf = "/root/testdata/sf0.01"
-    wanted = [n for n in registry.SPARK if not sys.argv[1:] or any(a in n for a in sys.argv[1:])]
+    asked = sys.argv[1:]
+    wanted = [n for n in registry.SPARK if not asked or n in asked or registry.MODULE_OF[n] in asked]
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
