@@ -142,20 +142,22 @@ def segment_summary_from_view(view: DataFrame, filters: Mapping[str, object]) ->
 def segment_summary_from_postings(df: DataFrame, filters: Mapping[str, object], small: int = 5) -> DataFrame:
     """E5: the same summary recomputed from posting rows, for work-mode filters."""
     salary = require(df, "salary_mid_rub_capped", "salary_mid_rub", "salary_mid")
-    part = apply_filters(df, filters).withColumn("_salary", salary_metric(df, salary))
+    part = apply_filters(df, filters)
+    remote = F.col("work_mode") == "remote" if "work_mode" in df.columns else F.col("is_remote")
     stats = part.agg(
         F.count(F.lit(1)).alias("vacancy_count"),
-        F.count("_salary").alias("salary_sample_size"),
-        F.avg(flag_int("is_junior_friendly")).alias("junior_friendly_share"),
-        F.avg(flag_int("is_remote")).alias("remote_share"),
+        F.count(salary).alias("salary_sample_size"),
+        F.avg(F.col("is_junior_friendly").cast("int")).alias("junior_friendly_share"),
+        F.avg(remote.cast("int")).alias("remote_share"),
         scope_label(F.col("geo_scope")).alias("geo_scope"),
     )
-    out = with_many_quantiles(stats, part, [], {"_salary": SALARY_QUANTILES, "tech_stack_size": STACK_QUANTILES})
+    out = with_many_quantiles(stats, part, [], {salary: SALARY_QUANTILES, "tech_stack_size": STACK_QUANTILES})
     coverage = F.when(F.col("vacancy_count") > 0, F.col("salary_sample_size") / F.col("vacancy_count"))
     return out.withColumns({
         "salary_coverage_share": coverage,
         "confidence": market_confidence(F.col("vacancy_count"), F.col("salary_sample_size"), coverage),
-        "warning": F.when(F.col("vacancy_count") < small, F.lit("few postings in the segment")),
+        "warning": F.when(F.col("vacancy_count") == 0, "empty segment")
+        .when(F.col("vacancy_count") < small, "few postings in the segment"),
     })
 
 
@@ -258,13 +260,12 @@ def dataset_scope(df: DataFrame) -> DataFrame:
     )
 
 
-def dataset_warning(meta: DataFrame, as_of: Column, stale_days: int = 30) -> DataFrame:
-    """The first problem of a dataset, or NULL."""
-    age = (F.unix_micros(as_of) - F.unix_micros("updated_at")) / 86_400_000_000
+def dataset_warning(meta: DataFrame, as_of: Column) -> DataFrame:
+    """The first problem of a dataset, or NULL; a status that was never set is no problem."""
     return meta.withColumn("dataset_warning", F.coalesce(
-        F.when(F.coalesce("quality_status", F.lit("")) != "passed", F.lit("quality_not_passed")),
-        F.when(F.coalesce("date_semantics_status", F.lit("")) != "passed", F.lit("date_semantics_not_passed")),
-        F.when(F.col("updated_at").isNull() | (age > stale_days), F.lit("stale")),
+        F.when(F.col("quality_status") != "passed", F.lit("quality_not_passed")),
+        F.when(F.col("date_semantics_status") != "passed", F.lit("date_semantics_not_passed")),
+        F.when(freshness(F.col("updated_at"), as_of) == "stale", F.lit("stale")),
     ))
 
 

@@ -27,14 +27,11 @@ def sql_any(column, words):
 SALARY_FORMS = ["от {a} до {b} руб. на руки", "от {a} ₽ до вычета налогов", "до {b} USD", "{a} – {b} EUR", "{a} KZT", "по договорённости"]
 
 
-@query("salary_text", """SELECT o_orderkey,
-  CASE k WHEN 0 THEN a WHEN 1 THEN NULL WHEN 3 THEN a WHEN 4 THEN a END AS salary_from,
-  CASE k WHEN 0 THEN b WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN b END AS salary_to,
+@query("salary_text", """SELECT o_orderkey, CASE WHEN k IN (0, 1, 3, 4) THEN a END AS salary_from,
+  CASE WHEN k IN (0, 2, 3) THEN b END AS salary_to,
   CASE k WHEN 0 THEN 'RUB' WHEN 1 THEN 'RUB' WHEN 2 THEN 'USD' WHEN 3 THEN 'EUR' WHEN 4 THEN 'KZT' END AS currency,
   CASE k WHEN 0 THEN false WHEN 1 THEN true END AS salary_gross
-  FROM (SELECT o_orderkey, o_orderkey % 6 AS k, 1000 * (o_custkey + 1) + 7 AS a, 2000 * (o_custkey + 1) AS b FROM orders)
-  """.replace("WHEN 1 THEN NULL WHEN 3", "WHEN 3").replace("WHEN 1 THEN a WHEN 2 THEN b", "WHEN 2 THEN b")
-  .replace("CASE k WHEN 0 THEN a WHEN 3", "CASE k WHEN 0 THEN a WHEN 1 THEN a WHEN 3"))
+  FROM (SELECT o_orderkey, o_orderkey % 6 AS k, 1000 * (o_custkey + 1) + 7 AS a, 2000 * (o_custkey + 1) AS b FROM orders)""")
 def _(t):
     a, b = 1000 * (F.col("o_custkey") + 1) + 7, 2000 * (F.col("o_custkey") + 1)
 
