@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "market", "stats", "cleaning", "features", "text", "persona", "trends", "gates", "deltas",
+    "market", "stats", "cleaning", "features", "text", "persona", "trends", "gates", "deltas", "product", "matching", "sources",
 )
 
 
