@@ -119,7 +119,8 @@ def annotate_points(points: DataFrame, history: DataFrame, role: str, grade: str
 
 def iso_week(value: Column) -> Column:
     """ISO year and week as text, e.g. 2026-W21."""
-    return F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), value).cast("int"), F.weekofyear(value))
+    week = F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), value).cast("int"), F.weekofyear(value))
+    return F.when(value.isNotNull(), week)
 
 
 def forward_window_readiness(runs: DataFrame, as_of: Column, min_weeks: int = 8) -> DataFrame:

@@ -59,9 +59,9 @@ def _(t):
     def write(df):
         df.repartition("date").write.mode("append").partitionBy("date").parquet(source)
 
-    # three schemas over time: whole quantities, text quantities, one more column
-    write(rows.where("day < DATE '1998-02-01'").select("vacancy_id", F.col("quantity").cast("int").alias("quantity"), day))
-    write(rows.where("day >= DATE '1998-02-01' AND day < DATE '1998-03-01'").select("vacancy_id", F.col("quantity").cast("string").alias("quantity"), day))
+    # schemas change over time: whole quantities, text quantities within the same month, one more column
+    write(rows.where("day < DATE '1998-02-10'").select("vacancy_id", F.col("quantity").cast("int").alias("quantity"), day))
+    write(rows.where("day >= DATE '1998-02-10' AND day < DATE '1998-03-01'").select("vacancy_id", F.col("quantity").cast("string").alias("quantity"), day))
     write(rows.where("day >= DATE '1998-03-01'").select("vacancy_id", "quantity", "work_mode", day))
     postings.compact_monthly(t.spark, source, target)
     assert postings.compact_monthly(t.spark, source, target) == []  # existing months are skipped

@@ -118,28 +118,45 @@ def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     return sorted(str(r[0]) for r in table.select(F.col(column).cast("string")).distinct().collect())
 
 
+def _same_schema_days(spark: SparkSession, source: str, days: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
+    """(schema, days) groups that one reader can take; only footers are read.
+
+    Days whose schemas merge stay together. Only a month with conflicting types
+    is looked at day by day.
+    """
+    paths = [f"{source}/date={d}" for d in days]
+    try:
+        return [(spark.read.option("mergeSchema", True).parquet(*paths).schema, list(days))]
+    except Exception as e:  # the conflict arrives as an untyped JVM error
+        if "CANNOT_MERGE_SCHEMAS" not in str(e):
+            raise
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for d, path in zip(days, paths):
+        schema = spark.read.parquet(path).schema
+        groups.setdefault(schema.json(), (schema, []))[1].append(d)
+    return list(groups.values())
+
+
 def compact_monthly(spark: SparkSession, source: str, target: str, months: Sequence[str] | None = None) -> list[str]:
     """A4: daily partitions to one partition per month; months that exist are skipped.
 
-    Days that share a schema are read together; within a month the rows of a day
-    stay together, so a month is written by as many tasks as it has days.
+    Within a month the rows of a day stay together, so a month is written by as
+    many tasks as it has days.
     """
     days = partition_values(spark, source, "date")
     done = set(partition_values(spark, target, "month"))
     wanted = [d for d in days if (months is None or d[:7] in months) and d[:7] not in done]
     if not wanted:
         return []
-    by_schema: dict[str, list[str]] = {}
-    schemas: dict[str, T.StructType] = {}
-    for d in wanted:  # footers only
-        schema = spark.read.parquet(f"{source}/date={d}").schema
-        by_schema.setdefault(schema.json(), []).append(d)
-        schemas.setdefault(schema.json(), schema)
-    types = unified_schema(list(schemas.values()))
+    by_month: dict[str, list[str]] = {}
+    for d in wanted:
+        by_month.setdefault(d[:7], []).append(d)
+    parts = [part for days in by_month.values() for part in _same_schema_days(spark, source, days)]
+    types = unified_schema([schema for schema, _ in parts])
     frames = [
-        spark.read.option("basePath", source).schema(T.StructType([*schemas[k].fields, T.StructField("date", T.StringType())]))
-        .parquet(*[f"{source}/date={d}" for d in ds])
-        for k, ds in by_schema.items()
+        spark.read.option("basePath", source).schema(T.StructType([*schema.fields, T.StructField("date", T.StringType())]))
+        .parquet(*[f"{source}/date={d}" for d in days])
+        for schema, days in parts
     ]
     rows = union_with_schema(frames, {**types, "date": "string"}).withColumn("month", F.substring("date", 1, 7))
     (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -55,7 +56,7 @@ if __name__ == "__main__":
     from postmill.session import local_session
 
     load()
-    sf = "/root/testdata/sf0.01"
+    sf = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.01")
     asked = sys.argv[1:]
     wanted = [n for n in registry.SPARK if not asked or n in asked or registry.MODULE_OF[n] in asked]
     spark = local_session("8")
