@@ -46,9 +46,9 @@ def add_time_features(df: DataFrame, published: str = "published_at_iso", scrape
     })
 
 
-def city_tier(city: Column) -> Column:
-    """C2."""
-    name = F.lower(city)
+def city_tier(city: Column, lowered: Column | None = None) -> Column:
+    """C2; ``lowered`` may be a column that already holds the lower-cased city."""
+    name = F.lower(city) if lowered is None else lowered
     return first_match([
         (city.isNull(), "unknown"),
         (contains_any(name, MOSCOW_WORDS), "Moscow"),
@@ -59,28 +59,45 @@ def city_tier(city: Column) -> Column:
 
 
 def add_city_tier(df: DataFrame, city: str = "city") -> DataFrame:
-    return df.withColumn("city_tier", city_tier(_col_or_null(df, city, "string")))
+    raw = _col_or_null(df, city, "string")
+    # lower-cased once per row, as a column of its own
+    lowered = df.withColumn("_lower", F.lower(raw))
+    return lowered.withColumn("city_tier", city_tier(raw, F.col("_lower"))).drop("_lower")
 
 
-def geography(city: Column, area: Column) -> Column:
-    """struct(country, region, city) by alias, else country word over the area default."""
-    def place(country: Column, region: Column, name: Column) -> Column:
-        return F.struct(country.alias("country"), region.alias("region"), name.alias("city_normalized"))
+def _picked(index: Column, values: Sequence[str], otherwise: Column) -> Column:
+    """Value by 1-based index, 0 taking ``otherwise``."""
+    return F.when(index > 0, F.element_at(F.array(*[F.lit(v) for v in values]), index)).otherwise(otherwise)
 
-    raw = F.coalesce(F.trim(city), F.lit(""))
-    lowered = F.lower(raw)
-    defaults = [
-        first_match([(area == k, v[i]) for k, v in AREA_DEFAULTS.items()], "unknown") for i in range(3)
-    ]
-    country = first_match([(contains_any(lowered, words), c) for c, words in COUNTRY_WORDS], defaults[0])
-    collapsed = F.trim(F.regexp_replace(raw, r"(?U)\s+", " "))
+
+def _rule_index(lowered: Column, words: Sequence[Sequence[str]]) -> Column:
+    """Number of the first rule one of whose words occurs, 0 for none."""
+    return first_match([(contains_any(lowered, ws), F.lit(i)) for i, ws in enumerate(words, 1)], F.lit(0))
+
+
+def add_places(df: DataFrame, city: Column, area: Column) -> DataFrame:
+    """Country, region and city by alias, else country word over the area default.
+
+    The word rules run once per row and leave an index; names are looked up by it.
+    """
+    areas = list(AREA_DEFAULTS)
+    df = df.withColumn("_raw", F.coalesce(F.trim(city), F.lit(""))).withColumn("_lower", F.lower("_raw"))
+    df = df.withColumns({
+        "_alias": _rule_index(F.col("_lower"), [a[3] for a in CITY_ALIASES]),
+        "_area": first_match([(area == k, F.lit(i)) for i, k in enumerate(areas, 1)], F.lit(0)),
+    })
+    by_word = F.when(F.col("_alias") == 0, _rule_index(F.col("_lower"), [ws for _, ws in COUNTRY_WORDS])).otherwise(0)
+    df = df.withColumn("_word", by_word)
+    defaults = [_picked(F.col("_area"), [AREA_DEFAULTS[k][i] for k in areas], F.lit("unknown")) for i in range(3)]
+    collapsed = F.trim(F.regexp_replace(F.col("_raw"), r"(?U)\s+", " "))
     shown = F.when(collapsed != "", F.substring(collapsed, 1, 100)).otherwise("unknown")
-    fallback = F.when(defaults[2] == "unknown", shown).otherwise(defaults[2])
-    cases = [(lowered == "", place(*defaults))]
-    cases += [
-        (contains_any(lowered, words), place(F.lit(c), F.lit(r), F.lit(n))) for c, r, n, words in CITY_ALIASES
-    ]
-    return first_match(cases, place(country, defaults[1], fallback))
+    named = F.when(defaults[2] == "unknown", shown).otherwise(defaults[2])
+    country = _picked(F.col("_word"), [c for c, _ in COUNTRY_WORDS], defaults[0])
+    return df.withColumns({
+        "country": _picked(F.col("_alias"), [a[0] for a in CITY_ALIASES], country),
+        "region": _picked(F.col("_alias"), [a[1] for a in CITY_ALIASES], defaults[1]),
+        "city_normalized": _picked(F.col("_alias"), [a[2] for a in CITY_ALIASES], named),
+    }).drop("_raw", "_lower", "_alias", "_area", "_word")
 
 
 def geo_scope(work_mode: Column, is_remote: Column, is_hybrid: Column) -> Column:
@@ -95,16 +112,12 @@ def geo_scope(work_mode: Column, is_remote: Column, is_hybrid: Column) -> Column
 
 def add_geography(df: DataFrame, city: str = "city", area: str = "search_area_id") -> DataFrame:
     """C3 and C4."""
-    place = geography(_col_or_null(df, city, "string"), F.expr(f"try_cast({area} AS int)") if area in df.columns
-                      else F.lit(None).cast("int"))
+    area_id = F.col(area).try_cast("int") if area in df.columns else F.lit(None).cast("int")
     scope = geo_scope(
         _col_or_null(df, "work_mode", "string"), _col_or_null(df, "is_remote", "boolean"),
         _col_or_null(df, "is_hybrid", "boolean"),
     )
-    df = df.withColumn("_place", place).withColumns({
-        "country": F.col("_place.country"), "region": F.col("_place.region"),
-        "city_normalized": F.col("_place.city_normalized"), "geo_scope": scope,
-    }).drop("_place")
+    df = add_places(df, _col_or_null(df, city, "string"), area_id).withColumn("geo_scope", scope)
     return df.withColumn("remote_geo_eligible", F.col("geo_scope").isin("remote", "mixed"))
 
 

@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.columns import (
-    GRADE_COLUMNS, SALARY_COLUMNS, first_existing, flag_int, market_skills, skill_label,
+    GRADE_COLUMNS, SALARY_COLUMNS, first_existing, flag_int, market_skills, prefixed_flags, skill_label,
 )
 from postmill.functions.fixed_values import NOT_HARD_SKILLS
 from postmill.operators.market import market_confidence, salary_metric
 from postmill.operators.quantiles import quantiles_of_counts
+from postmill.session import materialize
 
 MIN_MARKET_ROWS = 80
 SALARY_QUANTILES = {"salary_median": 0.5, "salary_q25": 0.25, "salary_q75": 0.75}
@@ -107,21 +108,17 @@ def _columns(dims: Sequence[Dimension]) -> list[str]:
     return list(dict.fromkeys(d.column for d in dims if d.present))
 
 
-def relax_filters(
-    df: DataFrame, personas: DataFrame, constraints: Mapping[str, str] | None = None
-) -> DataFrame:
-    """Chosen segment per persona.
+def _combinations(df: DataFrame, dims: Sequence[Dimension], aggregates: Mapping[str, Column] | None = None) -> DataFrame:
+    """Postings per combination of target dimensions; their number does not follow the postings."""
+    extra = [c.alias(n) for n, c in (aggregates or {}).items()]
+    return df.groupBy(*_columns(dims)).agg(F.count(F.lit(1)).alias("_rows"), *extra)
 
-    Columns: persona_id, min_market_n, market_n, relaxed_filters, filters_used,
-    warnings and ``_key``, the segment the persona is read from.
-    """
-    dims = _dimensions(df, constraints or {})
-    personas = _with_targets(personas, dims)
+
+def _choose(combos: DataFrame, personas: DataFrame, dims: Sequence[Dimension]) -> tuple[DataFrame, list[int]]:
+    """Chosen segment per persona, and the masks in use."""
     levels = _levels(personas, dims)
     masks = _masks_in_use(levels)
-    columns = _columns(dims)
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = _roll_up(counted, dims, masks).groupBy("_key").agg(F.sum("_n").alias("_n"))
+    sizes = _roll_up(combos.select(*_columns(dims), "_rows"), dims, masks).groupBy("_key").agg(F.sum("_rows").alias("_n"))
     sized = levels.join(sizes, "_key", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     enough = F.col("_n") >= F.col("min_market_n")
     # at most |dimensions| + 1 rows per persona
@@ -150,20 +147,31 @@ def relax_filters(
         F.when(F.size("relaxed_filters") > 0, "filters_relaxed"),
         F.when(F.array_contains("relaxed_filters", grade), "grade_filter_relaxed"),
     ))
-    return chosen.withColumn("relaxed_filters", relaxed).select(
+    segments = chosen.withColumn("relaxed_filters", relaxed).select(
         "persona_id", "min_market_n", F.col("_n").alias("market_n"), "relaxed_filters",
         used.alias("filters_used"), warnings.alias("warnings"), "_key",
     )
+    return segments, masks
+
+
+def relax_filters(
+    df: DataFrame, personas: DataFrame, constraints: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Chosen segment per persona.
+
+    Columns: persona_id, min_market_n, market_n, relaxed_filters, filters_used,
+    warnings and ``_key``, the segment the persona is read from.
+    """
+    dims = _dimensions(df, constraints or {})
+    return _choose(_combinations(df, dims), _with_targets(personas, dims), dims)[0]
 
 
-def _segment_flags(
-    df: DataFrame, dims: Sequence[Dimension], chosen: DataFrame, masks: Sequence[int], aggregates: Mapping[str, Column],
-    roll: Mapping[str, str],
+def _per_segment(
+    combos: DataFrame, dims: Sequence[Dimension], segments: DataFrame, masks: Sequence[int], roll: Mapping[str, str]
 ) -> DataFrame:
-    """Aggregates per chosen segment: per dimension combination first, then per masked key."""
-    base = df.groupBy(*_columns(dims)).agg(*[c.alias(n) for n, c in aggregates.items()])
-    wanted = chosen.select("_key").distinct()
-    rolled = _roll_up(base, dims, masks).join(wanted, "_key", "left_semi")
+    """Combination aggregates rolled up to the chosen segments; ``roll`` is column -> sum, min or max."""
+    wanted = segments.select("_key").distinct()
+    rolled = _roll_up(combos.select(*_columns(dims), *roll), dims, masks).join(wanted, "_key", "left_semi")
     return rolled.groupBy("_key").agg(*[F.expr(f"{how}({n})").alias(n) for n, how in roll.items()])
 
 
@@ -173,13 +181,16 @@ def demand_skills(df: DataFrame, skills: Sequence[str] | None = None) -> list[st
     return sorted(c for c in market_skills(df) if c not in NOT_HARD_SKILLS)
 
 
+def _flag_sums(skills: Sequence[str]) -> dict[str, Column]:
+    return {f"_s{i}": F.sum(flag_int(c)) for i, c in enumerate(skills)}
+
+
 def _demand(
-    df: DataFrame, personas: DataFrame, segments: DataFrame, dims: Sequence[Dimension], masks: Sequence[int],
+    df: DataFrame, combos: DataFrame, personas: DataFrame, segments: DataFrame, dims: Sequence[Dimension], masks: Sequence[int],
     skills: Sequence[str], min_share: float,
 ) -> DataFrame:
-    names = {f"s{i}": c for i, c in enumerate(skills)}
-    sums = {"_rows": F.count(F.lit(1)), **{k: F.sum(flag_int(c)) for k, c in names.items()}}
-    flags = _segment_flags(df, dims, segments, masks, sums, {k: "sum" for k in sums})
+    names = {f"_s{i}": c for i, c in enumerate(skills)}
+    flags = _per_segment(combos, dims, segments, masks, dict.fromkeys(["_rows", *names], "sum"))
     entries = F.array(*[
         F.struct(F.lit(c).alias("skill_name"), (F.col(k) / F.col("_rows")).alias("market_share"))
         for k, c in names.items()
@@ -187,26 +198,32 @@ def _demand(
     per_segment = flags.select("_key", F.explode(entries).alias("e")).select("_key", "e.*")
     per_segment = per_segment.where(F.col("market_share") >= min_share)
     out = segments.select("persona_id", "_key").join(per_segment, "_key").drop("_key")
+    usual = F.col("skill_name").isin(*demand_skills(df)) if any(c not in demand_skills(df) for c in skills) else F.lit(True)
     if "skill_whitelist" in personas.columns:
-        lists = personas.select("persona_id", F.filter(
-            "skill_whitelist", lambda s: s.isin(*[c for c in df.columns if c.startswith(("skill_", "has_"))])
-        ).alias("_allowed"))
-        out = out.join(lists, "persona_id").where(
-            F.coalesce(F.size("_allowed") <= 0, F.lit(True)) | F.array_contains("_allowed", F.col("skill_name"))
+        known = F.filter("skill_whitelist", lambda s: s.isin(*skills))
+        out = out.join(personas.select("persona_id", known.alias("_allowed")), "persona_id").where(
+            F.when(F.coalesce(F.size("_allowed"), F.lit(0)) > 0, F.array_contains("_allowed", F.col("skill_name"))).otherwise(usual)
         ).drop("_allowed")
     return out
 
 
+def _skills_for(df: DataFrame, personas: DataFrame, skills: Sequence[str] | None) -> list[str]:
+    """Flags to count; a whitelist may name skills that are left out by default."""
+    if skills is None and "skill_whitelist" in personas.columns:
+        return prefixed_flags(df, "skill_", "has_")
+    return demand_skills(df, skills)
+
+
 def skill_demand(
     df: DataFrame, personas: DataFrame, min_share: float = 0.05, skills: Sequence[str] | None = None,
     constraints: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(persona_id, skill_name, market_share) in the chosen segment."""
     dims = _dimensions(df, constraints or {})
-    personas = _with_targets(personas, dims)
-    segments = relax_filters(df, personas, constraints)
-    masks = _masks_in_use(_levels(personas, dims))
-    found = _demand(df, personas, segments, dims, masks, demand_skills(df, skills), min_share)
+    personas, names = _with_targets(personas, dims), _skills_for(df, personas, skills)
+    combos = materialize(_combinations(df, dims, _flag_sums(names)), "combinations")
+    segments, masks = _choose(combos, personas, dims)
+    found = _demand(df, combos, personas, segments, dims, masks, names, min_share)
     return found.orderBy("persona_id", F.desc("market_share"), "skill_name")
 
 
@@ -234,25 +251,23 @@ def analyze_personas(
 ) -> DataFrame:
     """One row per persona with segment summary, demanded and recommended skills."""
     dims = _dimensions(df, constraints or {})
-    personas = _with_targets(personas, dims)
-    segments = relax_filters(df, personas, constraints)
-    masks = _masks_in_use(_levels(personas, dims))
+    personas, skills = _with_targets(personas, dims), _skills_for(df, personas, None)
     salary = first_existing(df, *SALARY_COLUMNS)
-    if salary:
-        df = df.withColumn("_salary", salary_metric(df, salary))
-    else:
-        df = df.withColumn("_salary", F.lit(None).cast("double"))
-    # scope is a dimension, so its extremes are known from the combinations
+    df = df.withColumn("_salary", salary_metric(df, salary) if salary else F.lit(None).cast("double"))
     scope = F.when(~F.col("geo_scope").isin("", "unknown"), F.col("geo_scope")) if "geo_scope" in df.columns else F.lit(
         None).cast("string")
-    sums = {
-        "_rows": F.count(F.lit(1)), "_salaried": F.count("_salary"),
-        "_remote": F.sum(flag_int("is_remote")) if "is_remote" in df.columns else F.lit(None).cast("long"),
-        "_junior": F.sum(flag_int("is_junior_friendly")) if "is_junior_friendly" in df.columns
-        else F.lit(None).cast("long"),
-        "_scope_lo": F.min(scope), "_scope_hi": F.max(scope),
-    }
-    stats = _segment_flags(df, dims, segments, masks, sums, {
+
+    def flagged(name: str) -> Column:
+        return F.sum(flag_int(name)) if name in df.columns else F.lit(None).cast("long")
+
+    # the combinations serve sizes, shares and skills, so they are written once
+    combos = materialize(_combinations(df, dims, {
+        "_salaried": F.count("_salary"), "_remote": flagged("is_remote"), "_junior": flagged("is_junior_friendly"),
+        "_scope_lo": F.min(scope), "_scope_hi": F.max(scope), **_flag_sums(skills),
+    }), "combinations")
+    segments, masks = _choose(combos, personas, dims)
+    segments = materialize(segments, "segments")
+    stats = _per_segment(combos, dims, segments, masks, {
         "_rows": "sum", "_salaried": "sum", "_remote": "sum", "_junior": "sum", "_scope_lo": "min", "_scope_hi": "max",
     })
     values = df.where(F.col("_salary").isNotNull()).groupBy(*_columns(dims), F.col("_salary").alias("_v")).agg(
@@ -261,7 +276,7 @@ def analyze_personas(
     in_segment = _roll_up(values, dims, masks).join(wanted, "_key", "left_semi")
     quartiles = quantiles_of_counts(
         in_segment.groupBy("_key", "_v").agg(F.sum("_n").alias("_n")), SALARY_QUANTILES)
-    demand = _demand(df, personas, segments, dims, masks, demand_skills(df), 0.05)
+    demand = _demand(df, combos, personas, segments, dims, masks, skills, 0.05)
     gaps = with_gap(demand, personas, top_k)
     by_share = F.transform(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("market_share")).alias("s"), F.col("skill_name").alias("n")))),

@@ -24,7 +24,8 @@ QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
 def _bin(value: Column) -> Column:
     # log1p is semi-monotonic on the JVM, so bins keep the order of the values
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(BINS_PER_LOG_UNIT)))
+    bin_ = F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(float(BINS_PER_LOG_UNIT)))
+    return F.coalesce(bin_, F.lit(0).cast("long"))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -36,17 +37,21 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     number = F.col(value).cast("double")
     rows = df.where(number.isNotNull() & ~F.isnan(number))
-    return rows.groupBy(_key(keys).alias("_key"), number.alias("_v")).agg(n.alias("_n"))
+    # never NULL after the filter; saying so keeps a pushed-down null check from
+    # splitting the two uses of the counts, which then share one shuffle
+    return rows.groupBy(_key(keys).alias("_key"), F.coalesce(number, F.lit(0.0)).alias("_v")).agg(n.alias("_n"))
 
 
 def _key(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
-def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float]) -> DataFrame:
-    """(``_key``, one column per entry of ``probs``): linear-interpolated quantiles."""
-    counts = counts.where(F.col("_n") > 0).withColumn("_bin", _bin(F.col("_v")))
-    bins = counts.groupBy("_key", "_bin").agg(F.sum("_n").alias("_bin_n"))
+def _position(p: float) -> Column:
+    return (F.col("_total") - 1) * F.lit(float(p))
+
+
+def _wanted_bins(bins: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """Bins (``_key``, ``_bin``, ``_bin_n``) that hold a wanted rank, with the rows before them."""
     in_key = Window.partitionBy("_key")
     running = in_key.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = (
@@ -54,26 +59,47 @@ def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float]) -> DataFr
         .withColumn("_total", F.sum("_bin_n").over(in_key))
         .withColumn("_start", F.col("_end") - F.col("_bin_n"))
     )
+    ranks = [f(_position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
+    wanted = bins.where(any_of((F.col("_start") <= r) & (F.col("_end") > r) for r in ranks))
+    return wanted.select("_key", "_bin", "_start", "_total")
 
-    def position(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(p))
 
-    ranks = [f(position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
-    wanted = bins.where(any_of((F.col("_start") <= r) & (F.col("_end") > r) for r in ranks))
-    inside = counts.join(wanted.select("_key", "_bin", "_start", "_total"), ["_key", "_bin"])
+def _interpolate(inside: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from the values (``_v``, ``_n``) of the wanted bins."""
     within = Window.partitionBy("_key", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_rank", F.col("_start") + F.sum("_n").over(within))
     aggregates = [F.max("_total").alias("_total")]
     for name, p in probs.items():
-        aggregates.append(F.min(F.when(F.col("_rank") > F.floor(position(p)), F.col("_v"))).alias(f"_lo_{name}"))
-        aggregates.append(F.min(F.when(F.col("_rank") > F.ceil(position(p)), F.col("_v"))).alias(f"_hi_{name}"))
-    found = ranked.groupBy("_key").agg(*aggregates)
+        low, high = F.col("_rank") > F.floor(_position(p)), F.col("_rank") > F.ceil(_position(p))
+        aggregates.append(F.min(F.when(low, F.col("_v"))).alias(f"_lo_{name}"))
+        aggregates.append(F.min(F.when(high, F.col("_v"))).alias(f"_hi_{name}"))
     out = []
     for name, p in probs.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        fraction = position(p) - F.floor(position(p))
-        out.append((lo + (hi - lo) * fraction).alias(name))
-    return found.select("_key", *out)
+        out.append((lo + (hi - lo) * (_position(p) - F.floor(_position(p)))).alias(name))
+    return ranked.groupBy("_key").agg(*aggregates).select("_key", *out)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """(``_key``, one column per entry of ``probs``): linear-interpolated quantiles."""
+    counts = counts.where(F.col("_n") > 0).withColumn("_bin", _bin(F.col("_v")))
+    bins = counts.groupBy("_key", "_bin").agg(F.sum("_n").alias("_bin_n"))
+    return _interpolate(counts.join(_wanted_bins(bins, probs), ["_key", "_bin"]), probs)
+
+
+def quantiles_of_counters(per_value: DataFrame, counters: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of many overlapping groups at once, (``_key`` = counter name).
+
+    ``per_value`` has one row per distinct value ``_v`` with the rows of each
+    group in a counter column. Only the bins are unpivoted, never the values.
+    """
+    per_value = per_value.where(F.col("_v").isNotNull()).withColumn("_bin", _bin(F.col("_v")))
+    wide = per_value.groupBy("_bin").agg(*[F.sum(c).alias(c) for c in counters])
+    bins = wide.unpivot(["_bin"], list(counters), "_key", "_bin_n").where(F.col("_bin_n") > 0)
+    own = F.coalesce(*[F.when(F.col("_key") == c, F.col(f"`{c}`")) for c in counters])
+    # at most two bins per counter and probability
+    inside = per_value.join(F.broadcast(_wanted_bins(bins, probs)), "_bin").withColumn("_n", own)
+    return _interpolate(inside.where(F.col("_n") > 0).select("_key", "_bin", "_v", "_n", "_start", "_total"), probs)
 
 
 def grouped_quantiles(

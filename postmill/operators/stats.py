@@ -20,7 +20,7 @@ from postmill.functions.normalize import (
     ENGLISH_ORDER, category_rank, normalize_education_level, normalize_english_level,
 )
 from postmill.operators.market import primary_domain
-from postmill.operators.quantiles import quantiles_of_counts, value_counts, with_quantiles
+from postmill.operators.quantiles import quantiles_of_counters, quantiles_of_counts, value_counts, with_quantiles
 
 SALARY = "salary_mid_rub_capped"
 
@@ -273,26 +273,19 @@ def skill_premium(
     """Medians with and without each skill.
 
     Rows are first counted per distinct salary, with one counter per skill; only
-    those counts are unpivoted, never the rows.
+    counts of value bins are unpivoted, never rows or salaries.
     """
     flags = [c for c in skills if c in df.columns]
     per_value = df.groupBy(F.col(salary).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(flag_int(c)).alias(c) for c in flags]
     )
-    long = wide_to_long(per_value, ["_v", "_rows"], flags, "skill", "_with")
-    counts = long.groupBy("skill").agg(F.sum("_with").alias("count_with_skill"))
-    sides = F.array(
-        F.struct(F.lit(True).alias("has"), F.col("_with").alias("n")),
-        F.struct(F.lit(False).alias("has"), (F.col("_rows") - F.col("_with")).alias("n")),
-    )
-    weighted = (
-        long.where(F.col("_v").isNotNull()).select("skill", "_v", F.explode(sides).alias("s"))
-        .select(F.struct("skill", "s.has").alias("_key"), "_v", F.col("s.n").alias("_n"))
-    )
-    medians = quantiles_of_counts(weighted, {"median": 0.5}).select("_key.*", "median")
-    medians = medians.groupBy("skill").agg(
-        F.max(F.when(F.col("has"), F.col("median"))).alias("median_with"),
-        F.max(F.when(~F.col("has"), F.col("median"))).alias("median_without"),
+    counts = wide_to_long(per_value.agg(*[F.sum(c).alias(c) for c in flags]), [], flags, "skill", "count_with_skill")
+    without = {f"no {c}": F.col("_rows") - F.col(c) for c in flags}
+    found = quantiles_of_counters(per_value.withColumns(without), [*flags, *without], {"median": 0.5})
+    has = ~F.col("_key").startswith("no ")
+    medians = found.groupBy(F.regexp_replace("_key", "^no ", "").alias("skill")).agg(
+        F.max(F.when(has, F.col("median"))).alias("median_with"),
+        F.max(F.when(~has, F.col("median"))).alias("median_without"),
     )
     gain = F.col("median_with") - F.col("median_without")
     return (
@@ -336,16 +329,18 @@ def box_stats(
 def multilabel_box_stats(df: DataFrame, flags: Sequence[str], salary: str = SALARY) -> DataFrame:
     """D29 chart data: a row counts in every role it is flagged with.
 
-    Counts per distinct salary are unpivoted, not rows; roles without a salary
-    keep their totals and are marked as left out.
+    Counts of value bins are unpivoted, not rows; roles without a salary keep
+    their totals and are marked as left out.
     """
     per_value = df.groupBy(F.col(salary).cast("double").alias("_v")).agg(*[F.sum(flag_int(c)).alias(c) for c in flags])
-    long = wide_to_long(per_value, ["_v"], flags, "role", "_n")
-    totals = long.groupBy("role").agg(
-        F.sum("_n").alias("n_total"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("n_salary")
-    )
-    counts = long.where(F.col("_v").isNotNull()).select(F.struct("role").alias("_key"), "_v", "_n")
-    box = quantiles_of_counts(counts, FIVE_NUMBERS).select("_key.*", *FIVE_NUMBERS)
+    salaried = F.col("_v").isNotNull()
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("role"), F.sum(c).alias("n_total"),
+                 F.coalesce(F.sum(F.when(salaried, F.col(c))), F.lit(0)).alias("n_salary"))
+        for c in flags
+    ])
+    totals = per_value.agg(entries.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    box = quantiles_of_counters(per_value, flags, FIVE_NUMBERS).withColumnRenamed("_key", "role")
     return totals.join(box, "role", "left").withColumn("left_out", F.col("n_salary") == 0)
 
 

@@ -56,7 +56,7 @@ def feature_rows(t, since, until):
     return rows.select(
         F.col("vacancy_id").cast("double").alias("vacancy_id"), "ordinal", "title", "primary_role", "grade_final", "city", "geo_scope",
         F.col(S).alias("salary_from"), F.replace("title", F.lit(" "), F.lit(", ,")).alias("skills"), "published_at",
-        F.concat(F.lit("https://example.org/vacancy/"), "vacancy_id").alias("vacancy_url"), F.repeat("title", 1000).alias("description"), "day")
+        F.concat(F.lit("https://example.org/vacancy/"), "vacancy_id").alias("vacancy_url"), F.when(F.col("vacancy_id") % 100 == 0, F.repeat("title", 1000)).otherwise(F.col("title")).alias("description"), "day")
 
 
 def served(t, since, until):
@@ -66,7 +66,7 @@ def served(t, since, until):
 
 def served_sql(since, until):
     return f"""SELECT vacancy_id::VARCHAR AS hh_vacancy_id, title, primary_role, grade_final AS grade, city, geo_scope, floor({S})::BIGINT AS salary_from,
-    replace(title, ' ', '|') AS skills, repeat(title, 1000)[1:5000] AS description_snippet, 'https://example.org/vacancy/' || vacancy_id AS url,
+    replace(title, ' ', '|') AS skills, CASE WHEN vacancy_id % 100 = 0 THEN repeat(title, 1000)[1:5000] ELSE title END AS description_snippet, 'https://example.org/vacancy/' || vacancy_id AS url,
     strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at FROM (SELECT *, row_number() OVER (PARTITION BY vacancy_id ORDER BY day DESC, ordinal) AS rn
     FROM postings WHERE day >= DATE '{since}' AND day < DATE '{until}') WHERE rn = 1"""
 

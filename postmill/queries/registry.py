@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.session import tune
 from postmill.sources import bindings
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +70,7 @@ def query(name: str, sql: str | None = None):
         if name in SPARK:
             raise ValueError(f"duplicate query {name}")
         MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
-        SPARK[name] = lambda spark, sf_dir: tidy(fn(Tables(spark, sf_dir)))
+        SPARK[name] = lambda spark, sf_dir: tidy(fn(Tables(tune(spark), sf_dir)))
         if sql is not None:
             SQL[name] = with_views(sql)
         return fn

@@ -5,12 +5,28 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+# SQL settings the operators want in any session; all may change at run time
+TUNING = {
+    # the JVM does not compile methods beyond 8000 bytes of bytecode, so wide
+    # feature projections run interpreted unless such stages are split instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def local_session(cores: str = "*", app: str = "postmill") -> SparkSession:
     """A local session with the settings the operators are tested under."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -18,11 +34,10 @@ def local_session(cores: str = "*", app: str = "postmill") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("POSTMILL_DRIVER_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .getOrCreate()
     )
+    return tune(spark)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -31,9 +46,20 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local session may
     fall back to a temporary folder of this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="postmill-")
     return f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a small intermediate table once to the shared folder and read it back.
+
+    For results that several branches of a plan need: they survive lost
+    executors and are not computed again.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

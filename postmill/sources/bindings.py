@@ -6,6 +6,7 @@ forced into a broadcast: Catalyst and AQE choose it by measured size.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,7 +51,18 @@ def _flag_columns() -> dict[str, tuple[str, Column]]:
     return flags
 
 
+_built: dict[int, dict[str, tuple[str, Column]]] = {}
+
+
 def _columns() -> dict[str, tuple[str, Column]]:
+    """Expressions of the posting view, built once per JVM."""
+    jvm = id(SparkContext._gateway)
+    if jvm not in _built:
+        _built[jvm] = _build_columns()
+    return _built[jvm]
+
+
+def _build_columns() -> dict[str, tuple[str, Column]]:
     nation = F.col("n_nationkey")
     grade = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "lead")

@@ -50,6 +50,14 @@ def test_persona_demand_and_gap(rows):
     assert gap == {"skill_sql": (True, False), "has_python": (False, True), "skill_statistics": (True, False)}
 
 
+def test_whitelist_may_name_skills_left_out_by_default(rows):
+    df = rows("primary_role string, skill_sql boolean, has_metro boolean, skill_git boolean", ("a", True, True, True), ("a", True, False, True))
+    p = rows("persona_id int, current_skills array<string>, target_role string, skill_whitelist array<string>, min_market_n int",
+             (1, [], "a", ["has_metro", "absent"], 1), (2, [], "a", ["absent"], 1), (3, [], "a", None, 1))
+    out = sorted((r["persona_id"], r["skill_name"], r["market_share"]) for r in persona.skill_demand(df, p).collect())
+    assert out == [(1, "has_metro", 0.5), (2, "skill_sql", 1.0), (3, "skill_sql", 1.0)]
+
+
 def test_relaxation_needs_a_large_table_and_reports_absent_columns(rows):
     df = rows("primary_role string, grade_final string", *[("analyst", "junior")] * 3, *[("analyst", "senior")] * 5)
     p = rows("persona_id int, current_skills array<string>, target_role string, target_grade string, target_country string, min_market_n int",
