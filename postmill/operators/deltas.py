@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions.columns import dtype, first_existing
-from postmill.functions.normalize import ID_ALIASES, from_aliases, id_text, normalize_id
+from postmill.functions.normalize import from_aliases, id_text, normalize_id
 from postmill.operators.gates import date_semantics
 
 # --- fixed values ----------------------------------------------------------

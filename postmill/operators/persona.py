@@ -267,6 +267,8 @@ def analyze_personas(
     }), "combinations")
     segments, masks = _choose(combos, personas, dims)
     segments = materialize(segments, "segments")
+    # only masks that were chosen, not those of every level
+    masks = _masks_in_use(segments)
     stats = _per_segment(combos, dims, segments, masks, {
         "_rows": "sum", "_salaried": "sum", "_remote": "sum", "_junior": "sum", "_scope_lo": "min", "_scope_hi": "max",
     })

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions.fixed_values import UNKNOWN_MARKERS
-from postmill.operators import cleaning, market
+from postmill.operators import cleaning
 from postmill.queries.market import VIEW_SQL, segment_view
 from postmill.queries.registry import query
 

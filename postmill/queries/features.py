@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions import features, normalize
-from postmill.functions.columns import first_existing
 from postmill.functions.fixed_values import AREA_DEFAULTS, COUNTRY_WORDS
 from postmill.operators import market
 from postmill.queries.registry import query

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.operators import gates
-from postmill.operators.gates import THRESHOLDS
 from postmill.queries.market import VIEW_SQL, segment_view
 from postmill.queries.registry import query
 

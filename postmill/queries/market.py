@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from postmill.operators import market
 from postmill.queries.registry import Tables, query
 from postmill.sources.bindings import DOMAIN_FLAGS, SKILL_FLAGS
