@@ -204,7 +204,7 @@ def _(t):
 
 @query("ensure_feature_columns", """SELECT country, city_tier, primary_role, tech_stack_size, salary_bucket,
   is_junior_friendly, count(*) AS n FROM (SELECT 'unknown' AS country, city_tier, 'other' AS primary_role,
-  0 AS tech_stack_size, NULL AS salary_bucket, is_junior_friendly FROM postings) GROUP BY ALL""")
+  0 AS tech_stack_size, NULL::VARCHAR AS salary_bucket, is_junior_friendly FROM postings) GROUP BY ALL""")
 def _(t):
     out = features.ensure_feature_columns(t.postings("city_tier", "is_junior_friendly"))
     names = ["country", "city_tier", "primary_role", "tech_stack_size", "salary_bucket", "is_junior_friendly"]

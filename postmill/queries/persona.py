@@ -40,7 +40,7 @@ def _(t):
 
 
 @query("segment_summary_postings", f"""SELECT *, {CONFIDENCE.format(n='vacancy_count', s='salary_sample_size',
-  c='salary_coverage_share')} AS confidence, NULL AS warning FROM (SELECT count(*) AS vacancy_count, count({S}) AS salary_sample_size,
+  c='salary_coverage_share')} AS confidence, NULL::VARCHAR AS warning FROM (SELECT count(*) AS vacancy_count, count({S}) AS salary_sample_size,
   round(avg(is_junior_friendly::INT), 6) AS junior_friendly_share, round(avg((work_mode = 'remote')::INT), 6) AS remote_share,
   min(geo_scope) AS geo_scope, round(quantile_cont({S}, 0.5), 6) AS salary_median, round(quantile_cont({S}, 0.25), 6) AS salary_q25,
   round(quantile_cont({S}, 0.75), 6) AS salary_q75, round(quantile_cont(tech_stack_size, 0.5), 6) AS median_tech_stack_size,
@@ -57,7 +57,7 @@ def _(t):
         t.postings("primary_role", "grade_final"), {"primary_role": "pilot", "grade_final": "junior"})
 
 
-@query("validate_dimension", """SELECT c_custkey, value, value IS NULL OR value <> 'ECO' AS accepted, NULL AS warning FROM (
+@query("validate_dimension", """SELECT c_custkey, value, value IS NULL OR value <> 'ECO' AS accepted, NULL::VARCHAR AS warning FROM (
   SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN ' Promo' WHEN 1 THEN 'ECO' END AS value FROM customer)""")
 def _(t):
     k = F.col("c_custkey")

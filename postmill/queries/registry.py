@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.queries.sql_types import LONG_COLUMNS
 from postmill.session import tune
 from postmill.sources import bindings
 
@@ -63,6 +64,13 @@ def with_views(sql: str) -> str:
     return f"{view} {sql}"
 
 
+def as_long(sql: str, columns: Sequence[str]) -> str:
+    if not columns:
+        return sql
+    casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``; ``sql`` is its DuckDB counterpart."""
 
@@ -72,7 +80,7 @@ def query(name: str, sql: str | None = None):
         MODULE_OF[name] = fn.__module__.rsplit(".", 1)[-1]
         SPARK[name] = lambda spark, sf_dir: tidy(fn(Tables(tune(spark), sf_dir)))
         if sql is not None:
-            SQL[name] = with_views(sql)
+            SQL[name] = as_long(with_views(sql), LONG_COLUMNS.get(name, ()))
         return fn
 
     return wrap

@@ -169,7 +169,7 @@ def _(t):
 
 @query("run_manifest", f"""WITH {SIDES} SELECT 'run-1' AS run_id, 'success' AS status, (SELECT count(*) FROM postings) AS row_count, 3 AS column_count,
   'vacancy_id|title|day' AS columns, (SELECT count(*) FROM dl WHERE change = 'new') AS new_count, (SELECT count(*) FROM dl WHERE change = 'removed') AS removed_count,
-  'crawl' AS source_kind, NULL AS error, '1' AS schema_version""")
+  'crawl' AS source_kind, NULL::VARCHAR AS error, '1' AS schema_version""")
 def _(t):
     path = shared_dir(t.spark, "manifest")
     manifest = publish.run_manifest(t.postings("vacancy_id", "title", "day"), deltas.delta_counts(delta(t)), "run-1", source_kind="crawl")
