@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,25 +40,40 @@ def local_session(cores: str = "*", app: str = "postmill") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """Folder every executor can reach.
+    """A new folder every executor can reach, removed when the session's JVM ends.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a temporary folder of this machine.
+    The cluster names its parent in ``spark.checkpoint.dir``. Where that is unset,
+    as in tests, the folder lies in the warehouse, which executors share too.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="postmill-")
-    return f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a small intermediate table once to the shared folder and read it back.
+    """Write an intermediate table once to the shared folder and read it back.
 
     For results that several branches of a plan need: they survive lost
-    executors and are not computed again.
+    executors and are not computed again. ``forget`` removes one early.
     """
-    path = shared_dir(df.sparkSession, purpose)
+    path = f"{shared_dir(df.sparkSession, purpose)}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what ``materialize`` wrote, once nothing will read it any more."""
+    remove_dir(df.sparkSession, df._written_to)
