@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import budget_mix, chosen_path, kd_sharding, preference_quality, spaced_seeds
+from postmill.llm import budget_mix, chat_windows, chosen_path, context_trees, kd_sharding, pivot_index, preference_quality, spaced_seeds
+from postmill.llm import entropy_secrets as secrets
 from postmill.llm.common import gapless_ranks, table, utf8_size, word_count
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +80,48 @@ def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of documents with benchmark items."""
     return spaced_seeds.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_entropy_secrets")
+def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    kinds = ("assign", "access", "hex")
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in secrets.scanned(F.col("text")).items()])
+    base = F.concat(*[secrets.labelled(F.col(kind), kind, i) for i, kind in enumerate(kinds)])
+    rows = docs.select("doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in kinds], base.alias("_base"), "entropy")
+    more = secrets.labelled(secrets.outside(F.col("entropy"), F.col("_base")), "entropy", 3)
+    return rows.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined(F.col("_base")), 256).alias("base_sha256"),
+        secrets.joined(F.concat("_base", more)).alias("spans"),
+    )
+
+
+@query("op8_pivot_index")
+def op8_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = pivot_index.link_vectors(table(spark, sf_dir, "embeddings"))
+    vec, least = pivot_index.real_id("_id"), pivot_index.real_id("_component")
+    return found.select(
+        vec.alias("vec_id"), F.col("_links").alias("n_links"), least.alias("component_id"), vec.eqNullSafe(least).alias("kept")
+    )
+
+
+@query("op9_chat_windows")
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted windows of every conversation say, and of one whose texts look like control strings."""
+    hard = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(
+        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"
+    ))
+    return chat_windows.read_back(chat_windows.windows(rows))
+
+
+@query("op10_context_trees")
+def op10_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = context_trees.score(table(spark, sf_dir, "documents"), ~held_out, ["doc_id"])
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"
+    )
