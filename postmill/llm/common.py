@@ -92,6 +92,11 @@ class RangeHashes:
     def of(self, start, end) -> np.ndarray:
         return mix64((self._sums[end] - self._sums[start]) * self._inverse[start])
 
+    def fixed(self, size: int) -> np.ndarray:
+        """Hashes of all ranges of ``size`` symbols."""
+        n = max(0, len(self._sums) - size)
+        return mix64((self._sums[size : size + n] - self._sums[:n]) * self._inverse[:n])
+
 
 def joined_bytes(texts: Sequence[str | None], gap: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array, ``gap`` after each, and where each starts (one more for the end)."""

@@ -10,7 +10,7 @@ predictions, one end symbol included.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -253,33 +253,29 @@ def _head(rows: DataFrame, most: int) -> Lookup:
     return Lookup(top["_key"].to_numpy(dtype=np.int64).view(np.uint64), top["_value"].to_numpy(dtype=float))
 
 
-def _scores(depth: int, gram_values: Lookup, word_counts: Lookup, total: float):
-    """Sums over what the tables hold, and the words and grams that they don't."""
+_SUMS = "_score double, _bytes long, _words long, _known long, _base double, _grams array<long>, _rare array<long>"
 
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, "_text", 1 << 22):
-                n, texts = len(piece), piece["_text"].tolist()
-                out = {"_row": piece["_row"].to_numpy()}
-                key, owner = grams(texts, depth)
-                value = gram_values.get(key)
-                missing = np.isnan(value)
-                out["_score"] = np.bincount(owner, weights=np.where(missing, 0, value), minlength=n)
-                out["_bytes"] = np.bincount(owner, minlength=n) - 1
-                rest = [(key[missing], owner[missing])]
-                key, owner = words(texts)
-                value = word_counts.get(key)
-                missing = np.isnan(value)
-                out["_words"] = np.bincount(owner, minlength=n)
-                known = np.where(missing, 0, value)
-                out["_known"] = np.bincount(owner, weights=known > 0, minlength=n).astype(np.int64)
-                out["_base"] = np.bincount(owner, weights=np.where(missing, 0, np.log10((known + 1) / total)), minlength=n)
-                rest.append((key[missing], owner[missing]))
-                for name, (key, owner) in zip(("_grams", "_rare"), rest):
-                    out[name] = np.split(key.view(np.int64), np.searchsorted(owner, np.arange(1, n)))
-                yield pd.DataFrame(out)
 
-    return run
+def _sums(texts: list, depth: int, gram_values: Lookup, word_counts: Lookup, total: float) -> pd.DataFrame:
+    """Sums over what the tables hold, and the words and grams that they don't."""
+    n, out = len(texts), {}
+    key, owner = grams(texts, depth)
+    value = gram_values.get(key)
+    missing = np.isnan(value)
+    out["_score"] = np.bincount(owner, weights=np.where(missing, 0, value), minlength=n)
+    out["_bytes"] = np.bincount(owner, minlength=n) - 1
+    rest = [(key[missing], owner[missing])]
+    key, owner = words(texts)
+    value = word_counts.get(key)
+    missing = np.isnan(value)
+    out["_words"] = np.bincount(owner, minlength=n)
+    known = np.where(missing, 0, value)
+    out["_known"] = np.bincount(owner, weights=known > 0, minlength=n).astype(np.int64)
+    out["_base"] = np.bincount(owner, weights=np.where(missing, 0, np.log10((known + 1) / total)), minlength=n)
+    rest.append((key[missing], owner[missing]))
+    for name, (key, owner) in zip(("_grams", "_rare"), rest):
+        out[name] = np.split(key.view(np.int64), np.searchsorted(owner, np.arange(1, n)))
+    return pd.DataFrame(out)
 
 
 def score(docs: DataFrame, learn: Column, keep: Sequence[str], text: str = "text", depth: int = DEPTH, head: int = HEAD) -> DataFrame:
@@ -313,17 +309,16 @@ def score(docs: DataFrame, learn: Column, keep: Sequence[str], text: str = "text
     model = materialize(near.mapInPandas(_predictions(depth, table), "_key long, _value double, _all long"), "model")
     word_counts = counts.where("_kind = 1").select("_key", F.col("_learned").cast("double").alias("_value"), "_all")
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).alias("_text"))
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     shared = spark.sparkContext.broadcast((_head(model, head), _head(word_counts, head)))
 
-    def run(batches):
-        for batch in batches:
-            for out, piece in zip(_scores(depth, *shared.value, total)([batch]), pieces(batch, "_text", 1 << 22)):
-                yield out.assign(**{c: piece[c].to_numpy() for c in keep})
+    @F.pandas_udf(_SUMS)
+    def sums(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            parts = [_sums(p["_text"].tolist(), depth, *shared.value, total) for p in pieces(batch.to_frame("_text"), "_text", 1 << 22)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[f.split()[0] for f in _SUMS.split(", ")])
 
-    schema = "_row long, _score double, _bytes long, _words long, _known long, _base double, _grams array<long>, _rare array<long>"
-    first = materialize(numbered.mapInPandas(run, schema + "".join(f", `{c}` {fields[c]}" for c in keep)), "scores")
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).alias("_text"))
+    first = materialize(numbered.withColumn("_sums", sums("_text")).select("_row", *keep, "_sums.*"), "scores")
     rare = first.select("_row", F.explode("_rare").alias("_key")).groupBy("_row", "_key").agg(F.count(F.lit(1)).alias("_n"))
     seen = F.coalesce("_value", F.lit(0.0))
     rare = rare.join(word_counts.select("_key", "_value"), "_key", "left").groupBy("_row").agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import budget_mix, chat_windows, chosen_path, context_trees, kd_sharding, pivot_index, preference_quality, spaced_seeds
+from postmill.llm import budget_mix, chat_windows, chosen_path, context_trees, kd_sharding, lyndon_suffixes, pivot_index, preference_quality, spaced_seeds
 from postmill.llm import entropy_secrets as secrets
 from postmill.llm.common import gapless_ranks, table, utf8_size, word_count
 
@@ -64,6 +64,12 @@ def op3_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op4_lyndon_suffixes")
+def op4_lyndon_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start elsewhere too."""
+    return lyndon_suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op5_budget_mix")
 def op5_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""

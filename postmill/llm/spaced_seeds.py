@@ -151,28 +151,27 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id:
     reported. The benchmark is taken in blocks of bounded size, each against all texts,
     so no side has to fit anywhere as a whole.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    fields = {"doc_id": rows.schema["doc_id"].dataType, "item_id": benchmark.schema[item_id].dataType}
-    schema = T.StructType([T.StructField(n, t) for n, t in fields.items()] + [
-        T.StructField(n, T.LongType()) for n in ("doc_word", "item_word", "words", "equal")
-    ])
+    places = ("doc_word", "item_word", "words", "equal")
+    hit = T.StructType([T.StructField("item_id", benchmark.schema[item_id].dataType), *[T.StructField(n, T.LongType()) for n in places]])
 
     def search(ids, index):
-        def run(batches):
-            for batch in batches:
-                for piece in pieces(batch, "_text"):
-                    found = overlaps(piece["_text"].tolist(), index)
-                    if found:
-                        cols = list(zip(*found))
-                        yield pd.DataFrame({
-                            "doc_id": piece["doc_id"].to_numpy()[list(cols[0])], "item_id": [ids[i] for i in cols[1]],
-                            "doc_word": cols[2], "item_word": cols[3], "words": cols[4], "equal": cols[5],
-                        })
-
-        return rows.mapInPandas(run, schema)
+        @F.pandas_udf(T.ArrayType(hit))
+        def hits(texts: pd.Series) -> pd.Series:
+            out = [[] for _ in range(len(texts))]
+            at = 0
+            for piece in pieces(texts.to_frame("_text"), "_text"):
+                for row, item, *found in overlaps(piece["_text"].tolist(), index):
+                    out[at + row].append({"item_id": ids[item], **dict(zip(places, found))})
+                at += len(piece)
+            return pd.Series(out)
+
+        return docs.select(F.col(doc_id).alias("doc_id"), F.inline(hits(F.col(text))))
 
     found = [search(ids, index) for ids, index in _blocks(benchmark, item_id, text)]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+    if found:
+        return reduce(DataFrame.unionAll, found)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *hit.fields])
+    return docs.sparkSession.createDataFrame([], schema)
 
 
 def leaked(benchmark: DataFrame, column: Column, item_id: str = "item_id", text: str = "text") -> Column:
