@@ -140,10 +140,7 @@ def mix(
     quota = lengths.join(targets, "_source").groupBy("_source").applyInPandas(
         _quota, "_source string, _len long, _repeats long, _extra long"
     )
-    quota = materialize(quota, "mix-quota")
-    ranked = gapless_ranks(sized, ["_source", "_len"], [F.col("_key")], F.col("_key"), "_rank")
-    out = ranked.join(quota, ["_source", "_len"]).join(
-        targets.select("_source", F.col("_size").alias("_source_size"), "_target"), "_source"
-    )
+    quota = quota.join(targets.select("_source", F.col("_size").alias("_source_size"), "_target"), "_source")
+    out = gapless_ranks(sized, ["_source", "_len"], [F.col("_key")], F.col("_key"), "_rank", materialize(quota, "mix-quota"))
     times = F.col("_repeats") + F.when(F.col("_rank") < F.col("_extra"), F.lit(1)).otherwise(F.lit(0))
     return out.withColumn("_times", times).drop("_source", "_len", "_key", "_rank", "_repeats", "_extra")

@@ -186,7 +186,7 @@ def _links(similarity: float):
     """Links of each set inside its group, weighed by copies, and the root it is linked to."""
 
     def run(batches):
-        for frame, starts in by_group(batches, ["_root", "_i", "_j"], 2000):
+        for frame, starts in by_group(batches, ["_root", "_i", "_j"], 500):
             for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
                 group = frame.iloc[lo:hi]
                 sets = [np.frombuffer(s, np.uint64) for s in group["_set"]]

@@ -31,13 +31,16 @@ def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def gapless_ranks(rows: DataFrame, group: Sequence[str], order: Sequence[Column], spread: Column, rank: str) -> DataFrame:
+def gapless_ranks(
+    rows: DataFrame, group: Sequence[str], order: Sequence[Column], spread: Column, rank: str, of_group: DataFrame | None = None
+) -> DataFrame:
     """Add ``rank``: 0, 1, 2, … in each group, without a task that holds a group.
 
     Rows are ranked inside (group, bucket of ``spread``), and buckets start where
     the ones before them end. The order inside a bucket is ``order``; the order of
     buckets is that of the hash. Rows equal in all of ``order`` share a bucket and
-    take its places in any order.
+    take its places in any order. Columns of ``of_group``, a table with one row per
+    group, are added on the way, so that rows are shuffled once.
     """
     key = [*group, "_bucket"]
     rows = rows.withColumn("_bucket", F.pmod(spread, F.lit(RANK_BUCKETS)))
@@ -46,6 +49,8 @@ def gapless_ranks(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
         rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
         .select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
+    if of_group is not None:
+        starts = starts.join(of_group, list(group))
     inside = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     ranked = rows.withColumn("_inside", inside)
     return ranked.join(starts, key).withColumn(rank, F.col("_start") + F.col("_inside") - 1).drop("_bucket", "_inside", "_start")
@@ -106,7 +111,7 @@ def joined_bytes(texts: Sequence[str | None], gap: bytes = b"") -> tuple[np.ndar
     return np.frombuffer(b"".join(parts), np.uint8), starts
 
 
-def pieces(batch, column: str, most_bytes: int = 1 << 23):
+def pieces(batch, column: str, most_bytes: int = 1 << 21):
     """Cut a pandas batch so that each piece holds about ``most_bytes`` characters (one row at least)."""
     sizes = batch[column].str.len().fillna(0).to_numpy(dtype=np.int64)
     if not len(sizes):
