@@ -4,8 +4,11 @@ A suffix array sorts the suffixes of all texts; a string that starts at two plac
 a common prefix of two neighbours. Suffixes are dealt to tasks by the least hash of the
 32-byte strings in their first ``length`` bytes, so equal strings meet. Suffixes that
 share such an anchor are neighbours in a text and form a run; the bytes of a run are
-its context. Equal contexts are folded to one with a count. What is left, different
-contexts of one anchor and contexts in which it recurs, is sorted by a suffix array.
+its context. Equal contexts are folded to one with a count. Runs whose context is not
+repeated as a whole are cut, at fixed distances from the anchor, into pieces of STEP
+suffixes. All strings of a piece share its core, so only pieces with equal cores can
+repeat each other. Equal pieces are folded again; for the others a suffix array over
+pieces, with the core as one symbol, finds the strings that recur.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import RangeHashes, by_group, joined_bytes, pieces, symbol_codes
+from postmill.llm.common import RangeHashes, by_group, pieces, symbol_codes
 from postmill.session import forget, materialize
 
 LENGTH = 200
 ANCHOR = 32
-MOST_CONTEXTS = 128  # of an anchor in one suffix array; more are met by the strings themselves
+STEP = 16
+MOST_PIECES = 20_000  # of a core in one suffix array; more are met by the strings themselves
 
 
 # --- linear grouping ---------------------------------------------------------------
@@ -180,63 +184,96 @@ def _runs(length: int):
     return run
 
 
-def _contexts(length: int):
-    """The bytes of the runs that are listed with a text."""
+def core_pieces(contexts: Sequence[bytes], anchors: np.ndarray, length: int = LENGTH):
+    """(context, first suffix, core, left, right) of all pieces of the contexts' runs.
+
+    A string's distance to the first anchor in it depends on the string alone, and so
+    does the piece it falls into: the core, which is in all strings of the piece, and up
+    to STEP - 1 bytes on either side of it.
+    """
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    hashes = RangeHashes(symbol_codes(53)[data])
+    strings = hashes.fixed(ANCHOR)
+    anchor_at = np.flatnonzero(strings == np.repeat(anchors, sizes)[: len(strings)])
+    many = sizes - length + 1
+    at = np.repeat(starts[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    owner = np.repeat(np.arange(len(contexts)), many)
+    anchor = anchor_at[np.searchsorted(anchor_at, at)]
+    block = (anchor - at) // STEP
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
+    core, end = anchor[first] - block[first] * STEP, anchor[first] - block[first] * STEP - STEP + 1 + length
+    code = RangeHashes(symbol_codes(59)[data]).of(core, end)
+    whole = data.tobytes()
+    left = [whole[a:b] for a, b in zip(at[first].tolist(), core.tolist())]
+    right = [whole[a:b] for a, b in zip(end.tolist(), (at[last] + length).tolist())]
+    return owner[first], at[first] - starts[owner[first]], code, left, right
+
+
+def _pieces(length: int):
+    """Pieces of the runs that are listed with a text."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text, runs, t in zip(_as_bytes(batch["_text"]), batch["_runs"], batch["_t"]):
-                for r in runs:
-                    out.append((t, r["_at"], r["_many"], r["_anchor"], r["_context"], r["_n"], text[r["_at"] : r["_at"] + r["_many"] + length - 1]))
-            yield pd.DataFrame(out, columns=["_t", "_at", "_many", "_anchor", "_context", "_n", "_bytes"])
+            for rows in pieces(batch, "_text", 1 << 21):
+                listed = [(t, text, r) for t, text, runs in zip(rows["_t"], _as_bytes(rows["_text"]), rows["_runs"]) for r in runs]
+                contexts = [text[r["_at"] : r["_at"] + r["_many"] + length - 1] for _, text, r in listed]
+                anchors = np.array([r["_anchor"] for _, _, r in listed], np.int64)
+                owner, at, core, left, right = core_pieces(contexts, anchors.view(np.uint64), length)
+                t, begin, n = (np.array(x, np.int64) for x in zip(*[(t, r["_at"], r["_n"]) for t, _, r in listed]))
+                yield pd.DataFrame({
+                    "_anchor": anchors[owner], "_core": core.view(np.int64), "_left": left, "_right": right, "_t": t[owner],
+                    "_at": (begin[owner] + at).astype(np.int32), "_n": n[owner],
+                })
 
     return run
 
 
-def repeated_starts(contexts: Sequence[bytes], counts: Sequence[int], length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """(context, first, last) of the starts of strings of ``length`` that also start elsewhere, by a suffix array of all contexts.
+def repeated_starts(sides: Sequence[tuple[bytes, bytes]], counts: Sequence[int], step: int = STEP) -> list[tuple[int, int, int]]:
+    """(piece, first, last) of the starts of strings that also start elsewhere, by a suffix array of all pieces of a core.
 
-    Contexts that occur more than once are repeated as a whole already and are not
-    reported; they only serve as neighbours.
+    With the core as one symbol a string is ``step`` symbols long. Pieces that occur more
+    than once are repeated as a whole already and are not reported; they only serve as
+    neighbours.
     """
-    text, owner, begin = [], [], []
-    for c in contexts:
+    text, begin, starts = [], [], []
+    for left, right in sides:
         begin.append(len(text))
-        text += [b + 1 for b in c]
+        text += [b + 2 for b in left] + [1] + [b + 2 for b in right]
+        starts.append(len(left) + len(right) + 2 - step)
         text.append(0)
-    whole = b"\0".join(contexts) + b"\0"
-    begin_of = np.array(begin)
+    begin = np.array(begin)
     order = np.array(suffix_array(text))
-    owner = np.searchsorted(begin_of, order, side="right") - 1
-    size = np.array([len(c) for c in contexts])
-    order = order[order - begin_of[owner] + length <= size[owner]]
-    if len(order) < 2:
-        return []
+    owner = np.searchsorted(begin, order, side="right") - 1
+    whole = order - begin[owner] < np.array(starts)[owner]
+    order, owner = order[whole], owner[whole]
     # suffixes with a common prefix of that length are neighbours
-    strings = [whole[p : p + length] for p in order.tolist()]
-    same = np.fromiter((a == b for a, b in zip(strings, strings[1:])), bool, len(strings) - 1)
+    strings = np.array(text + [0] * step, np.int16)[order[:, None] + np.arange(step)]
+    same = (strings[1:] == strings[:-1]).all(1)
     twice = np.zeros(len(order), bool)
     twice[1:] |= same
     twice[:-1] |= same
-    hit = np.sort(order[twice])
-    owner = np.searchsorted(begin_of, hit, side="right") - 1
-    single = np.array(counts)[owner] == 1
-    hit, owner = hit[single], owner[single]
+    hit = np.sort(order[twice & (np.array(counts)[owner] == 1)])
     if not len(hit):
         return []
+    owner = np.searchsorted(begin, hit, side="right") - 1
     edge = np.flatnonzero((np.diff(hit) != 1) | (np.diff(owner) != 0)) + 1
     lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(hit)]]) - 1
-    return [(int(owner[a]), int(hit[a] - begin_of[owner[a]]), int(hit[b] - begin_of[owner[a]])) for a, b in zip(lo, hi)]
+    return [(int(owner[a]), int(hit[a] - begin[owner[a]]), int(hit[b] - begin[owner[b]])) for a, b in zip(lo, hi)]
 
 
 def _by_suffixes(length: int):
     def run(batches):
-        for frame, starts in by_group(batches, ["_anchor"], 2000):
+        for frame, starts in by_group(batches, ["_anchor", "_core"], 5000):
             out = []
-            t, at, n, data = (frame[c].tolist() for c in ("_t", "_at", "_n", "_bytes"))
+            t, at, n, left, right = (frame[c].tolist() for c in ("_t", "_at", "_n", "_left", "_right"))
+            sides = list(zip(left, right))
             for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
-                for c, first, last in repeated_starts(data[lo:hi], n[lo:hi], length):
+                for c, first, last in repeated_starts(sides[lo:hi], n[lo:hi]):
                     out.append((t[lo + c], at[lo + c] + first, at[lo + c] + last + length))
             if out:
                 yield pd.DataFrame(out, columns=["_t", "_from", "_to"])
@@ -244,41 +281,26 @@ def _by_suffixes(length: int):
     return run
 
 
-def _strings(length: int):
-    """Two hashes of each string of a context, and where it starts."""
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                rows = batch.iloc[lo : lo + 256]
-                data, starts = joined_bytes_of(rows["_bytes"])
-                many = rows["_many"].to_numpy()
-                offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                at = np.repeat(starts[:-1], many) + offset
-                h = [RangeHashes(symbol_codes(s)[data]).of(at, at + length).view(np.int64) for s in (53, 59)]
-                yield pd.DataFrame({
-                    "_h1": h[0], "_h2": h[1], "_t": np.repeat(rows["_t"].to_numpy(), many),
-                    "_start": np.repeat(rows["_at"].to_numpy(), many) + offset, "_one": np.repeat(rows["_n"].to_numpy() == 1, many),
-                })
-
-    return run
-
-
-def joined_bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
-    parts = [bytes(b) for b in column]
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+def _strings(batches):
+    """The strings of pieces, without the core, and where each starts."""
+    for batch in batches:
+        out = []
+        for anchor, core, left, right, t, at, n in zip(*(batch[c] for c in ("_anchor", "_core", "_left", "_right", "_t", "_at", "_n"))):
+            for k in range(len(left) + len(right) + 2 - STEP):
+                out.append((anchor, core, left[k:] + b"|" + right[: STEP - 1 - len(left) + k], t, at + k, n == 1))
+        yield pd.DataFrame(out, columns=["_anchor", "_core", "_string", "_t", "_start", "_single"])
 
 
 # --- the operator ----------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, most_pieces: int = MOST_PIECES) -> DataFrame:
     """(``_t``, ``_from``, ``_to``): byte ranges covered by strings of ``length`` bytes that also start elsewhere.
 
     ``_t`` is a 64-bit hash of the text, ``xxhash64``. Ranges may overlap; each is inside
-    one text. Equal rows repeat each other. Anchors with more than ``most_contexts``
-    different contexts are not sorted in one task: their strings are counted by two
-    hashes, which gives the same ranges for any number of them.
+    one text. Equal rows repeat each other. Runs and cores are known by two 64-bit hashes.
+    Cores with more than ``most_pieces`` different pieces are not sorted in one task: their
+    strings are grouped as they are, which gives the same ranges for any number of them.
     """
     rows = docs.select(F.xxhash64(F.col(text).cast("string")).alias("_t"), F.col(text).cast("string").alias("_text"))
     rows = rows.where(F.octet_length("_text") >= length)
@@ -293,26 +315,38 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
     spans = live.join(many, ["_anchor", "_context"], "left_semi").select(
         "_t", F.col("_at").alias("_from"), (F.col("_at") + F.col("_many") + length - 1).alias("_to")
     ).distinct()
+
     mixed = classes.groupBy("_anchor").agg(
         F.count(F.lit(1)).alias("_size"), F.count(F.when(F.col("_n") == 1, 1)).alias("_single"), F.max("_inner").alias("_inner")
     ).where("(_size > 1 or _inner) and _single > 0")
     listed = classes.join(mixed.select("_anchor"), "_anchor", "left_semi").groupBy(F.col("_run._t").alias("_t")).agg(F.collect_list(
-        F.struct(F.col("_run._at").alias("_at"), F.col("_run._many").alias("_many"), "_anchor", "_context", "_n")
+        F.struct(F.col("_run._at").alias("_at"), F.col("_run._many").alias("_many"), "_anchor", "_n")
     ).alias("_runs"))
-    bytes_of = rows.join(listed, "_t").mapInPandas(
-        _contexts(length), "_t long, _at int, _many int, _anchor long, _context long, _n long, _bytes binary"
-    ).dropDuplicates(["_anchor", "_context"])
-    bytes_of = materialize(bytes_of.join(mixed.select("_anchor", "_size"), "_anchor"), "context-bytes")
-    few = bytes_of.where(f"_size <= {most_contexts}").repartition("_anchor").sortWithinPartitions("_anchor", "_context")
-    sorted_ = few.mapInPandas(_by_suffixes(length), "_t long, _from int, _to int")
-    strings = bytes_of.where(f"_size > {most_contexts}").mapInPandas(
-        _strings(length), "_h1 long, _h2 long, _t long, _start int, _one boolean"
+    cut = rows.join(listed, "_t").mapInPandas(
+        _pieces(length), "_anchor long, _core long, _left binary, _right binary, _t long, _at int, _n long"
+    )
+    # equal texts list the same runs: a piece is one row for each place, and counts its run's copies once
+    key = ["_anchor", "_core", "_left", "_right"]
+    cut = materialize(cut.groupBy(*key, "_t", "_at").agg(F.max("_n").alias("_n")), "pieces")
+    folded = materialize(cut.groupBy(*key).agg(F.sum("_n").alias("_n"), F.min(F.struct("_t", "_at")).alias("_first")), "folded-pieces")
+    whole = cut.where("_n = 1").join(folded.where("_n > 1").select(*key), key, "left_semi").select(
+        "_t", F.col("_at").alias("_from"),
+        (F.col("_at") + F.length("_left") + F.length("_right") + 1 - STEP + length).cast("int").alias("_to"),
+    )
+    cores = folded.groupBy("_anchor", "_core").agg(
+        F.count(F.lit(1)).alias("_size"), F.count(F.when(F.col("_n") == 1, 1)).alias("_single")
+    ).where("_size > 1 and _single > 0").drop("_single")
+    apart = materialize(folded.join(cores, ["_anchor", "_core"]).select(*key, "_first.*", "_n", "_size"), "split-pieces")
+    few = apart.where(f"_size <= {most_pieces}").repartition("_anchor", "_core").sortWithinPartitions("_anchor", "_core", "_t", "_at")
+    by_suffixes = few.mapInPandas(_by_suffixes(length), "_t long, _from int, _to int")
+    strings = apart.where(f"_size > {most_pieces}").mapInPandas(
+        _strings, "_anchor long, _core long, _string binary, _t long, _start int, _single boolean"
     )
-    twice = strings.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h1", "_h2")
-    hashed = strings.where("_one").join(twice, ["_h1", "_h2"], "left_semi").select(
+    twice = strings.groupBy("_anchor", "_core", "_string").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    by_strings = strings.where("_single").join(twice, ["_anchor", "_core", "_string"], "left_semi").select(
         "_t", F.col("_start").alias("_from"), (F.col("_start") + length).alias("_to")
     )
-    return spans.union(sorted_).union(hashed)
+    return spans.union(whole).union(by_suffixes).union(by_strings)
 
 
 def kept_bytes(data: bytes, ranges) -> tuple[bytes, int]:
