@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.llm import budget_mix, chosen_path, kd_sharding, preference_quality, spaced_seeds
-from postmill.llm.common import table, utf8_size, word_count
+from postmill.llm.common import may_contain, table, utf8_size, word_count
 from postmill.session import materialize
 
 
@@ -28,17 +28,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     one. A NULL id is larger than all others. Texts without words are no duplicates:
     each stays.
     """
-    found = chosen_path.join_texts(docs)
-    number = F.coalesce(F.col("_id"), F.lit(2**63 - 1)).alias("_id")
-    kept = found.where("_root is not null").select(number, "_hash", "_root").groupBy("_root").agg(F.min(F.struct("_id", "_hash")).alias("_kept"))
+    found = chosen_path.join_texts(docs).where("_root is not null")
+    found = materialize(found.select(F.coalesce("_id", F.lit(2**63 - 1)).alias("_id"), "_hash", "_root"), "groups")
+    kept = found.groupBy("_root").agg(F.min(F.struct("_id", "_hash")).alias("_kept"))
+    texts = found.groupBy("_root", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n")).join(kept, "_root")
+    texts = texts.select("_id", "_hash", (F.struct("_id", "_hash") == F.col("_kept")).alias("_stays"), "_n")
+    # most rows are the only ones of their group and stay without a shuffle
+    thinned = materialize(texts.where("not _stays or _n > 1").drop("_n").withColumn("_key", F.xxhash64("_id", "_hash")), "thinned")
     rows = docs.select(
         F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"),
         F.xxhash64(F.col("text").cast("string")).alias("_hash"),
     )
-    once = rows.join(kept.select("_kept.*"), ["_id", "_hash"]).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    )
-    return once.where("_copy = 1").select("_row.*").unionAll(docs.where(word_count(F.col("text")) == 0))
+    rows = rows.withColumn("_asked", may_contain(thinned, "_key")(F.xxhash64("_id", "_hash")))
+    asked = rows.where("_asked").join(thinned.drop("_key"), ["_id", "_hash"], "left")
+    first = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
+    asked = asked.withColumn("_copy", first).where("_stays is null or (_stays and _copy = 1)")
+    return rows.where("not _asked").select("_row.*").unionAll(asked.select("_row.*"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by fitting documents into word budgets.
 
 Documents are counted by exact length per source. Whole repeats fill most of a
-budget, a proportional share of every length fills most of the rest, and a bounded
+budget, a proportional share of every length fills all but a bounded rest, and a bounded
 knapsack over what is left finds lengths that meet the budget exactly. Which
 documents of a length are taken is decided by a seeded hash.
 """
@@ -19,6 +19,7 @@ from postmill.llm.common import gapless_ranks
 from postmill.session import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
+OPEN_WORDS = 1 << 16  # of a budget that are left to the knapsack
 
 
 def source_key(source: Column) -> Column:
@@ -55,8 +56,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     """How many documents of each length to take so that their words meet ``budget``.
 
     Of a budget over half of the words, the documents to leave out are chosen instead.
-    What is chosen falls short of what it has to meet only where no choice of the
-    lengths that proportional shares leave over can meet it.
+    Proportional shares of all lengths fill it up to the last OPEN_WORDS words, which the
+    knapsack fits to what is left. It falls short only where no choice of that can meet it.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int(lengths @ counts)
@@ -66,7 +67,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return np.zeros(len(counts), np.int64)
     if 2 * budget > total:
         return counts - fit_lengths(lengths, counts, total - budget)
-    wanted = counts * (budget / total)
+    wanted = counts * (max(0, budget - OPEN_WORDS) / total)
     take = np.floor(wanted).astype(np.int64)
     rest = budget - int(lengths @ take)
     while rest < 0:  # a product rounded up
@@ -76,7 +77,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     # one more of the lengths that lost most by rounding, as far as they fit
     order = np.argsort(take - wanted, kind="stable")
     order = order[(take < counts)[order]]
-    fits = np.cumsum(lengths[order]) <= rest
+    fits = np.cumsum(lengths[order]) <= rest - OPEN_WORDS
     take[order[fits]] += 1
     rest -= int(lengths[order[fits]].sum())
     return take + _knapsack(lengths, counts - take, rest)

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import (
-    LOWER, RangeHashes, by_group, components, in_blocks, joined_bytes, local_roots, mix64, pairs_inside, pieces,
+    LOWER, RangeHashes, by_group, components, in_blocks, joined_bytes, local_roots, may_contain, mix64, pairs_inside, pieces,
     symbol_codes, word_ranges,
 )
 from postmill.session import materialize
@@ -127,11 +128,14 @@ def _described(size: int, runs: int, similarity: float):
 
 
 def _sets(size: int):
+    """Shingle sets of texts that have the fingerprint they are wanted for; another text may have the same id."""
+
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, "_text"):
                 sets = shingle_sets(piece["_text"].tolist(), size)
-                yield pd.DataFrame({"_fp": [_fingerprint(s) for s in sets], "_set": [s.tobytes() for s in sets]})
+                right = [_fingerprint(s) == bytes(fp) for s, fp in zip(sets, piece["_fp"])]
+                yield piece.drop(columns="_text").assign(_set=[s.tobytes() for s in sets])[right]
 
     return run
 
@@ -188,7 +192,8 @@ def _links(similarity: float):
     def run(batches):
         for frame, starts in by_group(batches, ["_root", "_i", "_j"], 500):
             for lo, hi in zip(starts, np.append(starts[1:], len(frame))):
-                group = frame.iloc[lo:hi]
+                # repeated rows of a text bring its set again
+                group = frame.iloc[lo:hi].drop_duplicates("_fp")
                 sets = [np.frombuffer(s, np.uint64) for s in group["_set"]]
                 block, copies = group["_block"].to_numpy(), group["_copies"].to_numpy()
                 size = np.array([len(s) for s in sets], float)
@@ -205,10 +210,19 @@ def _links(similarity: float):
     return run
 
 
-def _met(rows: DataFrame, counts_of: DataFrame, group: str, block: int) -> DataFrame:
-    counts = counts_of.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = in_blocks(rows, group, counts, F.xxhash64("_fp"), block)
-    return met.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j", "_fp")
+def _one_of_each_text(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """One row of each text. Rows whose text occurs once stay where they are; only the others are shuffled."""
+    twice = own.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_least")).where("_n > 1").drop("_n")
+    twice = materialize(twice, "copies")
+    asked = rows.withColumn("_asked", may_contain(twice, "_hash")(F.col("_hash")))
+    again = asked.where("_asked").join(twice, "_hash", "left").where("_least is null or _id = _least")
+    first = F.row_number().over(Window.partitionBy("_hash").orderBy("_id"))
+    again = again.withColumn("_copy", first).where("_copy = 1")
+    return asked.where("not _asked").select(*rows.columns).unionAll(again.select(*rows.columns))
+
+
+def _grouped(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(group, "_i", "_j").sortWithinPartitions(group, "_i", "_j", "_fp")
 
 
 def join_texts(
@@ -231,50 +245,53 @@ def join_texts(
     # a NULL id travels as the largest number
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     rows = docs.select(number.alias("_id"), text_hash.alias("_hash"), F.col(text).cast("string").alias("_text"))
-    described = materialize(rows.mapInPandas(
+    own = materialize(rows.select("_id", "_hash"), "rows")
+    described = materialize(_one_of_each_text(rows, own).mapInPandas(
         _described(size, runs_for(recall), similarity),
         "_id long, _hash long, _fp binary, _sketch binary, " + ", ".join(f"_p{d + 1} array<long>" for d in range(DEPTH)),
     ), "described")
-    own = described.select("_id", "_hash", "_fp")
-    texts_of = described.where("_fp is not null")
-    classes = materialize(texts_of.groupBy("_fp").agg(
-        F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies"), F.min("_sketch").alias("_sketch")
-    ), "classes")
+    named = own.join(described.select("_hash", "_fp"), "_hash")
+    set_hash = F.xxhash64("_fp").alias("_set_hash")
+    classes = named.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies"))
+    sketches = described.where("_fp is not null").groupBy("_fp").agg(F.min("_sketch").alias("_sketch"), F.min("_id").alias("_text_id"))
+    classes = materialize(classes.join(sketches, "_fp"), "classes")
 
     # the nodes in which each set is searched: the first of its path that is small, else the last
-    level = texts_of.select("_fp", F.inline(F.arrays_zip(*[f"_p{d + 1}" for d in range(DEPTH)])))
-    found = None
+    found, large = [], []
     for d in range(1, DEPTH + 1):
-        nodes = level.where(f"_p{d} <> 0").select("_fp", F.col(f"_p{d}").alias("_node")).distinct()
+        # the paths down to this depth, through large nodes only
+        path = [f"_p{k}" for k in range(1, d + 1)]
+        level = described.where("_fp is not null").select(set_hash, F.inline(F.array_distinct(F.arrays_zip(*path))))
+        for k in range(1, d):
+            level = level.join(large[k - 1].select(F.col("_node").alias(f"_p{k}")), f"_p{k}", "left_semi")
+        nodes = level.where(f"_p{d} <> 0").select("_set_hash", F.col(f"_p{d}").alias("_node")).distinct()
+        nodes = materialize(nodes, "nodes")
         sizes = materialize(nodes.groupBy("_node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "node-sizes")
-        here = sizes if d == DEPTH else sizes.where(f"_n <= {SMALL}")
-        searched = nodes.join(here.select("_node"), "_node", "left_semi")
-        found = searched if found is None else found.union(searched)
-        if d < DEPTH:
-            large = sizes.where(f"_n > {SMALL}").select(F.col("_node").alias(f"_p{d}"))
-            level = level.join(large, f"_p{d}", "left_semi")
-    found = materialize(found, "nodes")
-    sketches = found.join(classes.select("_fp", "_sketch"), "_fp")
+        found.append(nodes.join(sizes if d == DEPTH else sizes.where(f"_n <= {SMALL}"), "_node"))
+        large.append(sizes.where(f"_n > {SMALL}"))
+    met = in_blocks(reduce(DataFrame.unionByName, found), F.col("_set_hash"), BLOCK)
+    met = met.join(classes.select(set_hash, "_fp", "_sketch"), "_set_hash")
     loose = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
-    met = _met(sketches, found, "_node", BLOCK)
-    near = components(met.mapInPandas(_alike(loose), "a binary, b binary"))
+    near = components(_grouped(met, "_node").mapInPandas(_alike(loose), "a binary, b binary"))
 
     # whole sets of the texts found, once for each block they meet
     near = near.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
-    near = materialize(near.join(classes.select("_fp", "_class", "_copies"), "_fp"), "near")
-    wanted = rows.select(F.col("_id").alias("_class"), "_text").join(near.select("_class").distinct(), "_class", "left_semi")
-    sets = wanted.select("_text").mapInPandas(_sets(size), "_fp binary, _set binary").dropDuplicates(["_fp"])
-    met = _met(sets.join(near, "_fp"), near, "_root", BLOCK // 2)
+    near = near.join(near.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")), "_root")
+    near = materialize(near.join(classes.select("_fp", "_text_id", "_copies"), "_fp"), "near")
+    candidate = may_contain(near.select(F.xxhash64("_text_id").alias("_key")), "_key")
+    wanted = rows.where(candidate(F.xxhash64("_id"))).withColumnRenamed("_id", "_text_id").join(near, "_text_id")
+    sets = wanted.drop("_text_id", "_hash").mapInPandas(_sets(size), "_fp binary, _root binary, _n long, _copies long, _set binary")
+    met = _grouped(in_blocks(sets, F.xxhash64("_fp"), BLOCK // 2), "_root")
     linked = materialize(met.mapInPandas(_links(similarity), "_fp binary, _links long, _to binary"), "links")
     roots = components(linked.select(F.col("_fp").alias("a"), F.col("_to").alias("b")))
     links = linked.groupBy("_fp").agg(F.sum("_links").alias("_links"))
-    joined = classes.drop("_sketch").join(links, "_fp", "left").join(
+    joined = classes.drop("_sketch", "_text_id").join(links, "_fp", "left").join(
         roots.select(F.col("node").alias("_fp"), F.col("root").alias("_root")), "_fp", "left"
     ).withColumn("_root", F.coalesce("_root", "_fp"))
     joined = joined.join(joined.groupBy("_root").agg(F.min("_class").alias("_group")), "_root").select(
         "_fp", "_root", "_class", "_group", (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("_links")
     )
-    out = own.join(joined, "_fp", "left")
+    out = named.join(joined, "_fp", "left")
     real = lambda c: F.when(c != _NO_ID, c)
     return out.select(
         real(F.col("_id")).alias("_id"), "_hash", real(F.coalesce("_class", "_id")).alias("_class"),

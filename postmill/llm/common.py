@@ -188,22 +188,50 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
-def in_blocks(rows: DataFrame, group: str, counts: DataFrame, spread: Column, block: int) -> DataFrame:
-    """Repeat rows so that any two of a group meet in some (``group``, ``_i``, ``_j``) of at most about 2 × ``block`` rows.
+def in_blocks(rows: DataFrame, spread: Column, block: int) -> DataFrame:
+    """Repeat rows so that any two of a group meet in some (``_i``, ``_j``) of at most about 2 × ``block`` rows.
 
-    ``counts`` has (group, ``_n``). A group of n rows is dealt into ceil(n / block)
+    ``_n`` is the size of a row's group. A group of n rows is dealt into ceil(n / block)
     blocks by a hash; a block meets itself where ``_i`` = ``_j`` and each other block
     once. ``_block`` is the row's own block.
     """
     blocks = F.ceil(F.col("_n") / F.lit(float(block))).cast("int")
-    dealt = rows.join(counts, group).withColumn("_blocks", blocks).withColumn("_block", F.pmod(spread, F.col("_blocks")).cast("int"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = dealt.withColumn("_partner", partner)
+    dealt = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(spread, F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_partner", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return dealt.withColumns({
         "_i": F.least("_block", "_partner"), "_j": F.greatest("_block", "_partner"),
     }).drop("_n", "_blocks", "_partner")
 
 
+FILTER_BITS = 1 << 23
+
+
+def may_contain(keys: DataFrame, column: str):
+    """A test of hash columns that is true for all 64-bit hashes in ``keys``, and false for most others.
+
+    A Bloom filter of one megabyte, whatever the number of keys. Rows that fail it need
+    not be shuffled for a join with ``keys``; those that pass still have to be joined.
+    """
+    places = F.explode(F.array(F.col(column), F.xxhash64(column)))
+    bit = F.pmod("_place", F.lit(FILTER_BITS))
+    words = keys.select(places.alias("_place")).select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(_bit % 64 as int)))").alias("_bits")
+    ).toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[words["_word"].to_numpy(dtype=np.int64)] = words["_bits"].to_numpy(dtype=np.int64).view(np.uint64)
+
+    def test(first: Column) -> Column:
+        def run(a, b):
+            import pandas as pd
+
+            found = [(bits[x % FILTER_BITS >> 6] >> (x % 64).astype(np.uint64)) & np.uint64(1) for x in (a.to_numpy(), b.to_numpy())]
+            return pd.Series((found[0] & found[1]).astype(bool))
+
+        return F.pandas_udf(run, "boolean")(first, F.xxhash64(first))
+
+    return test
+
+
 def by_group(batches, keys: Sequence[str], most_rows: int = 20000):
     """Join sorted pandas batches into frames of whole groups, (frame, group starts), each of ``most_rows`` rows or one group."""
     import pandas as pd

@@ -45,7 +45,7 @@ ALLOWED = (
     r"^[A-Za-z_/=+-]+$",  # words and paths without a digit
     r"^[0-9_/=+-]+$",  # numbers, dates and telephone numbers
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # identifiers
-    r"(?i)example|sample|placeholder|dummy|changeme|xxxx|0{8}|12345678|abcdefgh",
+    r"(?i:example|sample|placeholder|dummy|changeme|xxxx|0{8}|12345678|abcdefgh)",
 )
 
 

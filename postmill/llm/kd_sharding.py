@@ -160,7 +160,7 @@ def fit(rows: DataFrame, shards: int | None = None, target_bytes: int | None = N
 def numbered(rows: DataFrame, tree: Tree, shard: str) -> DataFrame:
     """Replace the leaf node by the number of its shard."""
     numbers = rows.sparkSession.createDataFrame(sorted(_leaf_numbers(tree.shards).items()), f"_node long, `{shard}` int")
-    return rows.join(numbers, "_node").drop("_node", "_x", "_w", "_id")
+    return rows.join(materialize(numbers, "kd-leaves"), "_node").drop("_node", "_x", "_w", "_id")
 
 
 def place(rows: DataFrame, tree: Tree, shard: str) -> DataFrame:

@@ -148,7 +148,7 @@ def link_vectors(
         "pivot-lists",
     )
     sizes = lists.groupBy("_list").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = in_blocks(lists, "_list", sizes, F.xxhash64("_key"), BLOCK)
+    met = in_blocks(lists.join(sizes, "_list"), F.xxhash64("_key"), BLOCK)
     met = met.repartition("_list", "_i", "_j").sortWithinPartitions("_list", "_i", "_j", "_key")
     linked = materialize(met.mapInPandas(_links(similarity, shared), "_key binary, _links long, _to binary"), "vector-links")
     roots = components(linked.select(F.col("_key").alias("a"), F.col("_to").alias("b")))

@@ -95,12 +95,14 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, pairs: int = 100_000, ridge: fl
     # every row takes part about equally often
     a = np.resize(dice.permutation(ups), pairs)
     b = dice.permutation(np.resize(downs, pairs))
-    difference = z[a] - z[b]
     w = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(difference @ w, -30, 30)))
-        slope = difference.T @ (1 - p) / pairs - ridge * w
-        curve = (difference * (p * (1 - p))[:, None]).T @ difference / pairs + ridge * np.eye(width)
+        slope, curve = -ridge * w, ridge * np.eye(width)
+        for at in range(0, pairs, 4096):  # differences exist for a few pairs at a time
+            difference = z[a[at : at + 4096]] - z[b[at : at + 4096]]
+            p = 1 / (1 + np.exp(-np.clip(difference @ w, -30, 30)))
+            slope = slope + difference.T @ (1 - p) / pairs
+            curve = curve + (difference * (p * (1 - p))[:, None]).T @ difference / pairs
         step = np.linalg.solve(curve, slope)
         w = w + step * min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-4:
