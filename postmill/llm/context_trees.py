@@ -21,7 +21,7 @@ from postmill.llm.common import LOWER, RangeHashes, by_group, joined_bytes, mix6
 from postmill.session import materialize
 
 DEPTH = 4  # bytes of context; seven at most, so that a gram is a 64-bit number
-HEAD = 1 << 20  # most frequent words and grams that tasks hold; the others are joined
+HEAD = 1 << 19  # words, and grams, that tasks hold at most: the most frequent ones; the others are joined
 END = 0xFF  # never a byte of UTF-8
 
 _HALF = math.log(0.5)
@@ -248,8 +248,20 @@ def _predictions(depth: int, upper: np.ndarray):
 
 
 def _head(rows: DataFrame, most: int) -> Lookup:
-    """The ``most`` most frequent keys and their values; ties go by key."""
-    top = rows.orderBy(F.desc("_all"), "_key").limit(most).select("_key", "_value").toPandas()
+    """The most frequent keys, ``most`` at most, and their values.
+
+    Keys are taken down to a frequency; only sums over frequency classes and the keys
+    themselves come to the driver.
+    """
+    frequency = F.floor(F.log2("_all") * 8)
+    classes = rows.groupBy(frequency.alias("class")).count().orderBy(F.desc("class")).collect()
+    least, held = math.inf, 0
+    for r in classes:
+        held += r["count"]
+        if held > most:
+            break
+        least = r["class"]
+    top = rows.where(frequency >= least).select("_key", "_value").toPandas()
     return Lookup(top["_key"].to_numpy(dtype=np.int64).view(np.uint64), top["_value"].to_numpy(dtype=float))
 
 
@@ -287,7 +299,7 @@ def score(docs: DataFrame, learn: Column, keep: Sequence[str], text: str = "text
     unigram baseline with add-one smoothing over words and one end. With nothing to
     learn from, each decision has probability one half and each token counts 1 of 1.
 
-    Tasks hold tables of the ``head`` most frequent words and grams. All others are
+    Tasks hold tables of at most ``head`` frequent words, and as many grams. All others are
     joined by key, so results do not depend on ``head``.
     """
     spark = docs.sparkSession
