@@ -121,6 +121,7 @@ def _described(size: int, runs: int, similarity: float):
                 yield pd.DataFrame({
                     "_id": piece["_id"].to_numpy(), "_hash": piece["_hash"].to_numpy(),
                     "_fp": [_fingerprint(s) if len(s) else None for s in sets], "_sketch": [_sketch(s) for s in sets],
+                    "_size": [len(s) for s in sets],
                     **{f"_p{d + 1}": np.split(np.ascontiguousarray(nodes[:, d]), cuts) for d in range(DEPTH)},
                 })
 
@@ -248,12 +249,12 @@ def join_texts(
     own = materialize(rows.select("_id", "_hash"), "rows")
     described = materialize(_one_of_each_text(rows, own).mapInPandas(
         _described(size, runs_for(recall), similarity),
-        "_id long, _hash long, _fp binary, _sketch binary, " + ", ".join(f"_p{d + 1} array<long>" for d in range(DEPTH)),
+        "_id long, _hash long, _fp binary, _sketch binary, _size int, " + ", ".join(f"_p{d + 1} array<long>" for d in range(DEPTH)),
     ), "described")
     named = own.join(described.select("_hash", "_fp"), "_hash")
     set_hash = F.xxhash64("_fp").alias("_set_hash")
     classes = named.where("_fp is not null").groupBy("_fp").agg(F.min("_id").alias("_class"), F.count(F.lit(1)).alias("_copies"))
-    sketches = described.where("_fp is not null").groupBy("_fp").agg(F.min("_sketch").alias("_sketch"), F.min("_id").alias("_text_id"))
+    sketches = described.where("_fp is not null").groupBy("_fp").agg(F.min("_sketch").alias("_sketch"), F.min("_id").alias("_text_id"), F.min("_size").alias("_size"))
     classes = materialize(classes.join(sketches, "_fp"), "classes")
 
     # the nodes in which each set is searched: the first of its path that is small, else the last
@@ -263,12 +264,12 @@ def join_texts(
         path = [f"_p{k}" for k in range(1, d + 1)]
         level = described.where("_fp is not null").select(set_hash, F.inline(F.array_distinct(F.arrays_zip(*path))))
         for k in range(1, d):
-            level = level.join(large[k - 1].select(F.col("_node").alias(f"_p{k}")), f"_p{k}", "left_semi")
+            level = level.join(large[k - 1].withColumnRenamed("_node", f"_p{k}"), f"_p{k}", "left_semi")
         nodes = level.where(f"_p{d} <> 0").select("_set_hash", F.col(f"_p{d}").alias("_node")).distinct()
         nodes = materialize(nodes, "nodes")
         sizes = materialize(nodes.groupBy("_node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "node-sizes")
         found.append(nodes.join(sizes if d == DEPTH else sizes.where(f"_n <= {SMALL}"), "_node"))
-        large.append(sizes.where(f"_n > {SMALL}"))
+        large.append(materialize(sizes.where(f"_n > {SMALL}").select("_node"), "large-nodes"))
     met = in_blocks(reduce(DataFrame.unionByName, found), F.col("_set_hash"), BLOCK)
     met = met.join(classes.select(set_hash, "_fp", "_sketch"), "_set_hash")
     loose = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SKETCH)
@@ -276,16 +277,19 @@ def join_texts(
 
     # whole sets of the texts found, once for each block they meet
     near = near.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
-    near = near.join(near.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")), "_root")
-    near = materialize(near.join(classes.select("_fp", "_text_id", "_copies"), "_fp"), "near")
+    near = near.join(classes.select("_fp", "_text_id", "_copies", "_size"), "_fp")
+    # a block is bounded in rows and in shingles
+    weight = F.lit(1) + F.col("_size") / F.lit(2048)
+    near = near.join(near.groupBy("_root").agg(F.sum(weight).alias("_n")), "_root").drop("_size")
+    near = materialize(near, "near")
     candidate = may_contain(near.select(F.xxhash64("_text_id").alias("_key")), "_key")
     wanted = rows.where(candidate(F.xxhash64("_id"))).withColumnRenamed("_id", "_text_id").join(near, "_text_id")
-    sets = wanted.drop("_text_id", "_hash").mapInPandas(_sets(size), "_fp binary, _root binary, _n long, _copies long, _set binary")
-    met = _grouped(in_blocks(sets, F.xxhash64("_fp"), BLOCK // 2), "_root")
+    sets = wanted.select("_text", *near.columns).mapInPandas(_sets(size), "_fp binary, _root binary, _text_id long, _copies long, _n double, _set binary")
+    met = _grouped(in_blocks(sets.drop("_text_id"), F.xxhash64("_fp"), 2 * BLOCK), "_root")
     linked = materialize(met.mapInPandas(_links(similarity), "_fp binary, _links long, _to binary"), "links")
     roots = components(linked.select(F.col("_fp").alias("a"), F.col("_to").alias("b")))
     links = linked.groupBy("_fp").agg(F.sum("_links").alias("_links"))
-    joined = classes.drop("_sketch", "_text_id").join(links, "_fp", "left").join(
+    joined = classes.drop("_sketch", "_text_id", "_size").join(links, "_fp", "left").join(
         roots.select(F.col("node").alias("_fp"), F.col("root").alias("_root")), "_fp", "left"
     ).withColumn("_root", F.coalesce("_root", "_fp"))
     joined = joined.join(joined.groupBy("_root").agg(F.min("_class").alias("_group")), "_root").select(
