@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.functions.columns import dtype, first_existing
+from postmill.functions.columns import dtype
 from postmill.functions.normalize import from_aliases, id_text, normalize_id
 from postmill.operators.gates import date_semantics
 
@@ -66,7 +66,7 @@ def completed_days(df: DataFrame, day: str, max_date: Column, min_days: int) ->
 def materialize_latest(
     partitions: DataFrame, day: str, key: str, ordinal: Sequence[str], max_date: Column, min_days: int = 1
 ) -> DataFrame:
-    """H2: the newest day wins per id, the first row wins inside a day, blank ids are left out.
+    """H2: the newest day wins per id without its blanks, the first row wins inside a day, blank ids are left out.
 
     The filter on the partition column prunes files; ``row_number() = 1`` keeps
     one row per id in each map task before the shuffle.
@@ -74,7 +74,7 @@ def materialize_latest(
     completed_days(partitions, day, max_date, min_days)
     rows = partitions.where(F.col(day) <= max_date)
     named = rows.where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != "")
-    newest = Window.partitionBy(key).orderBy(F.desc(day), *ordinal)
+    newest = Window.partitionBy(F.trim(F.col(key).cast("string"))).orderBy(F.desc(day), *ordinal)
     picked = named.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") == 1).drop("_rn")
     return picked.withColumn("backfill_snapshot_date", F.col(day).cast("string"))
 
@@ -119,13 +119,14 @@ def posting_serving_rows(features: DataFrame, ordinal: Sequence[Column], run_id:
         return F.when(F.col(name).cast("string") != "", F.col(name).cast("string")) if name in df.columns else F.lit(
             None).cast("string")
 
-    source = first_existing(df, "skills", "top_skills_list")
-    if source is None:
-        skills = F.array().cast("array<string>")
-    elif isinstance(dtype(df, source), T.ArrayType):
-        skills = F.filter(source, lambda s: s != "")
-    else:
-        skills = F.filter(F.transform(F.split(source, ","), lambda s: F.trim(s)), lambda s: s != "")
+    def listed(source: str) -> Column:
+        if isinstance(dtype(df, source), T.ArrayType):
+            return F.filter(source, lambda s: s != "")
+        return F.filter(F.transform(F.split(source, ","), lambda s: F.trim(s)), lambda s: s != "")
+
+    # each row falls back from the one column to the other
+    present = [listed(c) for c in ("skills", "top_skills_list") if c in df.columns]
+    skills = F.coalesce(*[F.when(F.size(c) > 0, c) for c in present], *present[:1], F.array().cast("array<string>"))
     last = Window.partitionBy("hh_vacancy_id").orderBy(*ordinal)
     rows = df.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") == 1)
     number = {n: F.col(n).try_cast("long") if n in df.columns else F.lit(None).cast("long") for n in ("salary_from", "salary_to")}

@@ -96,7 +96,7 @@ def processed_metrics(features: DataFrame, view: DataFrame) -> DataFrame:
 
 def _gate(name: str, passed: Column, value: Column, threshold: float | None) -> Column:
     return F.struct(
-        F.lit(name).alias("name"), passed.alias("passed"), F.round(value.cast("double"), 6).alias("value"),
+        F.lit(name).alias("name"), passed.alias("passed"), F.bround(value.cast("double"), 6).alias("value"),
         F.lit(threshold).cast("double").alias("threshold"),
     )
 
@@ -159,7 +159,7 @@ def segment_quality(features: DataFrame, thresholds: Mapping[str, float] | None
         & ~F.lower(F.trim("value")).isin(*UNKNOWN_VALUES)
     )
     return per_value.select(
-        "position", "dimension", "value", "row_count", F.round(share, 6).alias("salary_known_share"),
+        "position", "dimension", "value", "row_count", F.bround(share, 6).alias("salary_known_share"),
         passed.alias("passed"), F.when(passed, "usable").otherwise("low").alias("confidence"),
     )
 
@@ -387,7 +387,7 @@ def duplicate_conflicts(df: DataFrame, ordinal: str) -> DataFrame:
         F.coalesce(F.sum("_conflicts"), F.lit(0)).alias("conflict_count"))
     return out.withColumns({
         "duplicate_count": F.col("total_rows") - F.col("unique_keys"),
-        "duplicate_share": F.round(_share(F.col("total_rows") - F.col("unique_keys"), F.col("total_rows"), 0.0), 6),
+        "duplicate_share": F.bround(_share(F.col("total_rows") - F.col("unique_keys"), F.col("total_rows"), 0.0), 6),
     })
 
 
@@ -414,8 +414,8 @@ def raw_quality(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("_id").isNotNull(), F.col("_n") - 1)), F.lit(0)).alias("duplicate_count"),
         *[F.sum(f"_f_{c}").alias(f"_f_{c}") for c in fields])
     n = F.col("row_count")
-    out = out.withColumn("duplicate_share", F.round(_share(F.col("duplicate_count"), n, 0.0), 6))
-    out = out.withColumns({f"{c}_completeness": F.round(_share(F.col(f"_f_{c}"), n, 0.0), 6) for c in fields})
+    out = out.withColumn("duplicate_share", F.bround(_share(F.col("duplicate_count"), n, 0.0), 6))
+    out = out.withColumns({f"{c}_completeness": F.bround(_share(F.col(f"_f_{c}"), n, 0.0), 6) for c in fields})
     groups = {}
     for name, members in CRITICAL_GROUPS.items():
         cols = [F.col(f"{c}_completeness") for c in members if c in fields]
@@ -438,8 +438,8 @@ def collection_quality(shards: DataFrame) -> DataFrame:
     n = F.col("shard_count")
     return out.withColumns({
         "successful_shards": n - F.col("error_shards"),
-        "success_share": F.when(n > 0, F.round((n - F.col("error_shards")) / n, 6)),
-        "error_share": F.when(n > 0, F.round(F.col("error_shards") / n, 6)),
+        "success_share": F.when(n > 0, F.bround((n - F.col("error_shards")) / n, 6)),
+        "error_share": F.when(n > 0, F.bround(F.col("error_shards") / n, 6)),
     })
 
 
@@ -498,7 +498,7 @@ def raw_gate(
     ))
     return one.withColumn("failures", failures).select(
         F.when(F.size("failures") == 0, "passed").otherwise("failed").alias("status"), "failures",
-        F.round(removed, 6).alias("removed_share"), previous.alias("previous_row_count"), "duplicate_share")
+        F.bround(removed, 6).alias("removed_share"), previous.alias("previous_row_count"), "duplicate_share")
 
 
 def shard_failures(shards: DataFrame, limits: Mapping[str, int] = SHARD_LIMITS) -> DataFrame:

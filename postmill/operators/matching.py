@@ -190,13 +190,17 @@ def match_score(pairs: DataFrame, skill: str | None = None) -> DataFrame:
     ).drop("_offered", "_own", "_keys", "_common")
 
 
-def match_profiles(profiles: DataFrame, postings: DataFrame, page: int = 20, top_k: int = 5) -> DataFrame:
-    """I2 for all profiles: the search page of each profile by its role and grade, scored, best first."""
+def match_profiles(profiles: DataFrame, postings: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """I2 for all profiles: every posting of the requested search page by role and grade, with its score.
+
+    ``limit`` and ``offset`` are the page a request asks for, newest postings first;
+    ``rank`` orders the page's own rows by score.
+    """
     order = [F.desc_nulls_last("published_at"), F.col("hh_vacancy_id")]
-    pairs = newest_per_profile(profiles, postings, SEARCH_FIELDS[:2], "user_id", order, page)
-    scored = match_score(pairs)
+    pairs = newest_per_profile(profiles, postings, SEARCH_FIELDS[:2], "user_id", order, offset + limit)
+    scored = match_score(pairs.where(F.col("position") > offset))
     best = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("match_score"), "position")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    return scored.withColumn("rank", F.row_number().over(best))
 
 
 def search_state(index_status: Column, used_fallback: Column, warnings: Column) -> Column:

@@ -290,7 +290,7 @@ def analyze_personas(
         lambda e: e["skill_name"])
     recommended = gaps.groupBy("persona_id").agg(missing.alias("recommended_skills"))
     rows, salaried = F.coalesce("_rows", F.lit(0)), F.coalesce("_salaried", F.lit(0))
-    coverage = F.when(rows > 0, F.round(salaried / rows, 6))
+    coverage = F.when(rows > 0, F.bround(salaried / rows, 6))
     label = market_confidence(rows, salaried, coverage)
     out = (
         segments.join(stats, "_key", "left").join(quartiles, "_key", "left")

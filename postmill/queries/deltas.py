@@ -9,14 +9,14 @@ from postmill.queries.registry import query
 
 S = "salary_mid_rub_capped"
 SIDES = """prev AS (SELECT DISTINCT vacancy_id::VARCHAR AS id FROM postings WHERE day < DATE '1998-06-01'),
-  cur AS (SELECT DISTINCT vacancy_id::VARCHAR AS id FROM postings WHERE day >= DATE '1997-06-01' AND day < DATE '1999-06-01'),
+  cur AS (SELECT DISTINCT vacancy_id::VARCHAR AS id FROM postings WHERE day >= DATE '1997-06-01'),
   dl AS (SELECT id, 'new' AS change FROM cur ANTI JOIN prev USING (id) UNION ALL SELECT id, 'removed' FROM prev ANTI JOIN cur USING (id))"""
 
 
 def delta(t):
     rows = t.postings("vacancy_id", "day")
     previous = rows.where(F.col("day") < "1998-06-01")
-    current = rows.where((F.col("day") >= "1997-06-01") & (F.col("day") < "1999-06-01"))
+    current = rows.where(F.col("day") >= "1997-06-01")
     return deltas.snapshot_delta(previous, current)
 
 
@@ -72,14 +72,14 @@ def served_sql(since, until):
 
 
 @query("posting_serving_rows", f"""SELECT * EXCLUDE (description_snippet), length(description_snippet) AS snippet_length, url AS hh_url, 'run-1' AS dataset_run_id
-  FROM ({served_sql('1996-01-01', '1999-01-01')})""")
+  FROM ({served_sql('1900-01-01', '2100-01-01')})""")
 def _(t):
-    out = served(t, "1996-01-01", "1999-01-01").withColumn("snippet_length", F.length("description_snippet"))
+    out = served(t, "1900-01-01", "2100-01-01").withColumn("snippet_length", F.length("description_snippet"))
     return out.drop("description_snippet", "city_tier", "country", "region", "city_normalized", "salary_to")
 
 
 _FIELDS = ["title", "primary_role", "grade", "city", "geo_scope", "salary_from", "skills", "published_at"]
-RECONCILE = f"""o AS ({served_sql('1996-01-01', '1998-06-01')}), n AS ({served_sql('1997-06-01', '1999-06-01')}),
+RECONCILE = f"""o AS ({served_sql('1900-01-01', '1998-06-01')}), n AS ({served_sql('1997-06-01', '2100-01-01')}),
   r AS (SELECT coalesce(o.hh_vacancy_id, n.hh_vacancy_id) AS hh_vacancy_id, o.hh_vacancy_id IS NULL AS ins, n.hh_vacancy_id IS NULL AS del,
   array_to_string(list_filter([{', '.join(f"CASE WHEN o.{f} IS DISTINCT FROM n.{f} THEN '{f}' END" for f in deltas.COMPARED_FIELDS if f in [*_FIELDS, 'description_snippet'])}],
   lambda x: x IS NOT NULL), '|') AS ch FROM o FULL JOIN n ON o.hh_vacancy_id = n.hh_vacancy_id),
@@ -88,7 +88,7 @@ RECONCILE = f"""o AS ({served_sql('1996-01-01', '1998-06-01')}), n AS ({served_s
 
 
 def actions(t):
-    return deltas.reconcile(served(t, "1996-01-01", "1998-06-01"), served(t, "1997-06-01", "1999-06-01"))
+    return deltas.reconcile(served(t, "1900-01-01", "1998-06-01"), served(t, "1997-06-01", "2100-01-01"))
 
 
 @query("reconcile", f"WITH {RECONCILE} SELECT * FROM act")
@@ -106,8 +106,8 @@ def _(t):
 @query("apply_reconciliation", f"""WITH {RECONCILE} SELECT hh_vacancy_id, CASE WHEN action = 'unchanged' THEN '2001-01-01 00:00:00' ELSE '2002-01-01 00:00:00' END AS indexed_at
   FROM act WHERE action <> 'delete'""")
 def _(t):
-    old = served(t, "1996-01-01", "1998-06-01").withColumn("indexed_at", F.lit("2001-01-01").cast("timestamp"))
-    new = served(t, "1997-06-01", "1999-06-01").withColumn("indexed_at", F.lit("2002-01-01").cast("timestamp"))
+    old = served(t, "1900-01-01", "1998-06-01").withColumn("indexed_at", F.lit("2001-01-01").cast("timestamp"))
+    new = served(t, "1997-06-01", "2100-01-01").withColumn("indexed_at", F.lit("2002-01-01").cast("timestamp"))
     return deltas.apply_reconciliation(old, new).select("hh_vacancy_id", "indexed_at")
 
 

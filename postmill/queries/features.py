@@ -94,14 +94,14 @@ def _(t):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("work_mode", """SELECT work_format, is_remote, is_hybrid, CASE WHEN work_format IN ('remote', 'office') THEN work_format
+@query("work_mode", """SELECT work_format, is_remote, is_hybrid, CASE WHEN work_format IN ('remote', 'hybrid', 'office', 'field') THEN work_format
   WHEN is_remote THEN 'remote' WHEN is_hybrid THEN 'hybrid' ELSE 'unknown' END AS work_mode, count(*) AS n FROM (
   SELECT CASE WHEN quantity < 20 THEN work_mode WHEN quantity < 30 THEN 'shift' END AS work_format,
   CASE WHEN work_mode <> 'remote' THEN is_junior_friendly END AS is_remote, quantity > 40 AS is_hybrid
-  FROM postings WHERE work_mode <> 'hybrid') GROUP BY ALL""")
+  FROM postings) GROUP BY ALL""")
 def _(t):
     q = F.col("quantity")
-    rows = t.postings("work_mode", "quantity", "is_junior_friendly").where(F.col("work_mode") != "hybrid").select(
+    rows = t.postings("work_mode", "quantity", "is_junior_friendly").select(
         F.when(q < 20, F.col("work_mode")).when(q < 30, "shift").alias("work_format"),
         F.when(F.col("work_mode") != "remote", F.col("is_junior_friendly")).alias("is_remote"),
         (q > 40).alias("is_hybrid"),

@@ -28,13 +28,13 @@ def features(t):
 
 def gate_rows(entries, source):
     return " UNION ALL ".join(
-        f"SELECT '{n}' AS name, {p} AS passed, round(({v})::DOUBLE, 6) AS value, {th}::DOUBLE AS threshold FROM {source}"
+        f"SELECT '{n}' AS name, {p} AS passed, round_even(({v})::DOUBLE, 6) AS value, {th}::DOUBLE AS threshold FROM {source}"
         for n, p, v, th in entries)
 
 
-@query("processed_metrics", f"""WITH {METRICS} SELECT n AS features_rows, dup AS duplicate_count, round(dup_share, 6) AS duplicate_share,
-  round(salaried, 6) AS salary_known_share, round(role, 6) AS unknown_role_share, round(grade, 6) AS unknown_grade_share,
-  round(geo, 6) AS unknown_geo_share, round(mode, 6) AS unknown_work_mode_share, 25 AS market_view_rows FROM m""")
+@query("processed_metrics", f"""WITH {METRICS} SELECT n AS features_rows, dup AS duplicate_count, round_even(dup_share, 6) AS duplicate_share,
+  round_even(salaried, 6) AS salary_known_share, round_even(role, 6) AS unknown_role_share, round_even(grade, 6) AS unknown_grade_share,
+  round_even(geo, 6) AS unknown_geo_share, round_even(mode, 6) AS unknown_work_mode_share, 25 AS market_view_rows FROM m""")
 def _(t):
     return gates.processed_metrics(features(t), t.nation)
 
@@ -72,13 +72,13 @@ def segmented(t, **limits):
     return gates.segment_quality(rows, limits)
 
 
-@query("segment_quality", f"""WITH {SEGMENT_SQL.replace('{n}', '20')} SELECT position, dimension, value, row_count, round(share, 6) AS salary_known_share,
+@query("segment_quality", f"""WITH {SEGMENT_SQL.replace('{n}', '20')} SELECT position, dimension, value, row_count, round_even(share, 6) AS salary_known_share,
   passed, CASE WHEN passed THEN 'usable' ELSE 'low' END AS confidence FROM s""")
 def _(t):
     return segmented(t)
 
 
-@query("low_segments", f"""WITH {SEGMENT_SQL.replace('{n}', '13000')} SELECT dimension, value, row_count, round(share, 6) AS salary_known_share,
+@query("low_segments", f"""WITH {SEGMENT_SQL.replace('{n}', '13000')} SELECT dimension, value, row_count, round_even(share, 6) AS salary_known_share,
   passed, 'low' AS confidence FROM s WHERE NOT passed ORDER BY position, value LIMIT 50""")
 def _(t):
     return gates.low_segments(segmented(t, min_segment_rows=13000))
@@ -166,7 +166,7 @@ def day(text):
 @query("date_semantics", f"""WITH {DATED}, a AS (SELECT count(*) AS row_count, count(p) AS known_published_at_count,
   count(*) FILTER (WHERE p < DATE '1996-01-01' OR p > DATE '2001-01-01') AS out_of_window_count, count(*) - count(p) AS unknown_published_at_count,
   strftime(min(p), '%Y-%m-%d') AS observed_published_at_from, strftime(max(p), '%Y-%m-%d') AS observed_published_at_to FROM d)
-  SELECT *, round(unknown_published_at_count / row_count, 6) AS unknown_date_share, round(out_of_window_count / row_count, 6) AS out_of_window_share,
+  SELECT *, round_even(unknown_published_at_count / row_count, 6) AS unknown_date_share, round_even(out_of_window_count / row_count, 6) AS out_of_window_share,
   CASE WHEN out_of_window_count > 0 THEN format('out_of_window_share {{:.6f}} > max_out_of_window_share 0.000000', out_of_window_count / row_count) ELSE '' END AS failures,
   CASE WHEN out_of_window_count > 0 THEN 'failed' ELSE 'passed' END AS status FROM a""")
 def _(t):
@@ -214,7 +214,7 @@ def conflicting(t):
 
 @query("duplicate_conflicts", f"""WITH {CONFLICT} SELECT count(*) AS total_rows, count(DISTINCT k) AS unique_keys,
   count(*) FILTER (WHERE p <> fp) AS conflict_count, count(*) - count(DISTINCT k) AS duplicate_count,
-  round((count(*) - count(DISTINCT k)) / count(*), 6) AS duplicate_share FROM f""")
+  round_even((count(*) - count(DISTINCT k)) / count(*), 6) AS duplicate_share FROM f""")
 def _(t):
     return gates.duplicate_conflicts(conflicting(t), "ordinal")
 
@@ -239,11 +239,11 @@ def raw(t):
 
 
 RAW_STATS = f"""{RAW}, q AS (SELECT count(*) AS row_count, count(*) FILTER (WHERE vacancy_id <> ' ') - count(DISTINCT CASE WHEN vacancy_id <> ' ' THEN vacancy_id END) AS dup,
-  round(avg((title <> '')::INT), 6) AS tc, round(avg((vacancy_id <> ' ')::INT), 6) AS ic, round(avg((url IS NOT NULL)::INT), 6) AS uc,
-  round(avg((vacancy_url IS NOT NULL)::INT), 6) AS vc, round(avg((published_at_iso IS NOT NULL)::INT), 6) AS pc FROM raw)"""
+  round_even(avg((title <> '')::INT), 6) AS tc, round_even(avg((vacancy_id <> ' ')::INT), 6) AS ic, round_even(avg((url IS NOT NULL)::INT), 6) AS uc,
+  round_even(avg((vacancy_url IS NOT NULL)::INT), 6) AS vc, round_even(avg((published_at_iso IS NOT NULL)::INT), 6) AS pc FROM raw)"""
 
 
-@query("raw_quality", f"""WITH {RAW_STATS} SELECT row_count, dup AS duplicate_count, round(dup / row_count, 6) AS duplicate_share,
+@query("raw_quality", f"""WITH {RAW_STATS} SELECT row_count, dup AS duplicate_count, round_even(dup / row_count, 6) AS duplicate_share,
   tc AS title_completeness, ic AS vacancy_id_completeness, uc AS url_completeness, vc AS vacancy_url_completeness, pc AS published_at_iso_completeness,
   tc AS title_group_completeness, ic AS id_group_completeness, greatest(uc, vc) AS url_group_completeness, pc AS published_at_group_completeness FROM q""")
 def _(t):
@@ -276,7 +276,7 @@ COLLECT = f"""{SHARDS}, cq AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_or
 
 
 @query("collection_quality", f"""WITH {COLLECT} SELECT n AS shard_count, err AS error_shards, blocked AS blocked_shards, zero AS zero_row_shards,
-  n - err AS successful_shards, round((n - err) / n, 6) AS success_share, round(err / n, 6) AS error_share FROM cq""")
+  n - err AS successful_shards, round_even((n - err) / n, 6) AS success_share, round_even(err / n, 6) AS error_share FROM cq""")
 def _(t):
     return gates.collection_quality(shards(t))
 
@@ -285,16 +285,16 @@ def _(t):
   SELECT 'failed' AS status, array_to_string(list_filter([format('row_count {{}} < min_rows 1000000000', row_count - 5),
   'dataset_scope must be all_vacancies or salary_disclosed', 'salary_only must be present as boolean',
   CASE WHEN 900 / (row_count - 5 - 10 + 900) > 0.01 THEN format('removed_share {{:.4f}} > max_removed_share 0.0100', 900 / (row_count - 5 - 10 + 900)) END,
-  CASE WHEN round(dup / row_count, 6) > 0.2 THEN format('duplicate_share {{:.4f}} > max_duplicate_share 0.2000', round(dup / row_count, 6)) END,
+  CASE WHEN round_even(dup / row_count, 6) > 0.2 THEN format('duplicate_share {{:.4f}} > max_duplicate_share 0.2000', round_even(dup / row_count, 6)) END,
   format('csv row_count {{}} != state row_count {{}}', row_count, row_count - 5),
   CASE WHEN tc < 0.95 THEN format('title_completeness {{:.4f}} < min_critical_field_completeness 0.9500', tc) END,
   CASE WHEN ic < 0.95 THEN format('id_completeness {{:.4f}} < min_critical_field_completeness 0.9500', ic) END,
   CASE WHEN greatest(uc, vc) < 0.95 THEN format('url_completeness {{:.4f}} < min_critical_field_completeness 0.9500', greatest(uc, vc)) END,
   format('date semantics failed: out_of_window_share {{:.6f}} > max_out_of_window_share 0.000000', o), 'collection report status failed',
   CASE WHEN blocked > 0 THEN 'collection report contains blocked shards' END, format('zero_row_shards {{}} > max_zero_row_shards 0', zero),
-  format('collection_error_share {{:.4f}} > max_collection_error_share 0.0000', round(err / n, 6)),
-  format('collection_success_share {{:.4f}} < min_collection_success_share 1.0000', round((n - err) / n, 6))], lambda x: x IS NOT NULL), '|') AS failures,
-  round(900 / (row_count - 5 - 10 + 900), 6) AS removed_share, row_count - 5 - 10 + 900 AS previous_row_count, round(dup / row_count, 6) AS duplicate_share
+  format('collection_error_share {{:.4f}} > max_collection_error_share 0.0000', round_even(err / n, 6)),
+  format('collection_success_share {{:.4f}} < min_collection_success_share 1.0000', round_even((n - err) / n, 6))], lambda x: x IS NOT NULL), '|') AS failures,
+  round_even(900 / (row_count - 5 - 10 + 900), 6) AS removed_share, row_count - 5 - 10 + 900 AS previous_row_count, round_even(dup / row_count, 6) AS duplicate_share
   FROM q, cq, ow""")
 def _(t):
     rows = raw(t)
@@ -341,7 +341,7 @@ def _(t):
 @query("candidate_gate", f"""WITH {SHARD_FAIL}, {CONFLICT}, dc AS (SELECT count(*) - count(DISTINCT k) AS d, count(*) AS n, count(*) FILTER (WHERE p <> fp) AS c FROM f)
   SELECT 'blocked' AS status, 'source_capability_ref: not supported|job status is blocked: no reason|complete archive claim requires closed_archived_coverage=included|'
   || 'shard failures: ' || shard_failures || '|duplicate conflicts detected: ' || c || CASE WHEN d / n > 0.05 THEN
-  format('|duplicate_share {{:.6f}} > max_duplicate_share 0.050000', round(d / n, 6)) ELSE '' END AS failures, '' AS warnings, shard_count, accepted_shards, row_count,
+  format('|duplicate_share {{:.6f}} > max_duplicate_share 0.050000', round_even(d / n, 6)) ELSE '' END AS failures, '' AS warnings, shard_count, accepted_shards, row_count,
   d AS duplicate_count, c AS conflict_count FROM sc, dc""")
 def _(t):
     job = t.region.agg(

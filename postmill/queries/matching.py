@@ -80,7 +80,7 @@ PAIRS_SQL = f"""{SEEKERS_SQL}, s AS ({served_sql(LO, HI)}), c AS (SELECT DISTINC
   AND (c.grade IS NULL OR c.grade = s.grade)),
   pr AS (SELECT q.*, hh_vacancy_id, title, p_role, p_grade, p_city, p_scope, list_distinct(sk) AS sk0, CASE WHEN sk[1] = sk[2] THEN [sk[1]] ELSE sk END AS sk, position,
   k % 11 = 0 AS cc, lower(trim(CASE k % 6 WHEN 0 THEN 'bolt' WHEN 1 THEN 'Rod ' ELSE '' END)) AS act, CASE k % 4 WHEN 0 THEN 'red ring' WHEN 1 THEN 'old gear' WHEN 2 THEN 'x' ELSE '' END AS sv
-  FROM seekers q JOIN m ON q.role IS NOT DISTINCT FROM m.role AND q.grade IS NOT DISTINCT FROM m.grade WHERE position <= 20),
+  FROM seekers q JOIN m ON q.role IS NOT DISTINCT FROM m.role AND q.grade IS NOT DISTINCT FROM m.grade WHERE position > 5 AND position <= 30),
   pl AS (SELECT *, {_PLAN} AS plan FROM pr), sc AS (SELECT *, {_SCORE} AS match_score FROM pl),
   rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY match_score DESC NULLS LAST, position) AS rank FROM sc)"""
 
@@ -88,11 +88,11 @@ PAIRS_SQL = f"""{SEEKERS_SQL}, s AS ({served_sql(LO, HI)}), c AS (SELECT DISTINC
 @query("match_profiles", f"""WITH {PAIRS_SQL} SELECT user_id, hh_vacancy_id, position, rank, match_score::BIGINT AS match_score,
   CASE WHEN match_score >= 75 THEN 'high' WHEN match_score >= 45 THEN 'medium' WHEN match_score IS NULL THEN 'unknown' ELSE 'low' END AS match_level,
   array_to_string(list_sort(list_filter(sk, lambda x: list_contains(own, x))), '|') AS matched_skills,
-  CASE WHEN len(own) > 0 THEN array_to_string(list_filter(sk, lambda x: NOT list_contains(own, x)), '|') ELSE '' END AS missing_skills, plan FROM rk WHERE rank <= 5""")
+  CASE WHEN len(own) > 0 THEN array_to_string(list_filter(sk, lambda x: NOT list_contains(own, x)), '|') ELSE '' END AS missing_skills, plan FROM rk""")
 def _(t):
     # city stands in for the normalised city of the serving rows
     rows = served(t, LO, HI).withColumn("city_normalized", F.col("city"))
-    out = matching.match_profiles(seekers(t), rows, page=20, top_k=5)
+    out = matching.match_profiles(seekers(t), rows, limit=25, offset=5)
     return out.select(
         "user_id", F.col("posting_hh_vacancy_id").alias("hh_vacancy_id"), "position", "rank", "match_score", "match_level",
         "matched_skills", "missing_skills",

@@ -15,9 +15,9 @@ DIMS = ["primary_role", "grade_final", "city_tier", "work_mode", "country", "reg
 
 
 @query("market_confidence", f"""SELECT company, n, s, {CONFIDENCE.format(n='n', s='s', c='s / n')} AS confidence FROM (
-  SELECT company, count(*) AS n, count({S}) FILTER (WHERE quantity < 10) AS s FROM postings WHERE quantity % 5 < 3 GROUP BY company)""")
+  SELECT company, count(*) AS n, count({S}) FILTER (WHERE quantity < 10) AS s FROM postings GROUP BY company)""")
 def _(t):
-    rows = t.postings("company", S, "quantity").where(F.col("quantity") % 5 < 3)
+    rows = t.postings("company", S, "quantity")
     g = rows.groupBy("company").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("quantity") < 10, F.col(S))).alias("s"))
     return g.withColumn("confidence", market.market_confidence(F.col("n"), F.col("s"), F.col("s") / F.col("n")))
@@ -67,10 +67,9 @@ def _(t):
 
 @query("geo_scope_label", """SELECT company, CASE WHEN min(g) = max(g) THEN min(g) WHEN min(g) <> max(g) THEN 'mixed' END AS scope
   FROM (SELECT company, CASE WHEN quantity > 48 THEN geo_scope ELSE 'unknown' END AS g0,
-  CASE WHEN quantity > 48 THEN geo_scope END AS g FROM postings WHERE domain = 'building' AND quantity % 7 = 0) GROUP BY company""")
+  CASE WHEN quantity > 48 THEN geo_scope END AS g FROM postings) GROUP BY company""")
 def _(t):
-    rows = t.postings("company", "geo_scope", "quantity", "domain").where(
-        (F.col("domain") == "building") & (F.col("quantity") % 7 == 0))
+    rows = t.postings("company", "geo_scope", "quantity")
     scope = F.when(F.col("quantity") > 48, F.col("geo_scope")).otherwise("unknown")
     return rows.withColumn("g", scope).groupBy("company").agg(market.scope_label(F.col("g")).alias("scope"))
 

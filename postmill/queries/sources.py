@@ -33,7 +33,7 @@ def _(t):
     return back.groupBy("city_tier", "is_remote", "salary_gross").agg(F.count(F.lit(1)).alias("n"), F.sum("metro_count").alias("metro"))
 
 
-DAILY_SQL = "SELECT vacancy_id::VARCHAR AS vacancy_id, title, strftime(day, '%Y-%m-%d') AS date FROM postings WHERE day >= DATE '1998-01-01' AND day < DATE '1998-04-01'"
+DAILY_SQL = "SELECT vacancy_id::VARCHAR AS vacancy_id, title, strftime(day, '%Y-%m-%d') AS date FROM postings WHERE day IS NOT NULL"
 
 
 def daily(t):
@@ -44,7 +44,8 @@ def daily(t):
 @query("write_daily_snapshot", f"SELECT date, count(*) AS n, count(DISTINCT vacancy_id) AS ids, min(title) AS title FROM ({DAILY_SQL}) GROUP BY date")
 def _(t):
     path = shared_dir(t.spark, "daily")
-    postings.write_daily_snapshot(daily(t).select("vacancy_id", "title", "day"), path, F.col("day"))
+    every = t.postings("vacancy_id", "title", "day").where(F.col("day").isNotNull())
+    postings.write_daily_snapshot(every, path, F.col("day"))
     back = t.spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
     return back.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vacancy_id").alias("ids"), F.min("title").alias("title"))
 
@@ -102,10 +103,10 @@ def _(t):
                       "published_at_iso", "salary_disclosed", "has_python", "company")
 
 
-@query("load_snapshot_history", f"SELECT week_start, role, sum(vacancy_count)::BIGINT AS n FROM ({HISTORY_SQL}) WHERE week_start >= '2000-01-01' GROUP BY ALL")
+@query("load_snapshot_history", f"SELECT week_start, role, sum(vacancy_count)::BIGINT AS n FROM ({HISTORY_SQL}) GROUP BY ALL")
 def _(t):
     path = shared_dir(t.spark, "weeks")
-    postings.write_weekly_snapshot(history(t).where("week_start >= DATE '2000-01-01'"), path)
+    postings.write_weekly_snapshot(history(t), path)
     return postings.load_snapshot_history(t.spark, path).groupBy("week_start", "role").agg(F.sum("vacancy_count").alias("n"))
 
 

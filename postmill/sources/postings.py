@@ -76,7 +76,7 @@ def write_daily_snapshot(df: DataFrame, path: str, date: str | Column) -> None:
     day = F.lit(date) if isinstance(date, str) else F.date_format(date, "yyyy-MM-dd")
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != "date"], day.alias("date"))
     (
-        text.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        text.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd").partitionBy("date").parquet(path)
     )
 
@@ -160,7 +160,7 @@ def compact_monthly(spark: SparkSession, source: str, target: str, months: Seque
     ]
     rows = union_with_schema(frames, {**types, "date": "string"}).withColumn("month", F.substring("date", 1, 7))
     (
-        rows.repartition("month", "date").write.mode("append").option("compression", "zstd")
+        rows.hint("rebalance", "month").write.mode("append").option("compression", "zstd")
         .partitionBy("month").parquet(target)
     )
     return sorted({d[:7] for d in wanted})
@@ -219,7 +219,7 @@ def flatten_api_items(items: DataFrame, area_id: int, dataset_scope: str) -> Dat
 def write_weekly_snapshot(snapshot: DataFrame, path: str) -> None:
     """One partition per week; a week that is written again is replaced."""
     (
-        snapshot.repartition("week_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        snapshot.hint("rebalance", "week_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("week_start").parquet(path)
     )
 

@@ -49,7 +49,7 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
         if a != b:
             diff = [(c, x, y) for c, x, y in zip(left_cols, a, b) if x != y]
             return f"VALUES {diff[:4]} in {[x[1] for x in a][:8]}"
-    return f"ok ({len(left)})" if left else "ok (EMPTY)"
+    return f"ok ({len(left)})" if left else "EMPTY"
 
 
 if __name__ == "__main__":
