@@ -13,12 +13,20 @@ PAYLOAD = {"apiKey": "x", "user-Email": "a", "resumeURL": "u", "count": 2, "ok":
            "inner": {"token": 1, "deep": [{"phone": "1", "note": "n", "step": 3}]}}
 
 
-def test_payload():
-    out = json.loads(events.payload_cleaner()(json.dumps(PAYLOAD)))
+def test_payload(spark):
+    deep = json.dumps({"a": [[[[[[1]]]]]]})
+    texts = [json.dumps(PAYLOAD), None, "", "not json", "[1]", deep, json.dumps({"q\"u": 'é " \\ {', "list": ["x" * 300, None, {"sessionToken": [1]}]})]
+    df = spark.createDataFrame([(i, "weekly_return", "web", t) for i, t in enumerate(texts)], "id int, event_type string, source string, payload string")
+    clean = events.sanitize_events(df)
+    assert "Python" not in clean._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: json.loads(r["payload"]) for r in clean.collect()}
+    out = got[0]
     assert out["apiKey"] == out["user-Email"] == out["resumeURL"] == "[redacted]"
     assert (out["count"], out["ok"], len(out["long"]), len(out["list"])) == (2, True, 256, 25)
     assert "gone" not in out and out["inner"] == {"token": "[redacted]", "deep": [{"phone": "[redacted]", "note": "[redacted]", "step": 3}]}
-    assert events.payload_cleaner()("not json") == events.payload_cleaner()(None) == events.payload_cleaner()("[1]") == "{}"
+    assert got[1] == got[2] == {} and got[6] == {"q\"u": 'é " \\ {', "list": ["x" * 256, None, {"sessionToken": "[redacted]"}]}
+    reasons = {r["id"]: r["reason"] for r in events.rejected_events(df).collect()}
+    assert reasons == {3: "payload is not JSON", 4: "payload is not an object", 5: "payload nests too deep"}
 
 
 def test_contract_has_54_names():
