@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import (
     LOWER, RangeHashes, by_group, components, in_blocks, joined_bytes, local_roots, may_contain, mix64, pairs_inside, pieces,
-    symbol_codes, word_ranges,
+    small_batches, symbol_codes, word_ranges,
 )
 from postmill.session import materialize
 
@@ -242,6 +242,7 @@ def join_texts(
     Copies are folded before the search, so they cost one set. Nodes and groups of any
     size are compared in blocks, and only a spanning forest and link counts leave a task.
     """
+    small_batches(docs.sparkSession)
     text_hash = F.xxhash64(F.col(text).cast("string"))
     # a NULL id travels as the largest number
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))

@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in batches of so many rows at most, which bounds the memory of the workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; NULL counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -111,7 +116,7 @@ def joined_bytes(texts: Sequence[str | None], gap: bytes = b"") -> tuple[np.ndar
     return np.frombuffer(b"".join(parts), np.uint8), starts
 
 
-def pieces(batch, column: str, most_bytes: int = 1 << 21):
+def pieces(batch, column: str, most_bytes: int = 1 << 20):
     """Cut a pandas batch so that each piece holds about ``most_bytes`` characters (one row at least)."""
     sizes = batch[column].str.len().fillna(0).to_numpy(dtype=np.int64)
     if not len(sizes):

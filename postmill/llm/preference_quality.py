@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import RangeHashes, joined_bytes, mix64, pieces, symbol_codes, word_ranges
+from postmill.llm.common import RangeHashes, joined_bytes, mix64, pieces, small_batches, symbol_codes, word_ranges
 
 # byte classes: 0 other punctuation, 1 lower, 2 upper, 3 digit, 4 blank, 5 line end, 6 beyond ASCII, then single marks
 _CLASS = np.zeros(256, np.uint8)
@@ -130,6 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "
     labels without a document teach nothing; an id with several labels or texts counts
     once for each.
     """
+    small_batches(docs.sparkSession)
     seen = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & learnable).select(
         F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_good")
     )

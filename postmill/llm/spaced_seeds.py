@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.common import LOWER, RangeHashes, joined_bytes, mix64, pieces, symbol_codes, word_ranges
+from postmill.llm.common import LOWER, RangeHashes, joined_bytes, mix64, pieces, small_batches, symbol_codes, word_ranges
 
 MASKS = ("110110101101", "101101110011", "111010011011", "111100110101")
 SPAN = len(MASKS[0])
@@ -134,6 +134,7 @@ def overlaps(texts: Sequence[str | None], index: Index) -> list[tuple[int, int,
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str):
     """(ids, index) of one block of items after the other, each of about BLOCK_BYTES."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_id).alias("_item"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     total = items.agg(F.sum(F.octet_length("_text"))).head()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
