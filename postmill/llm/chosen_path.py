@@ -261,12 +261,12 @@ def join_texts(
     # the nodes in which each set is searched: the first of its path that is small, else the last
     found, large = [], []
     for d in range(1, DEPTH + 1):
-        # the paths down to this depth, through large nodes only
-        path = [f"_p{k}" for k in range(1, d + 1)]
-        level = described.where("_fp is not null").select(set_hash, F.inline(F.array_distinct(F.arrays_zip(*path))))
-        for k in range(1, d):
-            level = level.join(large[k - 1].withColumnRenamed("_node", f"_p{k}"), f"_p{k}", "left_semi")
-        nodes = level.where(f"_p{d} <> 0").select("_set_hash", F.col(f"_p{d}").alias("_node")).distinct()
+        # the steps down to this depth; a node's hash is that of its path, so a large node has large ones above it only
+        path = [f"_p{k}" for k in range(max(1, d - 1), d + 1)]
+        level = described.where("_fp is not null").select(set_hash, F.inline(F.array_distinct(F.arrays_zip(*path)))).where(f"_p{d} <> 0")
+        if d > 1:
+            level = level.join(large[-1].withColumnRenamed("_node", f"_p{d - 1}"), f"_p{d - 1}", "left_semi")
+        nodes = level.select("_set_hash", F.col(f"_p{d}").alias("_node")).distinct()
         nodes = materialize(nodes, "nodes")
         sizes = materialize(nodes.groupBy("_node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "node-sizes")
         found.append(nodes.join(sizes if d == DEPTH else sizes.where(f"_n <= {SMALL}"), "_node"))
