@@ -97,11 +97,43 @@ def _best_run(equal: np.ndarray) -> tuple[int, int]:
     return start, end
 
 
+def _runs(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Start and end of disjoint runs of ``least`` words or more with a share of EQUAL; any other such run meets one of them.
+
+    The best run of a stretch is taken if it qualifies, the longest qualifying one otherwise; what lies
+    on both sides of it is searched in the same way.
+    """
+    found, todo = [], [(0, len(equal))]
+    while todo:
+        begin, stop = todo.pop()
+        if stop - begin < least:
+            continue
+        part = equal[begin:stop]
+        start, end = _best_run(part)
+        if end - start < least or part[start:end].sum() < EQUAL * (end - start):
+            # a run has the share when the sum of 1 - EQUAL per equal word and -EQUAL per other is not below 0
+            sums = np.concatenate([[0.0], np.cumsum(np.where(part, 1 - EQUAL, -EQUAL))])
+            beyond = np.maximum.accumulate(sums[::-1])  # highest sum from each place on, last place first
+            reach = len(part) - np.searchsorted(beyond, sums, side="left")
+            size = reach - np.arange(len(sums))
+            start = int(np.argmax(size))
+            if size[start] < least:
+                continue
+            end = int(reach[start])
+            while end - start > least and not part[end - 1]:
+                end -= 1
+            while end - start > least and not part[start]:
+                start += 1
+        found.append((begin + start, begin + end))
+        todo += [(begin, begin + start), (begin + end, stop)]
+    return sorted(found)
+
+
 def overlaps(texts: Sequence[str | None], index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, first word in text, first word in item, words, equal words) of every verified overlap.
 
     An overlap has at least as many words as a mask, or is a whole item, and a share
-    of EQUAL of them agree.
+    of EQUAL of them agree. One alignment of a text and an item can hold several.
     """
     codes, starts = tokens(texts)
     hits = []
@@ -125,10 +157,8 @@ def overlaps(texts: Sequence[str | None], index: Index) -> list[tuple[int, int,
         first = max(0, -shift)
         last = min(len(other), len(own) - shift)
         equal = own[first + shift : last + shift] == other[first:last]
-        start, end = _best_run(equal)
-        same = int(equal[start:end].sum())
-        if end - start >= min(SPAN, len(other)) and same >= EQUAL * (end - start):
-            out.append((text, item, first + start + shift, first + start, end - start, same))
+        for start, end in _runs(equal, min(SPAN, len(other))):
+            out.append((text, item, first + start + shift, first + start, end - start, int(equal[start:end].sum())))
     return out
 
 

@@ -269,6 +269,39 @@ def test_leaks_with_substitutions(spark, odd, empty):
     assert spaced_seeds.find(empty, bench).count() == 0 and spaced_seeds.find(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_which_the_best_run_is_too_different(spark):
+    """A quarter substituted, with an equal window of twelve words; and two overlaps on one diagonal."""
+    item = prose(60, 95)
+    words = item.split()
+    changed = [w if i < 12 or i % 3 else f"x{i}" for i, w in enumerate(words[:36])] + [f"y{i}" for i in range(24)]
+    ahead = [w if i % 3 else f"x{i}" for i, w in enumerate(words[:46])] + [f"y{i}" for i in range(14)]
+    ahead[20:32] = words[20:32]
+    twice = words[:15] + [f"z{i}" for i in range(30)] + words[45:]
+    docs = documents(spark, [" ".join(changed), " ".join(ahead), " ".join(twice)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = sorted((r["doc_id"], r["doc_word"], r["item_word"], r["words"], r["equal"]) for r in spaced_seeds.find(docs, bench).collect())
+    assert {f[0] for f in found} == {0, 1, 2} and all(f[3] >= 12 and f[4] >= 0.75 * f[3] for f in found)
+    assert [f for f in found if f[0] == 2] == [(2, 0, 0, 15, 15), (2, 45, 45, 15, 15)]
+    assert docs.where(~spaced_seeds.leaked(bench, F.col("text"))).count() == 0
+
+
+def test_every_qualifying_run_is_met():
+    dice = np.random.default_rng(7)
+    lost = 0
+    for _ in range(1500):
+        equal = dice.random(dice.integers(1, 70)) < dice.choice([0.6, 0.75, 0.85])
+        least = int(dice.choice([1, 5, 12]))
+        sums = np.concatenate([[0], np.cumsum(equal)])
+        good = [(i, j) for i in range(len(equal)) for j in range(i + least, len(equal) + 1) if sums[j] - sums[i] >= 0.75 * (j - i)]
+        runs = spaced_seeds._runs(equal, least)
+        assert all(r in good for r in runs) and all(a[1] <= b[0] for a, b in zip(runs, runs[1:]))
+        assert all(any(i < end and start < j for start, end in runs) for i, j in good)
+        best = spaced_seeds._best_run(equal)
+        lost += bool(good) and best not in good
+        assert best not in good or best in runs
+    assert lost
+
+
 def test_leaks_in_blocks_are_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, spaced_seeds.find(docs, bench).collect()))
