@@ -1,6 +1,7 @@
 """Event sanitising in batch and as a file-source stream; publish gate; compaction."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,41 @@ def test_payload(spark):
     assert reasons == {3: "payload is not JSON", 4: "payload is not an object", 5: "payload nests too deep"}
 
 
+def test_deep_payloads_are_cleaned(spark, monkeypatch):
+    def nested(value, levels):
+        for i in range(levels):
+            value = {"a b": value, "userToken" if i % 2 else "myToken": i} if i % 3 else [value, None, "y" * 300]
+        return value
+
+    def cleaned(key, value):  # product_events.py of the reference; items that are NULL stay so
+        if re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", key).lower() in ("my_token", "user_token"):
+            return "[redacted]"
+        if isinstance(value, dict):
+            return {k: cleaned(k, v) for k, v in sorted(value.items()) if v is not None}
+        if isinstance(value, list):
+            return [cleaned(key, v) for v in value[:25]]
+        return value[:256] if isinstance(value, str) else value
+
+    hard = {"q\"u:": 'é " \\ {[,:', "": [], "e": {}, "n": None, "f": [1.5, -2, 1e30, True, [None, {"x": None, "y": "a:"}]], "z": "t" * 20000, "wide": [[{"k": i}] for i in range(40)]}
+    payloads = [nested(hard, n) for n in (7, 8, 60)] + [
+        {"keep": 1, "myToken": nested([1], 9)}, {"list": list(range(25)) + [nested({"x": 1}, 9)], "after": [2]}, {"a": [[[[[[1]]]]]]},
+    ]
+    payloads = [{"top": p} for p in payloads]
+    rows = [(i, "weekly_return", "web", json.dumps(p)) for i, p in enumerate(payloads)]
+    df = spark.createDataFrame(rows, "id int, event_type string, source string, payload string")
+    clean = events.sanitize_events(df)
+    assert "Python" not in clean._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: json.loads(r["payload"]) for r in clean.collect()} == {i: cleaned("", p) for i, p in enumerate(payloads)}
+    assert events.rejected_events(df).count() == 0
+    chain = spark.createDataFrame([("weekly_return", "web", '{"a":' * 900 + "1" + "}" * 900)], "event_type string, source string, payload string")
+    assert events.sanitize_events(chain).first()["payload"] == chain.first()["payload"] and events.rejected_events(chain).count() == 0
+    # both ways give the same text where both can be taken
+    flat = spark.createDataFrame([(json.dumps(p),) for p in (PAYLOAD, hard, {}, {"s": "/é\u2028\t<\"", "l": [[], {}]})], "payload string")
+    short = [r["payload"] for r in events.sanitize_metadata(flat).collect()]
+    monkeypatch.setattr(events, "MAX_NESTING", 0)
+    assert [r["payload"] for r in events.sanitize_metadata(flat).collect()] == short
+
+
 def test_contract_has_54_names():
     assert len(set(events.EVENT_NAMES)) == 54
 
