@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from postmill.llm.common import mix64, small_batches
 from postmill.session import materialize
 
-CHUNK_BYTES = 8 << 20  # of text whose n-grams a task counts before it sends them
+CHUNK_BYTES = 4 << 20  # of text whose n-grams a task counts before it sends them
 PARTITION_BYTES = 1 << 28  # of text a hash partition's n-grams come from, about; 64 partitions at least
 FILTER_BITS = (1 << 23, 1 << 28)  # size of the filter of survivors: 32 bits a survivor between these bounds
 
@@ -38,10 +38,11 @@ class Chunk:
         parts = [(t or "").encode().lower().translate(_PIECES) + b"\n" for t in texts]
         text = b"".join(parts)
         data = np.frombuffer(text, np.uint8)
-        gap = (data == 0x20) | (data == 0x0A)
-        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        word = (data != 0x20) & (data != 0x0A)
+        word[1:] &= ~word[:-1]
+        starts = np.flatnonzero(word).astype(np.int32 if len(text) < 1 << 31 else np.int64)
         self.words = text.split()  # no other white space is left
-        self.piece = np.cumsum(data == 0x0A)[starts] if len(starts) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(data == 0x0A, dtype=starts.dtype)[starts] if len(starts) else np.zeros(0, np.int32)
         of_doc = np.searchsorted(np.cumsum([len(p) for p in parts]), starts, "right")
         lang, self.langs = pd.factorize(np.array(langs, dtype=object))
         self.lang = lang[of_doc] if len(starts) else np.zeros(0, np.int64)
@@ -178,11 +179,11 @@ def survivors(rows: DataFrame, threshold: int, most_words: int, partitions: int)
     """
 
     def counted(batches):
-        for chunk in _chunks(batches):
-            hashes = np.concatenate([h for _, _, h in chunk.ngrams(most_words)])
-            part = _partition(hashes, partitions)
+        for chunk, (_, _, hashes) in ((c, x) for c in _chunks(batches) for x in c.ngrams(most_words)):
+            chunk.words = None  # not asked for here
             # by partition, then by mark
-            keys, counts = np.unique(part.astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32), return_counts=True)
+            keys = _partition(hashes, partitions).astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
+            keys, counts = np.unique(keys, return_counts=True)
             owner = (keys >> np.uint64(32)).astype(np.int64)
             marks = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
