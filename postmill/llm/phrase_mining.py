@@ -10,6 +10,7 @@ by their words.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from postmill.llm.common import mix64, small_batches
 from postmill.session import materialize
 
 CHUNK_BYTES = 4 << 20  # of text whose n-grams a task counts before it sends them
-PARTITION_BYTES = 1 << 28  # of text a hash partition's n-grams come from, about; 64 partitions at least
+PARTITION_BYTES = 1 << 26  # of text for each hash partition of n-grams; 64 partitions at least
 FILTER_BITS = (1 << 23, 1 << 28)  # size of the filter of survivors: 32 bits a survivor between these bounds
 
 # A-Z lower-cased by bytes.lower(); what ends a piece becomes a newline, a tab a space
@@ -67,21 +68,24 @@ class Chunk:
             hashes = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + self._of_word[self.codes[at + k - 1]])
             yield k, at, hashes
 
-    def counted(self, k: int, at: np.ndarray, hashes: np.ndarray) -> pd.DataFrame:
-        """Occurrences of each n-gram of ``k`` words at ``at``, with its words. Told apart by words, not by hash."""
-        order = np.argsort(hashes, kind="stable")
-        at = at[order]
-        new = np.ones(len(at), bool)
-        new[1:] = self.lang[at[1:]] != self.lang[at[:-1]]
+    def counted(self, k: int, at: np.ndarray, hashes: np.ndarray, partitions: int) -> Iterator[tuple[int, str, list[str], np.ndarray]]:
+        """(hash partition, language, phrases, occurrences) of the n-grams of ``k`` words at ``at``, told apart by words, not by hash."""
+        owner = _partition(hashes, partitions)
+        lang = self.lang[at]
+        order = np.lexsort([hashes, lang, owner])
+        at, owner, lang = at[order], owner[order], lang[order]
+        outer = np.ones(len(at), bool)
+        outer[1:] = (owner[1:] != owner[:-1]) | (lang[1:] != lang[:-1])
+        new = outer.copy()
         for j in range(k):
-            new[1:] |= self.codes[at[1:] + j] != self.codes[at[:-1] + j]
+            codes = self.codes[at + j]
+            new[1:] |= codes[1:] != codes[:-1]
         heads = np.flatnonzero(new)
-        first = at[heads]
-        return pd.DataFrame({
-            "lang": self.langs[self.lang[first]], "words": np.full(len(first), k, np.int32),
-            "phrase": [b" ".join(self.words[i : i + k]).decode() for i in first.tolist()],
-            "n": np.diff(np.append(heads, len(at))).astype(np.int64),
-        })
+        counts = np.diff(np.append(heads, len(at)))
+        phrases = [b" ".join(self.words[i : i + k]).decode() for i in at[heads].tolist()]
+        cuts = np.flatnonzero(outer[heads])
+        for lo, hi in zip(cuts, [*cuts[1:], len(heads)]):
+            yield int(owner[heads[lo]]), self.langs[lang[heads[lo]]], phrases[lo:hi], counts[lo:hi]
 
 
 def _digest(word: bytes) -> bytes:
@@ -167,8 +171,21 @@ def _partition(hashes: np.ndarray, partitions: int) -> np.ndarray:
     return ((hashes & np.uint64(0xFFFFFFFF)) % np.uint64(partitions)).astype(np.int64)
 
 
-def _place(part: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(part.astype(np.uint64) << np.uint64(32) | marks.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
+def _places(part: np.ndarray, marks: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Three bits of the filter for each n-gram."""
+    key = part.astype(np.uint64) << np.uint64(32) | marks.astype(np.uint64)
+    for _ in range(3):
+        key = mix64(key + np.uint64(1))
+        yield (key % np.uint64(bits)).astype(np.int64)
+
+
+def _known(table: np.ndarray, hashes: np.ndarray, partitions: int) -> np.ndarray:
+    """Where in ``hashes`` there is an n-gram that the filter lets pass."""
+    left = np.arange(len(hashes))
+    for i in range(3):
+        place = next(itertools.islice(_places(_partition(hashes[left], partitions), hashes[left] >> np.uint64(32), 64 * len(table)), i, None))
+        left = left[(table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return left
 
 
 def survivors(rows: DataFrame, threshold: int, most_words: int, partitions: int) -> DataFrame:
@@ -221,7 +238,8 @@ def exact_counts(rows: DataFrame, found: DataFrame, threshold: int, most_words:
     """(``lang``, ``words``, ``phrase``, ``n``) of all n-grams that occur ``threshold`` times, and of all words (``words`` 0).
 
     ``found`` tells which to count; its filter has a bounded size and lets all of them pass, and
-    some others, which then stay below the threshold by their exact counts.
+    few others, which then stay below the threshold by their exact counts. A task sends what it
+    counted in a chunk as one lot to each hash partition, whose owner adds lots up by phrase.
     """
     bits = FILTER_BITS[0]
     while bits < min(FILTER_BITS[1], 32 * found.count()):
@@ -229,8 +247,8 @@ def exact_counts(rows: DataFrame, found: DataFrame, threshold: int, most_words:
 
     def places(batches):
         for batch in batches:
-            at = _place(batch["part"].to_numpy(), batch["mark"].to_numpy(), bits)
-            yield pd.DataFrame({"word": at >> 6, "bit": at & 63})
+            for at in _places(batch["part"].to_numpy(), batch["mark"].to_numpy(), bits):
+                yield pd.DataFrame({"word": at >> 6, "bit": at & 63})
 
     words = found.mapInPandas(places, "word long, bit int").groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
     table = np.zeros(bits >> 6, np.uint64)
@@ -238,21 +256,42 @@ def exact_counts(rows: DataFrame, found: DataFrame, threshold: int, most_words:
     shared = rows.sparkSession.sparkContext.broadcast(table)  # 32 megabytes at most
 
     def counted(batches):
-        table = shared.value
+        import zstandard
+
+        table, small = shared.value, zstandard.ZstdCompressor(level=1)
         for chunk in _chunks(batches):
-            parts = [
-                pd.DataFrame({"lang": lang, "words": 0, "phrase": "", "n": n}, index=[0]) for lang, n in chunk.words_by_lang().items()
-            ]
+            parts = [(0, lang, [""], np.array([n])) for lang, n in chunk.words_by_lang().items()]
             for k, at, hashes in chunk.ngrams(most_words):
-                place = _place(_partition(hashes, partitions), hashes >> np.uint64(32), bits)
-                known = (table[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                if known.any():
-                    parts.append(chunk.counted(k, at[known], hashes[known]))
-            yield pd.concat(parts, ignore_index=True).astype({"words": np.int32, "n": np.int64})
-
-    counts = rows.mapInPandas(counted, "lang string, words int, phrase string, n long")
-    counts = counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= F.when(F.col("words") == 0, F.lit(1)).otherwise(F.lit(threshold)))
+                known = _known(table, hashes, partitions)
+                parts += chunk.counted(k, at[known], hashes[known], partitions)
+                if parts:
+                    lots = [small.compress(c.astype("<i8").tobytes() + "\n".join(p).encode()) for _, _, p, c in parts]
+                    yield pd.DataFrame({"part": [p[0] for p in parts], "lang": [p[1] for p in parts], "size": [len(p[2]) for p in parts], "lot": lots})
+                parts = []
+
+    def added(batches):
+        import zstandard
+
+        whole, key, sums = zstandard.ZstdDecompressor(), None, {}
+        for batch in batches:
+            for part, lang, size, lot in zip(batch["part"], batch["lang"], batch["size"], batch["lot"]):
+                if key != (part, lang):
+                    yield from _frequent(key, sums)
+                    key, sums = (part, lang), {}
+                data = whole.decompress(lot)
+                for phrase, n in zip(data[8 * size :].decode().split("\n"), np.frombuffer(data, "<i8", size).tolist()):
+                    sums[phrase] = sums.get(phrase, 0) + n
+        yield from _frequent(key, sums)
+
+    def _frequent(key, sums):
+        kept = [(p, n) for p, n in sums.items() if n >= threshold or (not p and n)]
+        if kept:
+            words = [p.count(" ") + 1 if p else 0 for p, _ in kept]
+            yield pd.DataFrame({"lang": key[1], "words": words, "phrase": [p for p, _ in kept], "n": [n for _, n in kept]})
+
+    lots = rows.mapInPandas(counted, "part long, lang string, size int, lot binary")
+    dealt = lots.repartition("part").sortWithinPartitions("part", "lang")
+    return dealt.mapInPandas(added, "lang string, words int, phrase string, n long")
 
 
 def association(a: Column, n: Column, left: Column, right: Column, scale: int = 1000) -> Column:
