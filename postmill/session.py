@@ -40,20 +40,24 @@ def local_session(cores: str = "*", app: str = "postmill") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder every executor can reach, removed when the session's JVM ends.
+    """A path that is free to write and that every executor can reach; its folder is removed when the session's JVM ends.
 
-    The cluster names its parent in ``spark.checkpoint.dir``. Where that is unset,
-    as in tests, the folder lies in the warehouse, which executors share too.
+    The cluster names the parent in ``spark.checkpoint.dir``. Where that is unset, a local
+    session, as in tests, uses the warehouse; a cluster is refused, since its executors would write
+    to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     path = f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(folder)
     files.deleteOnExit(folder)
-    return path
+    return f"{path}/data"
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
@@ -67,7 +71,7 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     For results that several branches of a plan need: they survive lost
     executors and are not computed again. ``forget`` removes one early.
     """
-    path = f"{shared_dir(df.sparkSession, purpose)}/rows"
+    path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
