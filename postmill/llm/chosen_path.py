@@ -114,7 +114,7 @@ def _fingerprint(shingles: np.ndarray) -> bytes:
 def _described(size: int, runs: int, similarity: float):
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", 1 << 18):
                 sets = shingle_sets(piece["_text"].tolist(), size)
                 owner, nodes = chosen_paths(sets, runs, similarity)
                 cuts = np.searchsorted(owner, np.arange(1, len(sets)))
@@ -133,7 +133,7 @@ def _sets(size: int):
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", 1 << 18):
                 sets = shingle_sets(piece["_text"].tolist(), size)
                 right = [_fingerprint(s) == bytes(fp) for s, fp in zip(sets, piece["_fp"])]
                 yield piece.drop(columns="_text").assign(_set=[s.tobytes() for s in sets])[right]

@@ -312,9 +312,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("_t", "_at", "_many")).alias("_run"), F.max("_inner").alias("_inner"),
     ), "contexts")
     many = classes.where("_n > 1").select("_anchor", "_context")
-    spans = live.join(many, ["_anchor", "_context"], "left_semi").select(
+    spans = materialize(live.join(many, ["_anchor", "_context"], "left_semi").select(
         "_t", F.col("_at").alias("_from"), (F.col("_at") + F.col("_many") + length - 1).alias("_to")
-    ).distinct()
+    ).distinct(), "whole-contexts")
+    forget(live)
 
     mixed = classes.groupBy("_anchor").agg(
         F.count(F.lit(1)).alias("_size"), F.count(F.when(F.col("_n") == 1, 1)).alias("_single"), F.max("_inner").alias("_inner")
@@ -328,15 +329,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, mo
     # equal texts list the same runs: a piece is one row for each place, and counts its run's copies once
     key = ["_anchor", "_core", "_left", "_right"]
     cut = materialize(cut.groupBy(*key, "_t", "_at").agg(F.max("_n").alias("_n")), "pieces")
+    forget(classes)
     folded = materialize(cut.groupBy(*key).agg(F.sum("_n").alias("_n"), F.min(F.struct("_t", "_at")).alias("_first")), "folded-pieces")
-    whole = cut.where("_n = 1").join(folded.where("_n > 1").select(*key), key, "left_semi").select(
+    whole = materialize(cut.where("_n = 1").join(folded.where("_n > 1").select(*key), key, "left_semi").select(
         "_t", F.col("_at").alias("_from"),
         (F.col("_at") + F.length("_left") + F.length("_right") + 1 - STEP + length).cast("int").alias("_to"),
-    )
+    ), "whole-pieces")
+    forget(cut)
     cores = folded.groupBy("_anchor", "_core").agg(
         F.count(F.lit(1)).alias("_size"), F.count(F.when(F.col("_n") == 1, 1)).alias("_single")
     ).where("_size > 1 and _single > 0").drop("_single")
     apart = materialize(folded.join(cores, ["_anchor", "_core"]).select(*key, "_first.*", "_n", "_size"), "split-pieces")
+    forget(folded)
     few = apart.where(f"_size <= {most_pieces}").repartition("_anchor", "_core").sortWithinPartitions("_anchor", "_core", "_t", "_at")
     by_suffixes = few.mapInPandas(_by_suffixes(length), "_t long, _from int, _to int")
     strings = apart.where(f"_size > {most_pieces}").mapInPandas(
@@ -370,7 +374,6 @@ def _digest(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def with_spans(docs: DataFrame, keep: Sequence[Column], text: str = "text", length: int = LENGTH) -> DataFrame:
     """``keep``, ``_text`` and ``_spans`` (array of byte ranges, NULL without any) of every row; a NULL text has none."""
-    # neighbouring ranges of a text are folded before they are gathered
     found = repeated_spans(docs, text, length).groupBy("_t").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"), F.xxhash64(F.col(text).cast("string")).alias("_t"))
     return rows.join(found, "_t", "left").drop("_t")

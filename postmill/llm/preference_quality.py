@@ -118,7 +118,7 @@ def fit_ranking(x: np.ndarray, good: np.ndarray, pairs: int = 100_000, ridge: fl
 
 def _features(batches):
     for batch in batches:
-        for piece in pieces(batch, "_text"):
+        for piece in pieces(batch, "_text", 1 << 18):
             yield pd.DataFrame({"_good": piece["_good"].to_numpy(), "_x": list(features(piece["_text"].tolist()))})
 
 
@@ -150,7 +150,7 @@ def scored(ranking: Ranking, text: Column, at_threshold: float = 0.7) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = [ranking.score(features(piece["_text"].tolist()), at_threshold) for piece in pieces(texts.to_frame("_text"), "_text")]
+        out = [ranking.score(features(piece["_text"].tolist()), at_threshold) for piece in pieces(texts.to_frame("_text"), "_text", 1 << 18)]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return score(text)

@@ -190,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id:
         def hits(texts: pd.Series) -> pd.Series:
             out = [[] for _ in range(len(texts))]
             at = 0
-            for piece in pieces(texts.to_frame("_text"), "_text"):
+            for piece in pieces(texts.to_frame("_text"), "_text", 1 << 18):
                 for row, item, *found in overlaps(piece["_text"].tolist(), index):
                     out[at + row].append({"item_id": ids[item], **dict(zip(places, found))})
                 at += len(piece)
@@ -213,7 +213,7 @@ def leaked(benchmark: DataFrame, column: Column, item_id: str = "item_id", text:
         def hit(texts: pd.Series) -> pd.Series:
             out = np.zeros(len(texts), bool)
             at = 0
-            for piece in pieces(texts.to_frame("_text"), "_text"):
+            for piece in pieces(texts.to_frame("_text"), "_text", 1 << 18):
                 for found in overlaps(piece["_text"].tolist(), index):
                     out[at + found[0]] = True
                 at += len(piece)
