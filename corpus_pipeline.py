@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import budget_mix, chosen_path, kd_sharding, preference_quality, spaced_seeds
 from postmill.llm.common import may_contain, table, utf8_size, word_count
-from postmill.session import materialize
+from postmill.session import forget, materialize
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +82,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each on what the one before has written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
