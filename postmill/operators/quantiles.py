@@ -28,24 +28,37 @@ def _bin(value: Column) -> Column:
     return F.coalesce(bin_, F.lit(0).cast("long"))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
+def value_counts(
+    df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, key: Column | None = None
+) -> DataFrame:
     """(``_key``, ``_v``, ``_n``): rows per distinct non-null value.
 
-    The keys travel as one struct: NULL fields compare equal in it, and plans
-    with many keys stay small.
+    The keys travel as one struct, in which NULL fields compare equal and which keeps plans with many
+    keys small, or as ``key`` where the caller finds them by that again.
     """
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     number = F.col(value).cast("double")
     rows = df.where(number.isNotNull() & ~F.isnan(number))
     # never NULL after the filter; saying so keeps a pushed-down null check from
     # splitting the two uses of the counts, which then share one shuffle
-    return rows.groupBy(_key(keys).alias("_key"), F.coalesce(number, F.lit(0.0)).alias("_v")).agg(n.alias("_n"))
+    return rows.groupBy((_key(keys) if key is None else key).alias("_key"), F.coalesce(number, F.lit(0.0)).alias("_v")).agg(n.alias("_n"))
 
 
 def _key(keys: Sequence[str]) -> Column:
     return F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
 
 
+def _marks(keys: Sequence[str]) -> Column:
+    """128 bits that stand for the values of all keys, so that counts and bins travel without their texts.
+
+    A hash skips NULLs, so which keys are NULL is hashed first.
+    """
+    if not keys:
+        return _key(keys)
+    nulls = F.concat(*[F.when(F.col(k).isNull(), F.lit("1")).otherwise(F.lit("0")) for k in keys])
+    return F.struct(F.xxhash64(nulls, *keys).alias("a"), F.xxhash64(F.lit("b"), nulls, *keys).alias("b"))
+
+
 def _position(p: float) -> Column:
     return (F.col("_total") - 1) * F.lit(float(p))
 
@@ -102,21 +115,45 @@ def quantiles_of_counters(per_value: DataFrame, counters: Sequence[str], probs:
     return _interpolate(inside.where(F.col("_n") > 0).select("_key", "_bin", "_v", "_n", "_start", "_total"), probs)
 
 
+def approximate_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], accuracy: int) -> DataFrame:
+    """One row per key (``_key`` struct) with values whose rank is off by rows / ``accuracy`` at most.
+
+    A mergeable sketch of bounded size per key, built in the map tasks: only sketches are shuffled.
+    Values come from the data, without interpolation. NULL and NaN do not count.
+    """
+    number = F.col(value).cast("double")
+    rows = df.where(number.isNotNull() & ~F.isnan(number))
+    sketch = F.percentile_approx(number, [float(p) for p in probs.values()], int(accuracy)).alias("_q")
+    found = rows.groupBy(_key(keys).alias("_key")).agg(sketch)
+    return found.select("_key", *[F.element_at("_q", i + 1).alias(name) for i, name in enumerate(probs)])
+
+
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: Column | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: Column | None = None, accuracy: int | None = None
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per key; groups without values are absent."""
-    found = quantiles_of_counts(value_counts(df, keys, value, weight), probs)
+    """Quantiles of ``value`` per key; groups without values are absent.
+
+    Exact and linear-interpolated, or with ``accuracy`` approximate (``approximate_quantiles``;
+    weights are for exact ones only).
+    """
+    if accuracy is not None:
+        found = approximate_quantiles(df, keys, value, probs, accuracy)
+    else:
+        found = quantiles_of_counts(value_counts(df, keys, value, weight), probs)
     return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *probs)
 
 
 def with_quantiles(
     stats: DataFrame, df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-    weight: Column | None = None,
+    weight: Column | None = None, accuracy: int | None = None,
 ) -> DataFrame:
-    """Left join the quantiles of ``value`` to a table with one row per key."""
-    found = quantiles_of_counts(value_counts(df, keys, value, weight), probs)
-    return stats.withColumn("_key", _key(keys)).join(found, "_key", "left").drop("_key")
+    """Left join the quantiles of ``value`` to a table with one row per key; ``accuracy`` as in ``grouped_quantiles``."""
+    if accuracy is not None:
+        found, key = approximate_quantiles(df, keys, value, probs, accuracy), _key(keys)
+    else:
+        key = _marks(keys)
+        found = quantiles_of_counts(value_counts(df, keys, value, weight, key), probs)
+    return stats.withColumn("_key", key).join(found, "_key", "left").drop("_key")
 
 
 def with_many_quantiles(
@@ -124,29 +161,18 @@ def with_many_quantiles(
 ) -> DataFrame:
     """Quantiles of several columns from one scan; ``wanted`` is column -> {output: probability}.
 
-    The column name is part of the group key, so all columns share one pass.
+    The column's number is part of the group key, so all columns share one pass.
     """
-    number = F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in wanted
-    ])
-    long = df.select(*keys, F.explode(number).alias("_m")).select(
-        *keys, F.col("_m.metric").alias("_metric"), F.col("_m.value").alias("_value")
-    )
+    number = F.array(*[F.struct(F.lit(i).alias("metric"), F.col(c).cast("double").alias("value")) for i, c in enumerate(wanted)])
+    long = df.select(_marks(keys).alias("_of"), F.explode(number).alias("_m"))
+    long = long.select("_of", F.col("_m.metric").alias("_metric"), F.col("_m.value").alias("_value"))
     distinct = sorted({p for probs in wanted.values() for p in probs.values()})
     names = {f"p{i}": p for i, p in enumerate(distinct)}
-    found = quantiles_of_counts(value_counts(long, [*keys, "_metric"], "_value"), names)
-    found = found.select(
-        _key_from(keys).alias("_key"), F.col("_key._metric").alias("_metric"), *names
-    )
+    found = quantiles_of_counts(value_counts(long, ["_of", "_metric"], "_value"), names)
+    found = found.select(F.col("_key._of").alias("_key"), F.col("_key._metric").alias("_metric"), *names)
     label = {p: n for n, p in names.items()}
     spread = found.groupBy("_key").agg(*[
-        F.max(F.when(F.col("_metric") == c, F.col(label[p]))).alias(out)
-        for c, probs in wanted.items() for out, p in probs.items()
+        F.max(F.when(F.col("_metric") == i, F.col(label[p]))).alias(out)
+        for i, probs in enumerate(wanted.values()) for out, p in probs.items()
     ])
-    return stats.withColumn("_key", _key(keys)).join(spread, "_key", "left").drop("_key")
-
-
-def _key_from(keys: Sequence[str]) -> Column:
-    if not keys:
-        return _key(keys)
-    return F.struct(*[F.col(f"_key.{k}").alias(k) for k in keys])
+    return stats.withColumn("_key", _marks(keys)).join(spread, "_key", "left").drop("_key")

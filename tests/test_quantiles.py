@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
-from postmill.operators.quantiles import grouped_quantiles, with_many_quantiles
+from postmill.operators.quantiles import grouped_quantiles, with_many_quantiles, with_quantiles
 
 PROBS = {"lo": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "hi": 0.99, "max": 1.0, "min": 0.0}
 
@@ -47,3 +47,37 @@ def test_many_columns_in_one_pass(spark):
         b = [i % 7 for i in a]
         assert (r["a50"], r["b25"], r["b75"]) == (np.quantile(a, 0.5), np.quantile(b, 0.25), np.quantile(b, 0.75))
         assert r["n"] == len(a)
+
+
+def test_null_keys_are_told_apart(spark):
+    rows = [(a, b, float(v)) for i, (a, b) in enumerate([("x", None), (None, "x"), (None, None), ("x", "x"), ("xx", "")]) for v in range(i, i + 3)]
+    df = spark.createDataFrame(rows, "a string, b string, v double")
+    stats = df.groupBy("a", "b").agg(F.min("v").alias("least"))
+    for r in with_quantiles(stats, df, ["a", "b"], "v", {"m": 0.5}).collect():
+        assert r["m"] == r["least"] + 1
+    for r in with_many_quantiles(stats, df, ["a", "b"], {"v": {"m": 0.5}}).collect():
+        assert r["m"] == r["least"] + 1
+
+
+def test_a_million_values_of_one_magnitude(spark):
+    df = spark.range(0, 1_000_000, 1, 16).select(F.lit("k").alias("k"), (F.col("id") * 7919 % 1_000_000 / 1e6 + 1000).alias("v"))
+    r = grouped_quantiles(df, ["k"], "v", PROBS).head()
+    for name, p in PROBS.items():
+        assert r[name] == pytest.approx(1000 + p * 999_999 / 1e6, abs=1e-9)
+
+
+def test_approximate_quantiles_are_within_their_error(spark):
+    rng = np.random.default_rng(2)
+    data = {"hot": rng.lognormal(11, 0.6, 50_000), "small": rng.normal(0, 5, 7), "none": np.array([])}
+    rows = [(k, float(v)) for k, values in data.items() for v in values] + [("none", None), ("none", float("nan")), (None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = {r["k"]: r for r in grouped_quantiles(df, ["k"], "v", PROBS, accuracy=200).collect()}
+    assert set(found) == {"hot", "small", None}
+    for k in ("hot", "small"):
+        values = np.sort(data[k])
+        for name, p in PROBS.items():
+            at = np.searchsorted(values, found[k][name])
+            assert values[at] == found[k][name] and abs(at - p * len(values)) <= len(values) / 200 + 1
+    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = {r["k"]: r["median"] for r in with_quantiles(stats, df, ["k"], "v", {"median": 0.5}, accuracy=200).collect()}
+    assert joined["none"] is None and joined[None] is None or joined[None] == 1.0
