@@ -8,10 +8,8 @@ mask, so no group of postings is ever paired with a group of profiles.
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,18 +217,28 @@ def trust_tier(state: Column | None, confidence: Column, freshness: Column) -> C
 
 
 def suggest_names(names: DataFrame, column: str, known: Sequence[str], n: int = 5, cutoff: float = 0.4) -> DataFrame:
-    """Closest known names for each distinct unknown name.
+    """The ``n`` closest known names for each distinct unknown name, best first, then by name.
 
-    ``known`` is the skill vocabulary, one entry per flag column. The closeness
-    ratio has no SQL form, so Arrow batches of the distinct unknown names run
-    the standard-library matcher.
+    ``known`` is the skill vocabulary, one entry per flag column. Closeness is 1 - edits / longer length.
+    A pair that reaches ``cutoff`` shares a letter, since a name without common letters is all
+    edits, and the shorter name is at least ``cutoff`` of the longer one: names meet on their letters, under
+    that bound of lengths, and only those pairs are scored. Names without a close one
+    have an empty list; NULL names are left out.
     """
+    spark = names.sparkSession
     vocabulary = list(dict.fromkeys(k.strip().lower().removeprefix("skill_").removeprefix("has_") for k in known))
-
-    @F.pandas_udf("array<string>")
-    def closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda name: difflib.get_close_matches(name, vocabulary, n=n, cutoff=cutoff))
-
-    unknown = names.select(column).where(F.col(column).isNotNull() & ~F.col(column).isin(*vocabulary)).distinct()
-    return unknown.withColumn("suggestions", closest(F.col(column)))
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    words = spark.createDataFrame([(k,) for k in vocabulary], "_known string")
+    words = words.select("_known", F.explode(letters(F.col("_known"))).alias("_letter"))
+    unknown = names.select(F.col(column).cast("string").alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    unknown = unknown.join(F.broadcast(words.select(F.col("_known").alias("_name")).distinct()), "_name", "left_anti")
+    spelled = unknown.select("_name", F.explode_outer(letters(F.col("_name"))).alias("_letter"))
+    short, long = F.least(F.length("_name"), F.length("_known")), F.greatest(F.length("_name"), F.length("_known"))
+    near = (F.col("_own") == F.col("_letter")) & (short >= F.lit(float(cutoff)) * long)
+    # the vocabulary is a list of columns, so its letters are few rows
+    met = spelled.withColumnRenamed("_letter", "_own").join(F.broadcast(words), near, "left").select("_name", "_known").distinct()
+    score = 1 - F.levenshtein("_name", "_known") / long
+    scored = met.withColumn("_far", F.when(score >= F.lit(float(cutoff)), -score))
+    best = F.slice(F.array_sort(F.collect_list(F.when(F.col("_far").isNotNull(), F.struct("_far", "_known")))), 1, n)
+    found = scored.groupBy("_name").agg(F.transform(best, lambda x: x["_known"]).alias("suggestions"))
+    return found.withColumnRenamed("_name", column)

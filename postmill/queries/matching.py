@@ -123,8 +123,14 @@ def _(t):
     return rows.select("o_orderkey", "state", matching.trust_tier(F.col("state"), confidence, fresh).alias("tier"))
 
 
-@query("suggest_names")
+VOCABULARY = ["skill_ring", "skill_gear", "skill_widget", "has_anvil", "has_plate", "has_small"]
+
+
+@query("suggest_names", """WITH known AS (SELECT unnest(['ring', 'gear', 'widget', 'anvil', 'plate', 'small']) AS k), words AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part),
+  names AS (SELECT DISTINCT substr(w, 1, 3) || reverse(substr(w, 4, 3)) AS name FROM words), scored AS (SELECT name, k, 1 - levenshtein(name, k)::DOUBLE / greatest(length(name), length(k)) AS score
+  FROM names, known WHERE name NOT IN (SELECT k FROM known)), ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score >= 0.4 DESC, score DESC, k) AS rn FROM scored)
+  SELECT name, coalesce(string_agg(k, '|' ORDER BY rn) FILTER (WHERE score >= 0.4 AND rn <= 5), '') AS suggestions FROM ranked GROUP BY name""")
 def _(t):
     words = t.part.select(F.explode(F.split("p_name", " ")).alias("w"))
     names = words.select(F.concat(F.substring("w", 1, 3), F.reverse(F.substring("w", 4, 3))).alias("name"))
-    return matching.suggest_names(names, "name", ["skill_ring", "skill_gear", "skill_widget", "has_anvil", "has_plate", "has_small"])
+    return matching.suggest_names(names, "name", VOCABULARY).withColumn("suggestions", F.array_join("suggestions", "|"))

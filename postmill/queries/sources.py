@@ -120,6 +120,14 @@ def _(t):
     return out.select("page_id", "title", "description_len_chars", "description_len_words", "description_paragraphs_count", "grade", "tech_stack_size")
 
 
+@query("page_blocks", r"""SELECT page_id, regexp_extract(replace(replace(html, '<h1>', '<ARTICLE class="x"><h1>'), '</h1>', '</h1></article >'),
+  '(?is)<article\b[^>]*>(.*)</article\s*>', 1) AS block FROM pages""")
+def _(t):
+    """Blocks that hold a block of their own tag."""
+    nested = F.replace(F.replace(F.col("html"), F.lit("<h1>"), F.lit('<ARTICLE class="x"><h1>')), F.lit("</h1>"), F.lit("</h1></article >"))
+    return t.pages.select("page_id", pages.block_html(nested, "article").alias("block"))
+
+
 @query("page_titles", r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1),
   '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS title FROM pages""")
 def _(t):

@@ -1,16 +1,14 @@
 """Posting, listing and employer fields from a table of crawled pages.
 
-Elements without children of their own tag are read by regular expressions on
-the JVM. A description block may nest blocks of its own tag, which no regular
-expression can balance; a small helper finds its end in Arrow batches.
+Elements without children of their own tag are read by regular expressions. A
+description block may nest blocks of its own tag, which no regular expression can
+balance: it is split at its tags, and one fold over them carries the depth to its end.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,27 +82,30 @@ def element_text(html: Column, tag: str, mark: str | None = None, attribute: str
 
 
 def block_html(html: Column, tag: str, mark: str | None = None, attribute: str = MARK) -> Column:
-    """Inner HTML of the first such element, nested elements of the same tag included."""
+    """Inner HTML of the first such element, nested elements of the same tag included.
+
+    "" for a page without one and for a NULL page; a block that is never closed ends with its page.
+    """
     marked = rf"[^>]*\b{attribute}=['\"](?:{mark})['\"]" if mark else ""
-    start = re.compile(rf"<{tag}\b{marked}[^>]*>", re.I | re.S)
-    step = re.compile(rf"<(/?){tag}\b[^>]*>", re.I | re.S)
-
-    def inner(page: str | None) -> str:
-        first = start.search(page or "")
-        if first is None:
-            return ""
-        depth = 1
-        for m in step.finditer(page, first.end()):
-            depth += -1 if m.group(1) else 1
-            if depth == 0:
-                return page[first.end():m.start()]
-        return page[first.end():]
-
-    @F.pandas_udf("string")
-    def cut(pages: pd.Series) -> pd.Series:
-        return pages.map(inner)
-
-    return cut(html)
+    step = rf"(?is)</?{tag}\b[^>]*>"
+    rest = F.try_element_at(F.split(html, rf"(?is)<{tag}\b{marked}[^>]*>", 2), F.lit(2))
+
+    def closed(now: Column, found: Column) -> Column:
+        """How deep the fold is, how many tags it has seen, and the number of the tag that ends the block."""
+        depth = now["depth"] + F.when(F.startswith(found, F.lit("</")), -1).otherwise(1)
+        here = F.when(now["end"] < 0, F.when(depth == 0, now["seen"]).otherwise(-1)).otherwise(now["end"])
+        return F.struct(depth.alias("depth"), (now["seen"] + 1).alias("seen"), here.alias("end"))
+
+    def inner(block: Column) -> Column:
+        tags, texts = block["tags"], block["texts"]
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(-1).alias("end"))
+        end = F.aggregate(tags, start, closed, lambda now: F.when(now["end"] < 0, now["seen"]).otherwise(now["end"]))
+        # the texts before the end and the tags between them
+        return F.transform(F.array(end), lambda n: F.array_join(F.zip_with(
+            F.slice(texts, F.lit(1), n + 1), F.concat(F.slice(tags, F.lit(1), n), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), ""))[0]
+
+    parts = F.struct(F.regexp_extract_all(rest, F.lit(step), F.lit(0)).alias("tags"), F.split(rest, step).alias("texts"))
+    return F.when(rest.isNull(), F.lit("")).otherwise(F.transform(F.array(parts), inner)[0])
 
 
 def skill_tags(html: Column, mark: str = SKILL_MARK) -> Column:

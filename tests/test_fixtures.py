@@ -1,6 +1,7 @@
 """Small literal inputs with known results."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,12 +265,43 @@ def test_newest_per_profile_against_brute_force(spark, rows):
         assert [u for _, u in sorted(got.get(uid, []))] == [p[4] for p in hits[:3]]
 
 
-def test_suggestions_equal_the_standard_matcher(rows):
-    import difflib
-    known = ["python", "pytorch", "postgres", "tableau"]
-    df = rows("s string", ("pyton",), ("tablo",), ("python",), ("zzz",))
-    out = {r["s"]: r["suggestions"] for r in matching.suggest_names(df, "s", [f"skill_{k}" for k in known]).collect()}
-    assert out == {s: difflib.get_close_matches(s, known, n=5, cutoff=0.4) for s in ("pyton", "tablo", "zzz")}
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i, *[0] * len(b)]
+        for j, y in enumerate(b, 1):
+            row[j] = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def test_suggestions_against_all_pairs(rows):
+    known = ["python", "pytorch", "postgres", "tableau", "c", "go", "c++", "матлаб", "a b"]
+    dice = random.Random(4)
+    names = ["pyton", "tablo", "python", "zzz", "", "матла", None, "pyton"] + ["".join(dice.choice("pythonacgo+ ") for _ in range(dice.randrange(1, 9))) for _ in range(150)]
+    df = rows("s string", *[(x,) for x in names])
+    found = matching.suggest_names(df, "s", [f"skill_{k}" for k in known], n=3)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    out = {r["s"]: r["suggestions"] for r in found.collect()}
+    want = {}
+    for s in {x for x in names if x is not None and x not in known}:
+        scored = sorted((-(1 - edits(s, k) / max(len(s), len(k))), k) for k in known)
+        want[s] = [k for score, k in scored if -score >= 0.4][:3]
+    assert out == want and out["pyton"] == ["python", "pytorch"] and out[""] == []
+
+
+def test_blocks_with_blocks_of_their_own_tag(rows):
+    from postmill.sources import pages
+    html = [
+        "<div>no</div><div data-qa='x'>a<DIV class=y>b<div/>c</div></div >d</div>e", "<div data-qa='x'>never <div>closed</div>", "<p>none</p>", None, "",
+        "<div data-qa='x'></div>", "<divan data-qa='x'>t</divan><div data-qa='x'><divan></divan>u</div>", "<div\ndata-qa='x'>" + "<div>" * 300 + "z" + "</div>" * 300 + "</div>q",
+    ]
+    df = rows("i int, h string", *enumerate(html))
+    out = df.select("i", pages.block_html(F.col("h"), "div", "x").alias("b"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["b"] for r in out.collect()}
+    assert got == {
+        0: "a<DIV class=y>b<div/>c</div></div >d", 1: "never <div>closed</div>", 2: "", 3: "", 4: "", 5: "", 6: "<divan></divan>u", 7: "<div>" * 300 + "z" + "</div>" * 300,
+    }
 
 
 def test_cohort_suppression(rows):
