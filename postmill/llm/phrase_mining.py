@@ -352,4 +352,5 @@ def scored(counts: DataFrame, share: int = 100) -> DataFrame:
 def top(phrases: DataFrame, most: int) -> DataFrame:
     """The first ``most`` phrases of each language by score, then occurrences, then phrase, with their ``rank``."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return phrases.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+    first = phrases.withColumn("rank", rank).where(F.col("rank") <= most)  # not cast before, so that tasks send their first rows only
+    return first.withColumn("rank", F.col("rank").cast("long"))
