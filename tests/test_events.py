@@ -37,7 +37,7 @@ def test_deep_payloads_are_cleaned(spark):
             value = {"a b": value, "userToken" if i % 2 else "myToken": i} if i % 3 else [value, None, "y" * 300]
         return value
 
-    def cleaned(key, value):  # product_events.py of the reference; items that are NULL stay so
+    def cleaned(key, value):  # items that are NULL stay so
         if re.sub(r"(.)([A-Z][a-z]+)", r"\1_\2", key).lower() in ("my_token", "user_token"):
             return "[redacted]"
         if isinstance(value, dict):
