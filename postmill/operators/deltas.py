@@ -64,7 +64,8 @@ def completed_days(df: DataFrame, day: str, max_date: Column, min_days: int) ->
 
 
 def materialize_latest(
-    partitions: DataFrame, day: str, key: str, ordinal: Sequence[str], max_date: Column, min_days: int = 1
+    partitions: DataFrame, day: str, key: str, ordinal: Sequence[str], max_date: Column, min_days: int = 1,
+    prefix: str = "",
 ) -> DataFrame:
     """H2: the newest day wins per id without its blanks, the first row wins inside a day, blank ids are left out.
 
@@ -76,7 +77,11 @@ def materialize_latest(
     named = rows.where(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) != "")
     newest = Window.partitionBy(F.trim(F.col(key).cast("string"))).orderBy(F.desc(day), *ordinal)
     picked = named.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") == 1).drop("_rn")
-    return picked.withColumn("backfill_snapshot_date", F.col(day).cast("string"))
+    date = F.col(day).cast("string")
+    return picked.withColumns({
+        "backfill_snapshot_date": date,
+        "backfill_source_key": F.concat(F.lit(f"{prefix}date="), date, F.lit("/snapshot.csv")),
+    })
 
 
 def materialization_report(partitions: DataFrame, day: str, key: str, max_date: Column) -> DataFrame:

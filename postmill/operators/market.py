@@ -109,56 +109,103 @@ def apply_filters(df: DataFrame, specs: Mapping[str, object]) -> DataFrame:
     return df
 
 
-def scope_label(scope: Column) -> Column:
-    """E7 aggregate: the one known scope, ``mixed`` for several, else NULL."""
+def scope_label(scope: Column, requested: object = None) -> Column:
+    """E7 aggregate: the requested scope, else the one known scope, ``mixed`` for several, else NULL."""
+    if isinstance(requested, str) and requested:
+        return F.lit(requested)
     known = F.when((scope != "") & (scope != "unknown"), scope)
     return F.when(F.min(known) == F.max(known), F.min(known)).when(F.min(known) != F.max(known), F.lit("mixed"))
 
 
-def segment_summary_from_view(view: DataFrame, filters: Mapping[str, object]) -> DataFrame:
-    """One row from the segment view; shares and quartiles are unweighted means."""
-    part = apply_filters(view, filters)
-    out = part.agg(
-        F.sum("vacancy_count_total").alias("vacancy_count"),
-        F.sum("vacancy_count_salary").alias("salary_sample_size"),
-        F.avg("salary_median").alias("salary_median"),
-        F.avg("salary_q25").alias("salary_q25"),
-        F.avg("salary_q75").alias("salary_q75"),
-        F.avg("junior_friendly_share").alias("junior_friendly_share"),
-        F.avg("remote_share").alias("remote_share"),
-        F.avg("median_tech_stack_size").alias("median_tech_stack_size"),
-        scope_label(F.col("geo_scope")).alias("geo_scope"),
-        F.min_by("top_skills", F.struct(-F.col("vacancy_count_total"), "top_skills")).alias("top_skills"),
+def _selected(df: DataFrame, specs: Mapping[str, object]) -> Column:
+    """E8 as a condition: absent columns and NULL specs select everything."""
+    out = F.lit(True)
+    for column, value in specs.items():
+        if value is None or column not in df.columns:
+            continue
+        many = isinstance(value, (list, tuple, set, frozenset))
+        out = out & F.coalesce(F.col(column).isin(*value) if many else F.col(column) == F.lit(value), F.lit(False))
+    return out
+
+
+def _skill_list(skills: Column) -> Column:
+    """Names of a comma-joined text without blanks; NULL when none is left."""
+    names = F.filter(F.transform(F.split(skills, ","), lambda s: F.trim(s)), lambda s: s != "")
+    return F.when(F.size(names) > 0, names)
+
+
+def _summary(out: DataFrame, warnings: Column) -> DataFrame:
+    """Coverage, confidence and warnings of a one-row summary; an empty segment has its count and warnings only."""
+    n, salaried = F.col("vacancy_count"), F.col("salary_sample_size")
+    coverage = F.when(n > 0, F.bround(salaried / n, 6))
+    out = out.withColumns({
+        "sample_size": n, "salary_coverage_share": coverage, "confidence": market_confidence(n, salaried, coverage)})
+    last = F.array(F.when(n == 0, "empty_segment").when(F.col("confidence") == "low", "low_confidence"))
+    hidden = [c for c in out.columns if c.startswith("_")]
+    kept = {c: F.when(n > 0, F.col(c)) for c in out.columns if c != "vacancy_count" and c not in hidden}
+    return out.withColumn("warnings", F.concat(warnings, F.array_compact(last))).withColumns(kept).drop(*hidden)
+
+
+VALIDATED = ("primary_role", *GRADE_COLUMNS, "domain")
+
+
+def segment_summary_from_view(view: DataFrame, filters: Mapping[str, object], weighted: bool = False) -> DataFrame:
+    """One row from the segment view, in one scan of it.
+
+    Shares, medians and quartiles are means over segments, by request weighted by
+    their postings. ``warnings`` names single requested values of role, grade and
+    domain that the view does not hold. An empty segment has ``vacancy_count`` 0,
+    its warnings and NULL elsewhere.
+    """
+    asked = {c: v for c, v in filters.items() if c in VALIDATED and c in view.columns and isinstance(v, str)}
+    view = view.withColumn("_in", _selected(view, filters))
+    total, inside = F.col("vacancy_count_total"), F.col("_in")
+
+    def mean(name: str) -> Column:
+        value = F.when(inside, F.col(name))
+        return F.avg(value) if not weighted else F.sum(value * total) / F.sum(F.when(value.isNotNull(), total))
+
+    listed = F.struct(-total, "top_skills")
+    means = ("salary_median", "salary_q25", "salary_q75", "junior_friendly_share", "remote_share", "median_tech_stack_size")
+    scope = F.when(inside, F.col("geo_scope")) if "geo_scope" in view.columns else F.lit(None).cast("string")
+    out = view.agg(
+        F.coalesce(F.sum(F.when(inside, total)), F.lit(0).cast("long")).alias("vacancy_count"),
+        F.coalesce(F.sum(F.when(inside, F.col("vacancy_count_salary"))), F.lit(0).cast("long")).alias("salary_sample_size"),
+        *[mean(c).alias(c) for c in means],
+        scope_label(scope, filters.get("geo_scope")).alias("geo_scope"),
+        _skill_list(F.min_by("top_skills", F.when(inside & F.col("top_skills").isNotNull(), listed))).alias("top_skills"),
+        *[F.max(F.col(c) == v).alias(f"_has_{c}") for c, v in asked.items()],
     )
-    coverage = F.col("salary_sample_size") / F.col("vacancy_count")
-    return out.withColumns({
-        "salary_coverage_share": coverage,
-        "confidence": market_confidence(
-            F.coalesce("vacancy_count", F.lit(0)), F.col("salary_sample_size"), coverage
-        ),
-    })
+    # a view without any value of a dimension cannot tell
+    unknown = [F.when(~F.col(f"_has_{c}"), F.lit(f"unknown_{c}:{v}")) for c, v in asked.items()]
+    return _summary(out, F.array_compact(F.array(F.lit(None).cast("string"), *unknown)))
+
 
+def segment_summary_from_postings(
+    df: DataFrame, filters: Mapping[str, object], small: int = 5, view: DataFrame | None = None
+) -> DataFrame:
+    """E5: the same summary recomputed from posting rows, for work-mode filters.
 
-def segment_summary_from_postings(df: DataFrame, filters: Mapping[str, object], small: int = 5) -> DataFrame:
-    """E5: the same summary recomputed from posting rows, for work-mode filters."""
+    Skills and warnings about unknown values come from the segment view, when given.
+    """
     salary = require(df, "salary_mid_rub_capped", "salary_mid_rub", "salary_mid")
     part = apply_filters(df, filters)
     remote = F.col("work_mode") == "remote" if "work_mode" in df.columns else F.col("is_remote")
+    scope = F.col("geo_scope") if "geo_scope" in df.columns else F.lit(None).cast("string")
     stats = part.agg(
         F.count(F.lit(1)).alias("vacancy_count"),
         F.count(salary).alias("salary_sample_size"),
         F.avg(F.col("is_junior_friendly").cast("int")).alias("junior_friendly_share"),
         F.avg(remote.cast("int")).alias("remote_share"),
-        scope_label(F.col("geo_scope")).alias("geo_scope"),
+        scope_label(scope, filters.get("geo_scope")).alias("geo_scope"),
     )
     out = with_many_quantiles(stats, part, [], {salary: SALARY_QUANTILES, "tech_stack_size": STACK_QUANTILES})
-    coverage = F.when(F.col("vacancy_count") > 0, F.col("salary_sample_size") / F.col("vacancy_count"))
-    return out.withColumns({
-        "salary_coverage_share": coverage,
-        "confidence": market_confidence(F.col("vacancy_count"), F.col("salary_sample_size"), coverage),
-        "warning": F.when(F.col("vacancy_count") == 0, "empty segment")
-        .when(F.col("vacancy_count") < small, "few postings in the segment"),
-    })
+    warnings = F.array_compact(F.array(F.when(F.col("vacancy_count").between(1, small - 1), "small_segment")))
+    if view is None:
+        return _summary(out.withColumn("top_skills", F.lit(None).cast("array<string>")), warnings)
+    known = segment_summary_from_view(view, {c: v for c, v in filters.items() if c != "work_mode"})
+    unknown = F.filter("warnings", lambda w: w.startswith("unknown_"))
+    return _summary(out.join(known.select("top_skills", unknown.alias("_unknown"))), F.concat("_unknown", warnings))
 
 
 def filter_warnings(df: DataFrame, requested: Mapping[str, str]) -> DataFrame:
@@ -230,34 +277,52 @@ def with_trust(df: DataFrame, as_of: Column, updated: str, sample: str, salaried
         "trust_updated_at": F.col(updated),
         "trust_freshness": freshness(F.col(updated), as_of),
         "trust_sample_size": F.col(sample),
-        "trust_salary_coverage": F.when(F.col(sample) > 0, F.round(F.col(salaried) / F.col(sample), 6)),
+        "trust_salary_coverage": F.when(F.col(sample) > 0, F.bround(F.col(salaried) / F.col(sample), 6)),
         "trust_confidence": F.coalesce(F.col(confidence), F.lit("unknown")),
     })
 
 
-def dataset_trust(view: DataFrame) -> DataFrame:
-    """Totals, coverage and rows per confidence label of the segment view."""
-    labels = ("high", "medium", "low")
-    out = view.agg(
-        F.count(F.lit(1)).alias("segments"),
-        F.sum("sample_size").alias("sample_size"),
-        F.sum("salary_sample_size").alias("salary_sample_size"),
-        *[F.sum((F.col("confidence") == c).cast("long")).alias(f"segments_{c}") for c in labels],
-    )
-    return out.withColumn(
-        "salary_coverage_share", F.when(F.col("sample_size") > 0, F.col("salary_sample_size") / F.col("sample_size"))
-    )
+def _label_map() -> Column:
+    """Aggregate over (label, n) rows: one map in label order; labels are few by design."""
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n"))))
 
 
-def dataset_scope(df: DataFrame) -> DataFrame:
-    """Rows per geographic scope and the share that discloses a salary."""
-    per_scope = df.groupBy(F.coalesce("geo_scope", F.lit("unknown")).alias("geo_scope")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(flag_int("salary_disclosed")).alias("disclosed")
-    )
-    whole = per_scope.agg(F.sum("rows").alias("rows_total"), F.sum("disclosed").alias("disclosed_total"))
-    return per_scope.join(whole).select(
-        "geo_scope", "rows", (F.col("disclosed_total") / F.col("rows_total")).alias("disclosure_share")
-    )
+def dataset_trust(view: DataFrame) -> DataFrame:
+    """Postings, salaried postings, coverage and segments per confidence label of the segment view.
+
+    An empty view has zeros, a NULL coverage and an empty map.
+    """
+    rows = F.col(require(view, "vacancy_count", "vacancy_count_total"))
+    salaried = F.col(require(view, "salary_sample_size", "vacancy_count_salary"))
+    label = F.coalesce(F.col("confidence"), F.lit("unknown")).alias("label")
+    per_label = view.groupBy(label).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rows).alias("rows"), F.sum(salaried).alias("salaried"))
+    out = per_label.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("vacancy_count"),
+        F.coalesce(F.sum("salaried"), F.lit(0)).cast("long").alias("salary_sample_size"),
+        _label_map().alias("confidence_counts"))
+    share = F.bround(F.col("salary_sample_size") / F.col("vacancy_count"), 6)
+    return out.withColumn("salary_coverage_share", F.when(F.col("vacancy_count") > 0, share))
+
+
+def dataset_scope(df: DataFrame, disclosed: Column | None = None) -> DataFrame:
+    """One row with all rows, rows per ``dataset_scope`` and the rows that disclose a salary.
+
+    ``disclosed`` stands in for an absent ``salary_disclosed``; without a scope
+    column the map is NULL.
+    """
+    known = flag("salary_disclosed") if "salary_disclosed" in df.columns else disclosed
+    if known is None:
+        raise ValueError("salary_disclosed is absent and nothing stands in for it")
+    scope = F.col("dataset_scope") if "dataset_scope" in df.columns else F.lit(None)
+    per_scope = df.groupBy(F.coalesce(scope.cast("string"), F.lit("unknown")).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(known, F.lit(False)).cast("long")).alias("disclosed"))
+    out = per_scope.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_count"),
+        (_label_map() if "dataset_scope" in df.columns else F.lit(None).cast("map<string,bigint>")).alias("dataset_scope_counts"),
+        F.coalesce(F.sum("disclosed"), F.lit(0)).cast("long").alias("salary_disclosed_count"))
+    share = F.bround(F.col("salary_disclosed_count") / F.col("row_count"), 6)
+    return out.withColumn("salary_disclosure_share", F.when(F.col("row_count") > 0, share))
 
 
 def dataset_warning(meta: DataFrame, as_of: Column) -> DataFrame:

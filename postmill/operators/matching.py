@@ -8,7 +8,7 @@ mask, so no group of postings is ever paired with a group of profiles.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,52 +58,62 @@ def search_postings(
     return page.join(whole).withColumn("confidence", search_confidence(F.col("total")))
 
 
-def _set_mask(fields: Sequence[tuple[str, str]]) -> Column:
-    return total(F.when(norm(F.col(t)) != "", F.lit(1 << i)).otherwise(0) for i, (t, _) in enumerate(fields))
+def folded(value: Column) -> Column:
+    """Case folded and otherwise as it is: spaces count, only an empty value is unset."""
+    return F.lower(F.upper(F.coalesce(value, F.lit(""))))
 
 
-def _masked(fields: Sequence[tuple[str, str]], mask: Column, side: int) -> Column:
+def _set_mask(fields: Sequence[tuple[str, str]], form: Callable[[Column], Column]) -> Column:
+    return total(F.when(form(F.col(t)) != "", F.lit(1 << i)).otherwise(0) for i, (t, _) in enumerate(fields))
+
+
+def _masked(fields: Sequence[tuple[str, str]], mask: Column, side: int, form: Callable[[Column], Column]) -> Column:
     values = [
-        F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, norm(F.col(f[side]))).alias(f"f{i}") for i, f in enumerate(fields)
+        F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, form(F.col(f[side]))).alias(f"f{i}") for i, f in enumerate(fields)
     ]
     return F.struct(mask.alias("mask"), *values)
 
 
 def newest_per_profile(
-    profiles: DataFrame, postings: DataFrame, fields: Sequence[tuple[str, str]], key: str, order: Sequence[Column], n: int
+    profiles: DataFrame, postings: DataFrame, fields: Sequence[tuple[str, str]], key: str, order: Sequence[Column], n: int,
+    form: Callable[[Column], Column] = norm,
 ) -> DataFrame:
     """(profile, posting) rows: the ``n`` first postings by ``order`` that equal all set fields of a profile.
 
+    Values are compared in the given ``form``; one whose form is empty is unset.
+
     ``n`` is the page size of the feature. The first ``n`` of a coarse group are
     among the first ``n`` of its full combinations, so reducing those first
     loses nothing; ``row_number`` limits run before each shuffle.
     """
     fields = [(t, p) for t, p in fields if p in postings.columns and t in profiles.columns]
-    asked = profiles.withColumn("_mask", _set_mask(fields))
+    asked = profiles.withColumn("_mask", _set_mask(fields, form))
     # at most 2^fields small integers
     masks = sorted(r[0] for r in asked.select("_mask").distinct().collect())
     full = F.lit((1 << len(fields)) - 1)
     finest = Window.partitionBy("_full").orderBy(*order)
-    kept = postings.withColumn("_full", _masked(fields, full, 1)).withColumn("_rn", F.row_number().over(finest))
+    kept = postings.withColumn("_full", _masked(fields, full, 1, form)).withColumn("_rn", F.row_number().over(finest))
     kept = kept.where(F.col("_rn") <= n).drop("_rn", "_full")
     repeated = kept.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in masks])))
-    repeated = repeated.withColumn("_group", _masked(fields, F.col("_m"), 1)).drop("_m")
+    repeated = repeated.withColumn("_group", _masked(fields, F.col("_m"), 1, form)).drop("_m")
     # a posting with an empty value cannot match a set field; its struct holds "" there
     within = Window.partitionBy("_group").orderBy(*order)
     page = repeated.withColumn("position", F.row_number().over(within)).where(F.col("position") <= n)
     page = page.withColumnsRenamed({c: f"posting_{c}" for c in postings.columns})
-    mine = asked.withColumn("_group", _masked(fields, F.col("_mask"), 0)).drop("_mask")
+    mine = asked.withColumn("_group", _masked(fields, F.col("_mask"), 0, form)).drop("_mask")
     return mine.join(page, "_group").drop("_group")
 
 
 def digest_matches(profiles: DataFrame, postings: DataFrame, limit: int = 3) -> DataFrame:
     """The newest postings equal on all set fields and published since the last digest.
 
+    Case does not count, spaces do: a field of blanks is set and matches blanks only.
+
     The newest ``limit`` of a group that are late enough are exactly the late
     enough ones among its newest ``limit``, so the time condition comes last.
     """
     order = [F.desc_nulls_last("published_at"), F.col("title"), F.col("url")]
-    found = newest_per_profile(profiles, postings, DIGEST_FIELDS, "user_id", order, limit)
+    found = newest_per_profile(profiles, postings, DIGEST_FIELDS, "user_id", order, limit, folded)
     late = F.col("since").isNull() | F.coalesce(F.col("posting_published_at") >= F.col("since"), F.lit(False))
     return found.where(late & (F.coalesce("posting_title", F.lit("")) != "")).select(
         "user_id", "position", F.col("posting_title").alias("title"), F.col("posting_url").alias("url"),

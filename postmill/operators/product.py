@@ -368,9 +368,15 @@ def apply_outcomes(actions: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def due_subscriptions(subscriptions: DataFrame, now: Column) -> DataFrame:
-    """Active, right local weekday, local time reached, not sent on that local day."""
-    local = F.from_utc_timestamp(now, F.col("timezone"))
-    sent = F.from_utc_timestamp(F.col("last_sent_at"), F.col("timezone"))
+    """Active, right local weekday, local time reached, not sent on that local day.
+
+    A subscription whose zone is NULL or not known is not due; it fails no others.
+    """
+    # a time with a zone is read only where the zone is known
+    named = F.when(F.trim("timezone") != "", F.trim("timezone"))
+    zone = F.when(F.concat(F.lit("2000-01-01 00:00:00 "), named).try_cast("timestamp").isNotNull(), named)
+    local = F.from_utc_timestamp(now, zone)
+    sent = F.from_utc_timestamp(F.col("last_sent_at"), zone)
     due = (
         flag("active") & (F.weekday(local) == F.col("weekday")) & (F.date_format(local, "HH:mm") >= F.col("time_local"))
         & (F.col("last_sent_at").isNull() | (sent.cast("date") != local.cast("date"))))

@@ -35,9 +35,8 @@ def refresh(
     checked = gates.processed_gates(done["features"], done["market_view"], thresholds)
     done |= write_run({
         "gates": checked, "segments": gates.segment_quality(done["features"], thresholds),
-        "scope": market.dataset_scope(done["features"].withColumn(
-            "salary_disclosed", F.coalesce("salary_disclosed", F.lit(False))
-            if "salary_disclosed" in done["features"].columns else gates.salary_known(done["features"]))),
+        "scope": market.dataset_scope(
+            done["features"], None if "salary_disclosed" in done["features"].columns else gates.salary_known(done["features"])),
     }, root, run_id)
     if publish:
         publish_run(spark, root, run_id, done["gates"])

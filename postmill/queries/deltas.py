@@ -36,12 +36,13 @@ def days(t):
     return rows.withColumn("id", F.when(F.col("quantity") > 48, " ").otherwise(F.col("vacancy_id").cast("string")))
 
 
-@query("materialize_latest", """SELECT id, ordinal, strftime(day, '%Y-%m-%d') AS backfill_snapshot_date FROM (SELECT *,
+@query("materialize_latest", """SELECT id, ordinal, strftime(day, '%Y-%m-%d') AS backfill_snapshot_date,
+  'raw/date=' || strftime(day, '%Y-%m-%d') || '/snapshot.csv' AS backfill_source_key FROM (SELECT *,
   row_number() OVER (PARTITION BY id ORDER BY day DESC, ordinal) AS rn FROM (SELECT *, vacancy_id::VARCHAR AS id FROM postings WHERE quantity <= 48 AND day <= DATE '2000-01-31'))
   WHERE rn = 1""")
 def _(t):
-    out = deltas.materialize_latest(days(t), "day", "id", ["ordinal"], F.lit("2000-01-31").cast("date"), min_days=30)
-    return out.select("id", "ordinal", "backfill_snapshot_date")
+    out = deltas.materialize_latest(days(t), "day", "id", ["ordinal"], F.lit("2000-01-31").cast("date"), min_days=30, prefix="raw/")
+    return out.select("id", "ordinal", "backfill_snapshot_date", "backfill_source_key")
 
 
 @query("materialization_report", """SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS rows, count(*) FILTER (WHERE quantity > 48) AS skipped_missing_id

@@ -381,11 +381,10 @@ def _(t):
     return t.documents.select("doc_id", normalize.known_skills_in_text(F.col("text"), KNOWN).alias("skills"))
 
 
-@query("known_tokens_in_text", """WITH known AS (SELECT DISTINCT p_partkey AS position, 'the' || split_part(p_name, ' ', 1)[1] AS skill
-  FROM part WHERE p_partkey < 8), hits AS (SELECT DISTINCT doc_id, position, skill FROM (SELECT doc_id,
+@query("known_tokens_in_text", """WITH known AS (SELECT min(p_partkey) AS position, 'the' || p_name[1] AS skill
+  FROM part GROUP BY 2), hits AS (SELECT DISTINCT doc_id, position, skill FROM (SELECT doc_id,
   unnest(regexp_split_to_array(lower(text), '[^\\pL\\pN\\pM_+.#-]+')) AS tok FROM documents), known WHERE tok = skill)
   SELECT doc_id, string_agg(skill, '|' ORDER BY position) AS skills FROM hits GROUP BY doc_id""")
 def _(t):
-    known = t.part.where("p_partkey < 8").select(
-        F.col("p_partkey").alias("position"), F.concat(F.lit("the"), F.substring("p_name", 1, 1)).alias("skill"))
+    known = t.part.groupBy(F.concat(F.lit("the"), F.substring("p_name", 1, 1)).alias("skill")).agg(F.min("p_partkey").alias("position"))
     return normalize.known_tokens_in_text(t.documents, "doc_id", "text", known)

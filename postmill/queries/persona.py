@@ -28,26 +28,47 @@ _SUM = """sum(vacancy_count_total)::BIGINT AS vacancy_count, sum(vacancy_count_s
   round(avg(junior_friendly_share), 6) AS junior_friendly_share, round(avg(remote_share), 6) AS remote_share,
   round(avg(median_tech_stack_size), 6) AS median_tech_stack_size,
   CASE WHEN min(geo_scope) = max(geo_scope) THEN min(geo_scope) ELSE 'mixed' END AS geo_scope,
-  round(sum(vacancy_count_salary) / sum(vacancy_count_total), 6) AS salary_coverage_share"""
+  round_even(sum(vacancy_count_salary) / sum(vacancy_count_total), 6) AS salary_coverage_share"""
+_SKILLS = "replace(arg_min(top_skills, {'a': -vacancy_count_total, 'b': top_skills}), ', ', '|') AS top_skills"
+_LOW = "CASE WHEN confidence = 'low' THEN 'low_confidence' ELSE '' END AS warnings"
 
 
-@query("segment_summary_view", f"""WITH {VIEW_SQL} SELECT *, {CONFIDENCE.format(n='vacancy_count', s='salary_sample_size',
-  c='salary_coverage_share')} AS confidence FROM (SELECT {_SUM}, arg_min(top_skills, {{'a': -vacancy_count_total, 'b': top_skills}})
-  AS top_skills FROM mv WHERE primary_role = 'promo' AND grade_final IN ('junior', 'middle'))""")
+@query("segment_summary_view", f"""WITH {VIEW_SQL} SELECT *, {_LOW} FROM (SELECT *, vacancy_count AS sample_size, {CONFIDENCE.format(
+  n='vacancy_count', s='salary_sample_size', c='salary_coverage_share')} AS confidence
+  FROM (SELECT {_SUM}, {_SKILLS} FROM mv WHERE primary_role = 'promo' AND grade_final IN ('junior', 'middle')))""")
 def _(t):
     return market.segment_summary_from_view(
         segment_view(t), {"primary_role": "promo", "grade_final": ["junior", "middle"], "absent": "x", "region": None})
 
 
-@query("segment_summary_postings", f"""SELECT *, {CONFIDENCE.format(n='vacancy_count', s='salary_sample_size',
-  c='salary_coverage_share')} AS confidence, NULL::VARCHAR AS warning FROM (SELECT count(*) AS vacancy_count, count({S}) AS salary_sample_size,
+@query("segment_summary_weighted", f"""WITH {VIEW_SQL}, part AS (SELECT * FROM mv WHERE country = 'C1')
+  SELECT sum(vacancy_count_total)::BIGINT AS vacancy_count, {", ".join(
+  f"round(sum({c} * vacancy_count_total) / sum(CASE WHEN {c} IS NOT NULL THEN vacancy_count_total END), 6) AS {c}"
+  for c in ("salary_median", "salary_q25", "remote_share"))}, 'local' AS geo_scope FROM part""")
+def _(t):
+    out = market.segment_summary_from_view(segment_view(t).withColumn("geo_scope", F.lit("local")), {"country": "C1", "geo_scope": "local"}, weighted=True)
+    return out.select("vacancy_count", "salary_median", "salary_q25", "remote_share", "geo_scope")
+
+
+@query("segment_summary_empty", """SELECT 0::BIGINT AS vacancy_count, NULL::BIGINT AS salary_sample_size, NULL::DOUBLE AS salary_median,
+  NULL::VARCHAR AS confidence, NULL::VARCHAR AS geo_scope, NULL::VARCHAR AS top_skills, 'unknown_grade_final:chief|empty_segment' AS warnings
+  FROM (SELECT count(*) FROM postings)""")
+def _(t):
+    out = market.segment_summary_from_view(segment_view(t), {"primary_role": "promo", "grade_final": "chief", "geo_scope": "local"})
+    return out.select("vacancy_count", "salary_sample_size", "salary_median", "confidence", "geo_scope", "top_skills", "warnings")
+
+
+@query("segment_summary_postings", f"""WITH {VIEW_SQL} SELECT *, {_LOW} FROM (SELECT *, vacancy_count AS sample_size, {CONFIDENCE.format(
+  n='vacancy_count', s='salary_sample_size', c='salary_coverage_share')} AS confidence FROM (SELECT count(*) AS vacancy_count, count({S}) AS salary_sample_size,
   round(avg(is_junior_friendly::INT), 6) AS junior_friendly_share, round(avg((work_mode = 'remote')::INT), 6) AS remote_share,
-  min(geo_scope) AS geo_scope, round(quantile_cont({S}, 0.5), 6) AS salary_median, round(quantile_cont({S}, 0.25), 6) AS salary_q25,
+  'mixed' AS geo_scope, round(quantile_cont({S}, 0.5), 6) AS salary_median, round(quantile_cont({S}, 0.25), 6) AS salary_q25,
   round(quantile_cont({S}, 0.75), 6) AS salary_q75, round(quantile_cont(tech_stack_size, 0.5), 6) AS median_tech_stack_size,
-  round(count({S}) / count(*), 6) AS salary_coverage_share FROM postings WHERE work_mode = 'hybrid' AND primary_role = 'small')""")
+  round_even(count({S}) / count(*), 6) AS salary_coverage_share, (SELECT {_SKILLS} FROM mv WHERE primary_role = 'small' AND geo_scope = 'mixed') AS top_skills
+  FROM postings WHERE work_mode = 'hybrid' AND primary_role = 'small' AND geo_scope = 'mixed'))""")
 def _(t):
     rows = t.postings("primary_role", "work_mode", "geo_scope", "is_junior_friendly", "tech_stack_size", S)
-    return market.segment_summary_from_postings(rows, {"work_mode": "hybrid", "primary_role": "small"})
+    return market.segment_summary_from_postings(
+        rows, {"work_mode": "hybrid", "primary_role": "small", "geo_scope": "mixed"}, view=segment_view(t))
 
 
 @query("filter_warnings", """SELECT 'primary_role' AS dimension, 'pilot' AS requested,
@@ -108,18 +129,28 @@ def _(t):
     return market.with_trust(g, F.lit("2001-11-20").cast("timestamp"), "d", "n", "s", "c").drop("d", "c")
 
 
-@query("dataset_trust", f"""WITH {VIEW_SQL} SELECT count(*) AS segments, sum(sample_size)::BIGINT AS sample_size,
-  sum(salary_sample_size)::BIGINT AS salary_sample_size, count(*) FILTER (WHERE confidence = 'high') AS segments_high,
-  count(*) FILTER (WHERE confidence = 'medium') AS segments_medium, count(*) FILTER (WHERE confidence = 'low') AS segments_low,
-  round(sum(salary_sample_size) / sum(sample_size), 6) AS salary_coverage_share FROM mv""")
+def _pairs(counts):
+    """A map as ``label:n`` texts."""
+    return F.transform(F.map_entries(counts), lambda e: F.concat_ws(":", e["key"], e["value"]))
+
+
+@query("dataset_trust", f"""WITH {VIEW_SQL}, v AS (SELECT *, CASE WHEN confidence <> 'high' THEN confidence ELSE 'unknown' END AS label FROM mv)
+  SELECT sum(vacancy_count)::BIGINT AS vacancy_count, sum(salary_sample_size)::BIGINT AS salary_sample_size,
+  round_even(sum(salary_sample_size) / sum(vacancy_count), 6) AS salary_coverage_share,
+  (SELECT string_agg(label || ':' || n, '|' ORDER BY label) FROM (SELECT label, count(*) AS n FROM v GROUP BY label)) AS confidence_counts FROM v""")
 def _(t):
-    return market.dataset_trust(segment_view(t))
+    view = segment_view(t).withColumn("confidence", F.when(F.col("confidence") != "high", F.col("confidence")))
+    return market.dataset_trust(view).withColumn("confidence_counts", _pairs(F.col("confidence_counts")))
 
 
-@query("dataset_scope", """SELECT geo_scope, count(*) AS rows, round((SELECT avg(salary_disclosed::INT) FROM postings), 6)
-  AS disclosure_share FROM postings GROUP BY geo_scope""")
+@query("dataset_scope", """WITH p AS (SELECT *, CASE WHEN quantity > 30 THEN 'salary_disclosed' WHEN quantity > 5 THEN 'all_vacancies' ELSE 'unknown' END AS label FROM postings)
+  SELECT count(*) AS row_count, count(*) FILTER (WHERE salary_disclosed) AS salary_disclosed_count, round_even(avg(salary_disclosed::INT), 6) AS salary_disclosure_share,
+  (SELECT string_agg(label || ':' || n, '|' ORDER BY label) FROM (SELECT label, count(*) AS n FROM p GROUP BY label)) AS dataset_scope_counts FROM p""")
 def _(t):
-    return market.dataset_scope(t.postings("geo_scope", "salary_disclosed"))
+    n = F.col("quantity")
+    rows = t.postings("quantity", "salary_disclosed").withColumn(
+        "dataset_scope", F.when(n > 30, "salary_disclosed").when(n > 5, "all_vacancies"))
+    return market.dataset_scope(rows).withColumn("dataset_scope_counts", _pairs(F.col("dataset_scope_counts")))
 
 
 @query("dataset_warning", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'quality_not_passed'
@@ -253,19 +284,19 @@ def _(t):
 
 
 def resources(t):
-    return t.part.where("p_partkey < 40").select(
+    return t.part.select(
         F.concat(F.lit(" Has_"), F.split("p_name", " ")[0]).alias("skill"), F.col("p_brand").alias("title"),
-        F.concat(F.lit("https://example.org/"), "p_partkey").alias("url"), F.lower("p_type").alias("type"))
+        F.concat(F.lit("https://example.org/"), F.lower("p_type")).alias("url"), F.lower("p_type").alias("type")).distinct()
 
 
-RESOURCES_SQL = """res AS (SELECT split_part(p_name, ' ', 1) AS skill, p_brand AS title, 'https://example.org/' || p_partkey AS url,
-  lower(p_type) AS type FROM part WHERE p_partkey < 40)"""
+RESOURCES_SQL = """res AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS skill, p_brand AS title, 'https://example.org/' || lower(p_type) AS url,
+  lower(p_type) AS type FROM part)"""
 
 
 @query("attach_resources", f"""WITH {RESOURCES_SQL} SELECT skill, string_agg(title || ' ' || url, '|' ORDER BY title, url) AS resources
-  FROM res JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS s FROM part WHERE p_size < 40) ON s = skill GROUP BY skill""")
+  FROM res JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS s FROM part) ON s = skill GROUP BY skill""")
 def _(t):
-    skills = t.part.where("p_size < 40").select(F.split("p_name", " ")[0].alias("skill")).distinct()
+    skills = t.part.select(F.split("p_name", " ")[0].alias("skill")).distinct()
     out = attach_resources(skills, resources(t))
     return out.withColumn("resources", F.transform("resources", lambda r: F.concat_ws(" ", r["title"], r["url"])))
 

@@ -364,7 +364,7 @@ def _(t):
 
 
 EVIDENCE_SQL = """an AS (SELECT c_custkey AS user_id, c_custkey * 3 AS vacancy_count, CASE WHEN c_custkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence
-  FROM customer WHERE c_custkey % 6 <> 0), gp AS (SELECT o_custkey AS user_id, 'Skill ' || o_orderkey % 40 || '!' AS skill_name, (o_orderkey % 97) / 97 AS market_share,
+  FROM customer), gp AS (SELECT o_custkey AS user_id, 'Skill ' || o_orderkey % 40 || '!' AS skill_name, (o_orderkey % 97) / 97 AS market_share,
   o_orderkey % 3 <> 0 AS gap FROM orders), ss AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 = 0 THEN 'fallback' ELSE 'ready' END AS search_state FROM customer)"""
 
 
@@ -377,7 +377,7 @@ EVIDENCE_SQL = """an AS (SELECT c_custkey AS user_id, c_custkey * 3 AS vacancy_c
   UNION ALL SELECT user_id, 'search:runtime_state', 'search_runtime', search_state, 'high' FROM ss SEMI JOIN an USING (user_id) WHERE search_state <> 'ready'"""))
 def _(t):
     p, c, k = Product(t), F.col("c_custkey"), F.col("o_orderkey")
-    analysis = t.customer.where("c_custkey % 6 <> 0").select(
+    analysis = t.customer.select(
         c.alias("user_id"), (c * 3).alias("vacancy_count"), F.when(c % 2 == 0, "high").otherwise("low").alias("confidence"))
     gaps = t.orders.select(F.col("o_custkey").alias("user_id"), F.concat(F.lit("Skill "), k % 40, F.lit("!")).alias("skill_name"),
                            ((k % 97) / 97).alias("market_share"), (k % 3 != 0).alias("gap"))

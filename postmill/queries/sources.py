@@ -36,11 +36,6 @@ def _(t):
 DAILY_SQL = "SELECT vacancy_id::VARCHAR AS vacancy_id, title, strftime(day, '%Y-%m-%d') AS date FROM postings WHERE day IS NOT NULL"
 
 
-def daily(t):
-    rows = t.postings("vacancy_id", "title", "work_mode", "quantity", "day")
-    return rows.where((F.col("day") >= "1998-01-01") & (F.col("day") < "1998-04-01"))
-
-
 @query("write_daily_snapshot", f"SELECT date, count(*) AS n, count(DISTINCT vacancy_id) AS ids, min(title) AS title FROM ({DAILY_SQL}) GROUP BY date")
 def _(t):
     path = shared_dir(t.spark, "daily")
@@ -51,18 +46,19 @@ def _(t):
 
 
 @query("compact_monthly", """SELECT strftime(day, '%Y-%m') AS month, count(*) AS n, count(CASE WHEN day >= DATE '1998-03-01' THEN work_mode END) AS modes,
-  sum(quantity)::DOUBLE AS quantity FROM postings WHERE day >= DATE '1998-01-01' AND day < DATE '1998-04-01' AND day <> DATE '1998-01-05' GROUP BY 1""")
+  sum(quantity)::DOUBLE AS quantity FROM postings WHERE day IS NOT NULL GROUP BY 1""")
 def _(t):
+    """Two snapshots a month, the 1st and the 15th."""
     source, target = shared_dir(t.spark, "days"), shared_dir(t.spark, "months")
-    rows = daily(t).where(F.col("day") != F.lit("1998-01-05").cast("date"))
-    day = F.date_format("day", "yyyy-MM-dd").alias("date")
+    rows = t.postings("vacancy_id", "work_mode", "quantity", "day").where(F.col("day").isNotNull())
+    day = F.concat(F.date_format("day", "yyyy-MM"), F.when(F.dayofmonth("day") < 15, "-01").otherwise("-15")).alias("date")
 
     def write(df):
         df.repartition("date").write.mode("append").partitionBy("date").parquet(source)
 
     # schemas change over time: whole quantities, text quantities within the same month, one more column
-    write(rows.where("day < DATE '1998-02-10'").select("vacancy_id", F.col("quantity").cast("int").alias("quantity"), day))
-    write(rows.where("day >= DATE '1998-02-10' AND day < DATE '1998-03-01'").select("vacancy_id", F.col("quantity").cast("string").alias("quantity"), day))
+    write(rows.where("day < DATE '1998-02-15'").select("vacancy_id", F.col("quantity").cast("int").alias("quantity"), day))
+    write(rows.where("day >= DATE '1998-02-15' AND day < DATE '1998-03-01'").select("vacancy_id", F.col("quantity").cast("string").alias("quantity"), day))
     write(rows.where("day >= DATE '1998-03-01'").select("vacancy_id", "quantity", "work_mode", day))
     postings.compact_monthly(t.spark, source, target)
     assert postings.compact_monthly(t.spark, source, target) == []  # existing months are skipped
@@ -71,14 +67,15 @@ def _(t):
         F.count(F.lit(1)).alias("n"), F.count("work_mode").alias("modes"), F.sum(F.col("quantity").cast("double")).alias("quantity"))
 
 
-@query("union_all_partitions", """SELECT backfill_snapshot_date, backfill_source_key, title IS NULL AS no_title, quantity IS NULL AS no_quantity, count(*) AS n FROM (
-  SELECT '1998-01-31' AS backfill_snapshot_date, 'p/date=1998-01-31/snapshot.csv' AS backfill_source_key, title, NULL AS quantity FROM postings WHERE day = DATE '1998-01-31'
-  UNION ALL SELECT '1998-02-01', 'p/date=1998-02-01/snapshot.csv', NULL, quantity FROM postings WHERE day = DATE '1998-02-01') GROUP BY ALL""")
+@query("union_all_partitions", """SELECT CASE WHEN day < DATE '1998-02-01' THEN '1998-01-31' ELSE '2001-12-31' END AS backfill_snapshot_date,
+  'p/date=' || CASE WHEN day < DATE '1998-02-01' THEN '1998-01-31' ELSE '2001-12-31' END || '/snapshot.csv' AS backfill_source_key,
+  coalesce(day < DATE '1998-02-01', false) = false AS no_title, coalesce(day < DATE '1998-02-01', false) AS no_quantity, count(*) AS n FROM postings GROUP BY ALL""")
 def _(t):
     rows = t.postings("vacancy_id", "title", "quantity", "day")
-    days = [("1998-01-31", ["vacancy_id", "title"]), ("1998-02-01", ["vacancy_id", "quantity"])]
+    early = F.coalesce(F.col("day") < F.lit("1998-02-01").cast("date"), F.lit(False))
+    days = [("1998-01-31", early, ["vacancy_id", "title"]), ("2001-12-31", ~early, ["vacancy_id", "quantity"])]
     out = postings.union_all_partitions([
-        (d, f"p/date={d}/snapshot.csv", rows.where(F.col("day") == F.lit(d).cast("date")).select(*names)) for d, names in days])
+        (d, f"p/date={d}/snapshot.csv", rows.where(inside).select(*names)) for d, inside, names in days])
     return out.groupBy("backfill_snapshot_date", "backfill_source_key", F.col("title").isNull().alias("no_title"),
                        F.col("quantity").isNull().alias("no_quantity")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -53,7 +53,7 @@ def _(t):
 
 
 @query("upsert_snapshots", """WITH old AS (SELECT strftime(date_trunc('week', published_at), '%Y-%m-%d') AS week_start, primary_role AS role,
-  count(*) AS n FROM postings WHERE quantity < 30 GROUP BY ALL), new AS (SELECT strftime(date_trunc('week', published_at), '%Y-%m-%d') AS week_start,
+  count(*) AS n FROM postings WHERE quantity < 30 OR primary_role = 'promo' GROUP BY ALL), new AS (SELECT strftime(date_trunc('week', published_at), '%Y-%m-%d') AS week_start,
   primary_role AS role, 1000 + count(*) AS n FROM postings WHERE quantity >= 30 AND primary_role <> 'promo' GROUP BY ALL)
   SELECT week_start, role, n AS vacancy_count FROM old ANTI JOIN new USING (week_start, role) UNION ALL SELECT week_start, role, n FROM new""")
 def _(t):
@@ -64,7 +64,7 @@ def _(t):
             (F.count(F.lit(1)) + extra).alias("vacancy_count"))
         return g.withColumns({k: F.lit("unknown") for k in trends.SNAPSHOT_KEYS[2:]})
 
-    old = part(rows.where("quantity < 30"), 0)
+    old = part(rows.where("quantity < 30 OR primary_role = 'promo'"), 0)
     new = part(rows.where("quantity >= 30 AND primary_role <> 'promo'"), 1000)
     return trends.upsert_snapshots(old, new).select("week_start", "role", "vacancy_count")
 
@@ -193,13 +193,12 @@ def _(t):
 RUNS_SQL = """runs AS (SELECT 'd' || o_custkey % 40 AS dataset, o_orderkey AS run_id, o_orderdate AS generated_at,
   CASE WHEN o_orderkey % 5 < 3 THEN 'current_market_snapshot' ELSE 'historical_publication_facts' END AS semantic,
   CASE o_orderkey % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'crawl' END AS source_kind, o_orderstatus <> 'F' AS passed,
-  o_orderpriority < '4' AS dates, o_totalprice > 100000 AS gate FROM orders WHERE o_custkey % 40 < 20 OR o_orderdate > TIMESTAMP '2001-06-01')"""
+  o_orderpriority < '4' AS dates, o_totalprice > 100000 AS gate FROM orders)"""
 
 
 def runs(t):
     k = F.col("o_orderkey")
-    rows = t.orders.where("o_custkey % 40 < 20 OR o_orderdate > TIMESTAMP_NTZ '2001-06-01'")
-    return rows.select(
+    return t.orders.select(
         F.concat(F.lit("d"), F.col("o_custkey") % 40).alias("dataset"), k.alias("run_id"),
         F.col("o_orderdate").cast("timestamp").alias("generated_at"),
         F.when(k % 5 < 3, "current_market_snapshot").otherwise("historical_publication_facts").alias("dataset_semantic_type"),

@@ -48,6 +48,9 @@ REVIEW_PATTERNS = [
     r'(?i)"(?:ratingCount|reviewCount)"\s*:\s*"?([0-9\s]+)',
     r'"reviewsCount"\s*:\s*"?([0-9\s]+)',
 ]
+RATING_PATHS = ["$.totalRating", "$.rating", "$.ratingInfo.value", "$.rating.value"]
+REVIEW_PATHS = ["$.reviewsCount", "$.ratingInfo.reviewsCount", "$.rating.reviewsCount"]
+JSON_ESCAPES = {"\\/": "/", '\\"': '"', "\\n": "\n", "\\r": "\r", "\\t": "\t", "\\b": "\b", "\\f": "\f"}
 ADVANTAGES = {
     "employer_has_remote": ["удал", "remote"], "employer_has_flexible_schedule": ["гибк", "flexible"],
     "employer_has_med_insurance": ["дмс", "мед", "insurance"], "employer_has_education": ["обуч", "education", "курсы"],
@@ -185,6 +188,45 @@ def extract_listing_links(pages: DataFrame, host: Column, mark: str | None = LIS
     return links.select(*carry, "position", F.split(unescape(absolute), r"\?")[0].alias("link"))
 
 
+def _variants(html: Column) -> Column:
+    """The page as it is, with its entities resolved, and with the escapes of a JSON string resolved."""
+    plain = html
+    for escape, text in JSON_ESCAPES.items():
+        plain = F.replace(plain, F.lit(escape), F.lit(text))
+    # a code point of the basic plane per escape; surrogate halves become replacement marks
+    pieces = F.split(plain, r"\\u(?=[0-9a-fA-F]{4})")
+    rest = F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
+        lambda p: F.concat(F.decode(F.unhex(F.substring(p, 1, 4)), "UTF-16BE"), F.substring(p, 5, 1 << 30)))
+    return F.array_distinct(F.array(html, unescape(html), F.concat(F.get(pieces, 0), F.array_join(rest, ""))))
+
+
+def _review_objects(variants: Column) -> Column:
+    """What follows each ``"employerReviews":``, as an object with text behind it.
+
+    The JSON functions read one value and ignore what is behind it; an object
+    that is never closed has no fields.
+    """
+    return F.flatten(F.transform(variants, lambda v: F.slice(
+        F.split(v, r'(?i)"employerReviews"\s*:\s*(?=\{)'), 2, F.length(v) + 1)))
+
+
+def _at(json: Column, *paths: str) -> Column:
+    return F.array(*[F.get_json_object(json, p) for p in paths])
+
+
+def _first_of(values: Column) -> Column:
+    return F.get(F.array_compact(values), 0)
+
+
+def _embedded_rating(variants: Column, objects: Column) -> Column:
+    """The first valid rating of any embedded object, then of any plain mention of a total rating."""
+    in_objects = F.flatten(F.transform(objects, lambda o: F.transform(_at(o, *RATING_PATHS), lambda v: _rating(v))))
+    mentioned = F.flatten(F.transform(variants, lambda v: F.flatten(F.array(
+        *[F.regexp_extract_all(v, F.lit(p), F.lit(1)) for p in RATING_PATTERNS[:3]]))))
+    return F.coalesce(_first_of(in_objects), _first_of(F.transform(mentioned, lambda v: _rating(v))))
+
+
 def _first_valid(text: Column, patterns: Sequence[str], convert) -> Column:
     return F.coalesce(*[convert(F.regexp_extract(text, p, 1)) for p in patterns])
 
@@ -195,17 +237,30 @@ def _rating(value: Column) -> Column:
 
 
 def extract_employer_fields(pages: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """A10: rating, reviews, advantages, accreditation and type of an employer page."""
-    html = F.col("html")
+    """A10: rating, reviews, advantages, accreditation and type of an employer page.
+
+    Ratings are looked for in every embedded review object, by path, before any
+    pattern of the page; values outside 0 to 5 are passed over. A page that is
+    NULL or empty has NULL fields and no advantages.
+    """
+    html = F.coalesce("html", F.lit(""))
     plain = F.replace(F.replace(unescape(html), F.lit('\\"'), F.lit('"')), F.lit("\\/"), F.lit("/"))
-    df = pages.select(*carry, "url", plain.alias("_html"), F.lower(page_text(html)).alias("_page"))
+    df = pages.select(*carry, "url", plain.alias("_html"), F.lower(page_text(html)).alias("_page"),
+                      _variants(html).alias("_variants"))
+    df = df.withColumn("_objects", _review_objects(F.col("_variants")))
     listed = F.lower(F.regexp_extract("_html", r'"advantages"\s*:\s*(\[[^\]]+\])', 1))
     shown = F.when(listed != "", listed).otherwise(F.col("_page"))
     kind = F.lower(element_text(F.col("_html"), r"\w+", "employer-type"))
     kind = F.when(kind != "", kind).otherwise(F.col("_page"))
-    reviews = _first_valid(F.col("_html"), REVIEW_PATTERNS, lambda v: F.regexp_replace(v, "[^0-9]", "").try_cast("bigint"))
+    def digits(value: Column) -> Column:
+        return F.regexp_replace(value, "[^0-9]", "").try_cast("bigint")
+
+    counts = F.flatten(F.transform("_objects", lambda o: F.transform(_at(o, *REVIEW_PATHS), digits)))
+    reviews = F.coalesce(_first_of(counts), _first_valid(F.col("_html"), REVIEW_PATTERNS, digits))
+    rating = F.coalesce(
+        _embedded_rating(F.col("_variants"), F.col("_objects")), _first_valid(F.col("_html"), RATING_PATTERNS[3:], _rating))
     return df.select(
-        *carry, F.col("url").alias("employer_url"), _first_valid(F.col("_html"), RATING_PATTERNS, _rating).alias("employer_rating"),
+        *carry, F.col("url").alias("employer_url"), rating.alias("employer_rating"),
         reviews.alias("employer_reviews_count"), F.when(F.col("_page").contains("аккредитован"), True).alias("employer_accredited_it"),
         F.when(kind.contains("прямой работодатель"), "direct").when(contains_any(kind, ["кадров", "агентств"]), "agency")
         .alias("employer_type"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,48 +111,43 @@ def union_with_schema(frames: Sequence[DataFrame], types: Mapping[str, str]) ->
 
 
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
-    """Values of a partition column; empty when the table does not exist yet."""
-    try:
-        table = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(path)
-    except AnalysisException:
+    """Values of a partition column from the folder names; empty when the table does not exist yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
         return []
-    return sorted(str(r[0]) for r in table.select(F.col(column).cast("string")).distinct().collect())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(unquote(n.removeprefix(f"{column}=")) for n in names if n.startswith(f"{column}="))
 
 
 def _same_schema_days(spark: SparkSession, source: str, days: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
     """(schema, days) groups that one reader can take; only footers are read.
 
-    Days whose schemas merge stay together. Only a month with conflicting types
-    is looked at day by day.
+    Days whose schemas merge stay together. Where types conflict the days are
+    halved, so only the days around a change of schema are looked at closely.
     """
     paths = [f"{source}/date={d}" for d in days]
     try:
         return [(spark.read.option("mergeSchema", True).parquet(*paths).schema, list(days))]
     except Exception as e:  # the conflict arrives as an untyped JVM error
-        if "CANNOT_MERGE_SCHEMAS" not in str(e):
+        if "CANNOT_MERGE_SCHEMAS" not in str(e) or len(days) == 1:
             raise
-    groups: dict[str, tuple[T.StructType, list[str]]] = {}
-    for d, path in zip(days, paths):
-        schema = spark.read.parquet(path).schema
-        groups.setdefault(schema.json(), (schema, []))[1].append(d)
-    return list(groups.values())
+    half = len(days) // 2
+    return _same_schema_days(spark, source, days[:half]) + _same_schema_days(spark, source, days[half:])
 
 
 def compact_monthly(spark: SparkSession, source: str, target: str, months: Sequence[str] | None = None) -> list[str]:
     """A4: daily partitions to one partition per month; months that exist are skipped.
 
-    Within a month the rows of a day stay together, so a month is written by as
-    many tasks as it has days.
+    Rows are dealt by month and months are split by size, so a large month is
+    written by several tasks. Conflicting column types become text.
     """
     days = partition_values(spark, source, "date")
     done = set(partition_values(spark, target, "month"))
     wanted = [d for d in days if (months is None or d[:7] in months) and d[:7] not in done]
     if not wanted:
         return []
-    by_month: dict[str, list[str]] = {}
-    for d in wanted:
-        by_month.setdefault(d[:7], []).append(d)
-    parts = [part for days in by_month.values() for part in _same_schema_days(spark, source, days)]
+    parts = _same_schema_days(spark, source, wanted)
     types = unified_schema([schema for schema, _ in parts])
     frames = [
         spark.read.option("basePath", source).schema(T.StructType([*schema.fields, T.StructField("date", T.StringType())]))
