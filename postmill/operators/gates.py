@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.columns import SALARY_COLUMNS, any_of, first_existing, flag, wide_to_long
 from postmill.functions.normalize import ID_ALIASES, canonical_key, first_date
+from postmill.session import materialize
 
 # --- fixed values ----------------------------------------------------------
 
@@ -312,38 +313,44 @@ def out_of_window_examples(df: DataFrame, first: Column, last: Column, order: Se
 
 
 def cross_partition_duplicates(df: DataFrame, part: str, key: str | None = None) -> DataFrame:
-    """G9 as long rows (section, name, value).
+    """G9 as long rows (section, name, value), from one scan of the table.
 
-    Rows are first counted per (id, partition); the overlap of neighbouring
-    partitions is an equi join of those counts on id and partition.
+    Rows are counted per (id, partition) and that narrow table is written once. Ids
+    are then counted per list of their partitions; an id is in two neighbouring
+    partitions when they stand side by side in its sorted list, so overlaps need no
+    join of ids. Blank and NULL ids are missing ones; an empty table has zeros.
     """
     key = key or first_existing(df, *RAW_ID_ALIASES)
     text = F.trim(F.col(key).cast("string"))
-    pairs = df.groupBy(F.when(text != "", text).alias("_id"), F.col(part).cast("string").alias("_part")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    named = pairs.where(F.col("_id").isNotNull())
-    per_id = named.groupBy("_id").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_parts"))
-    blank = pairs.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_rows"),
-        F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("_n"))), F.lit(0)).alias("missing_id_rows"))
-    ids = per_id.agg(
-        F.count(F.lit(1)).alias("unique_ids"),
-        F.coalesce(F.sum((F.col("_n") > 1).cast("long")), F.lit(0)).alias("repeated_id_count"))
-    one = blank.join(ids).withColumn("duplicate_rows", F.greatest(
+    pairs = materialize(df.groupBy(F.when(text != "", text).alias("_id"), F.col(part).cast("string").alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n")), "id-partitions")
+    # one row per partition value: the list of partitions, not of rows
+    per_part = materialize(pairs.groupBy("_part").agg(
+        F.sum("_n").alias("rows"), F.count("_id").alias("ids"), F.sum(F.when(F.col("_id").isNull(), F.col("_n"))).alias("missing")), "partitions")
+    per_id = pairs.where(F.col("_id").isNotNull()).groupBy("_id").agg(
+        F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_parts"), F.array_sort(F.collect_list("_part")).alias("_list"))
+    lists = materialize(per_id.groupBy("_list", "_parts").agg(
+        F.count(F.lit(1)).alias("ids"), F.sum((F.col("_n") > 1).cast("long")).alias("repeated")), "partition-lists")
+
+    def whole(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0))
+
+    rows = per_part.agg(whole("rows").alias("raw_rows"), whole("missing").alias("missing_id_rows"))
+    ids = lists.agg(whole("ids").alias("unique_ids"), whole("repeated").alias("repeated_id_count"))
+    one = rows.join(ids).withColumn("duplicate_rows", F.greatest(
         F.col("raw_rows") - F.col("missing_id_rows") - F.col("unique_ids"), F.lit(0)))
     names = ["raw_rows", "missing_id_rows", "unique_ids", "repeated_id_count", "duplicate_rows"]
     summary = wide_to_long(one, [], names, "name", "value").select(F.lit("summary").alias("section"), "name", "value")
-    histogram = per_id.groupBy("_parts").agg(F.count(F.lit(1)).alias("value")).select(
+    histogram = lists.groupBy("_parts").agg(F.sum("ids").alias("value")).select(
         F.lit("partitions_per_id").alias("section"), F.col("_parts").cast("string").alias("name"), "value")
-    per_part = pairs.groupBy("_part").agg(F.sum("_n").alias("rows"), F.count("_id").alias("ids"))
     sizes = per_part.select(F.lit("partition_rows").alias("section"), F.col("_part").alias("name"), F.col("rows").alias("value"))
     distinct = per_part.select(F.lit("partition_ids").alias("section"), F.col("_part").alias("name"), F.col("ids").alias("value"))
-    # one row per partition value: the list of partitions, not of rows
     neighbours = per_part.select("_part", F.lead("_part").over(Window.orderBy("_part")).alias("_right")).where(
         F.col("_right").isNotNull())
-    left = named.select("_id", "_part").join(neighbours, "_part")
-    right = named.select("_id", F.col("_part").alias("_right"))
-    both = left.join(right, ["_id", "_right"]).groupBy("_part", "_right").agg(F.count(F.lit(1)).alias("_n"))
+    following = F.slice("_list", 2, F.greatest(F.size("_list"), F.lit(1)))
+    side_by_side = lists.where(F.size("_list") > 1).select("ids", F.explode(F.filter(
+        F.arrays_zip(F.col("_list").alias("_part"), following.alias("_right")), lambda x: x["_right"].isNotNull())).alias("_pair"))
+    both = side_by_side.groupBy("_pair._part", "_pair._right").agg(F.sum("ids").alias("_n"))
     overlap = neighbours.join(both, ["_part", "_right"], "left").select(
         F.lit("adjacent_overlap").alias("section"), F.concat_ws("..", "_part", "_right").alias("name"),
         F.coalesce("_n", F.lit(0)).alias("value"))

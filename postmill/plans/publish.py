@@ -32,17 +32,24 @@ def write_run(tables: Mapping[str, DataFrame], root: str, run_id: str) -> dict[s
 def publish_run(spark: SparkSession, root: str, run_id: str, gates: DataFrame) -> None:
     """Move the pointer last, and only when all gates passed.
 
-    ``gates`` has name and passed; only the names of failed gates reach the driver.
+    The pointer is a log: a run adds one file and nothing is replaced, so readers
+    find the previous run until the file is there. ``gates`` has name and passed;
+    only the names of failed gates reach the driver.
     """
     failed = sorted(r["name"] for r in gates.where(~F.col("passed")).select("name").distinct().collect())
     if failed:
         raise GateFailed(failed)
     pointer = spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("published_at"))
-    pointer.write.mode("overwrite").parquet(f"{root}/latest")
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/latest")
 
 
 def latest_run(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/latest").first()["run_id"]
+    """The run that was published last; of two at one moment the greater id."""
+    log = spark.read.schema("run_id string, published_at timestamp").parquet(f"{root}/latest")
+    newest = log.agg(F.max(F.struct("published_at", "run_id"))["run_id"].alias("run_id")).first()["run_id"]
+    if newest is None:
+        raise LookupError(f"no run is published in {root}")
+    return newest
 
 
 def read_latest(spark: SparkSession, root: str, table: str) -> DataFrame:

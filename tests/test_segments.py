@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators import deltas, market, matching, product
+from postmill.operators import deltas, gates, market, matching, product
+from postmill.plans import publish
 from postmill.sources import pages, postings
 
 VIEW = """primary_role string, grade_final string, domain string, geo_scope string, vacancy_count_total long, vacancy_count_salary long,
@@ -136,3 +138,37 @@ def test_one_conflicting_day_among_many(spark, tmp_path):
     assert sorted(d for _, g in groups for d in g) == days and ["2000-01-05"] in [g for _, g in groups]
     assert postings.compact_monthly(spark, source, target) == ["2000-01"]
     assert sorted(r["v"] for r in spark.read.parquet(target).collect()) == ["0"] * 9 + ["1"] * 9
+
+
+def test_readers_find_the_old_run_until_the_new_one_is_published(spark, rows, tmp_path):
+    root = str(tmp_path / "runs")
+    passed = rows("name string, passed boolean", ("a", True))
+    publish.write_run({"t": spark.range(1)}, root, "r2")
+    publish.publish_run(spark, root, "r2", passed)
+    first = sorted(p.name for p in (tmp_path / "runs" / "latest").glob("part-*"))
+    publish.write_run({"t": spark.range(2)}, root, "r1")
+    assert publish.read_latest(spark, root, "t").count() == 1
+    with pytest.raises(publish.GateFailed):
+        publish.publish_run(spark, root, "r1", rows("name string, passed boolean", ("a", False)))
+    assert publish.latest_run(spark, root) == "r2"
+    publish.publish_run(spark, root, "r1", passed)
+    assert publish.latest_run(spark, root) == "r1" and publish.read_latest(spark, root, "t").count() == 2
+    assert set(first) < {p.name for p in (tmp_path / "runs" / "latest").glob("part-*")}
+
+
+def test_partition_overlaps_by_brute_force(spark, rows):
+    dice = random.Random(5)
+    data = [(dice.choice([None, " ", *"abcdefgh"]), f"2000-0{dice.randrange(1, 7)}") for _ in range(60)]
+    out = {(r["section"], r["name"]): r["value"] for r in gates.cross_partition_duplicates(rows("id string, part string", *data), "part", "id").collect()}
+    named = [(i, p) for i, p in data if i and i.strip()]
+    parts = sorted({p for _, p in data})
+    ids = {i: sorted({p for j, p in named if j == i}) for i, _ in named}
+    assert out["summary", "raw_rows"] == 60 and out["summary", "missing_id_rows"] == 60 - len(named)
+    assert out["summary", "unique_ids"] == len(ids) and out["summary", "duplicate_rows"] == len(named) - len(ids)
+    for a, b in zip(parts, parts[1:]):
+        assert out["adjacent_overlap", f"{a}..{b}"] == sum(a in p and b in p for p in ids.values())
+    for n in {len(p) for p in ids.values()}:
+        assert out["partitions_per_id", str(n)] == sum(len(p) == n for p in ids.values())
+    empty = gates.cross_partition_duplicates(rows("id string, part string", ("a", "b")).limit(0), "part", "id")
+    assert {r["name"]: r["value"] for r in empty.collect()} == dict.fromkeys(
+        ["raw_rows", "missing_id_rows", "unique_ids", "repeated_id_count", "duplicate_rows"], 0)
