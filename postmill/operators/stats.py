@@ -21,6 +21,7 @@ from postmill.functions.normalize import (
 )
 from postmill.operators.market import primary_domain
 from postmill.operators.quantiles import quantiles_of_counters, quantiles_of_counts, value_counts, with_quantiles
+from postmill.session import materialize
 
 SALARY = "salary_mid_rub_capped"
 
@@ -256,10 +257,10 @@ def soft_skills_by_employer(df: DataFrame, top_n: int = 10, company: str = "comp
 def top_employers(
     df: DataFrame, n: int = 15, company: str = "company", salary: str = SALARY, rating: str = "employer_rating"
 ) -> DataFrame:
-    """The share divides by all rows, named or not."""
-    per_company = df.groupBy(company).agg(
+    """The share divides by all rows, named or not. Companies are counted once and written for the three steps that read them."""
+    per_company = materialize(df.groupBy(company).agg(
         F.count(F.lit(1)).alias("vacancy_count"), F.avg(rating).alias("rating_mean")
-    )
+    ), "companies")
     whole = per_company.agg(F.sum("vacancy_count").alias("_all"))
     top = per_company.where(F.col(company).isNotNull()).orderBy(F.desc("vacancy_count"), company).limit(n)
     rows = df.join(F.broadcast(top.select(company)), company, "left_semi")
