@@ -3,6 +3,11 @@
 A seed is a window of words under a fixed mask; words at zeros of the mask do not
 count. Texts and benchmark items that share a seed are aligned there, and the whole
 overlap of item and text is checked word by word, with substitutions allowed.
+
+No overlap that the rule admits is without a seed. The masks miss no way to substitute
+3 of 12, 4 of 16 or 5 of 20 words, which a test enumerates. A longer overlap, cut to a
+multiple of four words, is a row of such stretches, and one of them has no more
+substitutions than its own share, as all together have no more than theirs.
 """
 
 from __future__ import annotations
@@ -10,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -19,8 +25,10 @@ from pyspark.sql import types as T
 
 from postmill.llm.common import LOWER, RangeHashes, joined_bytes, mix64, pieces, small_batches, symbol_codes, word_ranges
 
-MASKS = ("110110101101", "101101110011", "111010011011", "111100110101")
-SPAN = len(MASKS[0])
+MASKS = (
+    "1101111", "111010011", "1110001011", "10111011", "111001000011", "110001111", "10110111", "110100010101", "11010001101",
+)
+SPAN = 12  # least words of an overlap with an item that has as many
 EQUAL = 0.75  # least share of equal words in an overlap
 PENALTY = 2  # an overlap ends where substitutions cost more than the words beyond them win
 BLOCK_BYTES = 8 << 20
@@ -40,6 +48,22 @@ def tokens(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return RangeHashes(symbol_codes(17)[data]).of(begin, end), np.searchsorted(begin, starts)
 
 
+def masks_of(words: int) -> tuple[str, ...]:
+    """Masks for items of so many words: MASKS from SPAN words on.
+
+    Shorter items are seeds as a whole. Where the rule admits n substitutions the words are
+    cut into n + 3 parts, and each mask leaves out n of them.
+    """
+    if words >= SPAN:
+        return MASKS
+    allowed = int(words * (1 - EQUAL))
+    if not allowed:
+        return ("1" * words,)
+    parts = np.array_split(np.arange(words), allowed + 3)
+    left_out = [np.concatenate(some).tolist() for some in combinations(parts, allowed)]
+    return tuple("".join("0" if k in out else "1" for k in range(words)) for out in left_out)
+
+
 def seed_hashes(codes: np.ndarray, mask: str) -> np.ndarray:
     """Hash of the mask's words at each place where a whole window fits."""
     n = len(codes) - len(mask) + 1
@@ -66,18 +90,19 @@ class Index:
 
 
 def build_index(items: Sequence[str | None]) -> Index:
-    """Items shorter than a mask are seeds as a whole, under a mask of ones of their length."""
+    """Seeds of all items, each under the masks for its number of words."""
     codes, starts = tokens(items)
-    sizes = np.diff(starts)
-    short = tuple("1" * n for n in sorted({int(n) for n in sizes if 0 < n < SPAN}))
+    sizes = np.minimum(np.diff(starts), SPAN)
+    sizes_of = {}
+    for n in np.unique(sizes[sizes > 0]).tolist() or [SPAN]:
+        for mask in masks_of(n):
+            sizes_of.setdefault(mask, []).append(n)
     hashes, owner, place = [], [], []
-    for mask in MASKS + short:
+    for mask, own in sizes_of.items():
         h = seed_hashes(codes, mask)
         at = np.arange(len(h))
         item = np.searchsorted(starts, at, side="right") - 1
-        inside = at + len(mask) <= starts[item + 1]
-        if len(mask) < SPAN:
-            inside &= sizes[item] == len(mask)
+        inside = (at + len(mask) <= starts[item + 1]) & np.isin(sizes[item], own)
         hashes.append(h[inside])
         owner.append(item[inside])
         place.append((at - starts[item])[inside])
@@ -85,7 +110,7 @@ def build_index(items: Sequence[str | None]) -> Index:
     order = np.argsort(hashes, kind="stable")
     present = np.zeros(1 << 20, bool)
     present[(hashes >> np.uint64(44)).astype(np.int64)] = True
-    return Index(codes, starts, MASKS + short, hashes[order], owner[order], place[order], present)
+    return Index(codes, starts, tuple(sizes_of), hashes[order], owner[order], place[order], present)
 
 
 def _best_run(equal: np.ndarray) -> tuple[int, int]:
@@ -132,7 +157,7 @@ def _runs(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
 def overlaps(texts: Sequence[str | None], index: Index) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, first word in text, first word in item, words, equal words) of every verified overlap.
 
-    An overlap has at least as many words as a mask, or is a whole item, and a share
+    An overlap has at least SPAN words, or is a whole shorter item, and a share
     of EQUAL of them agree. One alignment of a text and an item can hold several.
     """
     codes, starts = tokens(texts)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -302,6 +303,55 @@ def test_every_qualifying_run_is_met():
     assert lost
 
 
+def _missed(masks, words, changed):
+    """How many ways to change so many of so many words leave no mask whole anywhere."""
+    ways = np.array([sum(1 << k for k in way) for way in combinations(range(words), changed)])
+    missed = np.ones(len(ways), bool)
+    for mask in masks:
+        ones = sum(1 << k for k, on in enumerate(mask) if on == "1")
+        for at in range(words - len(mask) + 1):
+            missed &= (ways & (ones << at)) != 0
+    return int(missed.sum())
+
+
+def test_masks_miss_no_substitution():
+    assert [_missed(spaced_seeds.MASKS, *case) for case in ((12, 3), (16, 4), (20, 5))] == [0, 0, 0]
+    for words in range(1, spaced_seeds.SPAN):
+        masks = spaced_seeds.masks_of(words)
+        assert {len(m) for m in masks} == {words} and _missed(masks, words, words // 4) == 0
+
+
+def test_overlaps_are_those_of_all_alignments():
+    """Items of any length, words from a small set, copies of which up to a third is substituted."""
+    dice = np.random.default_rng(8)
+    seen = 0
+    for _ in range(60):
+        items = [dice.integers(0, 40, dice.integers(1, 45)).tolist() for _ in range(6)] + [[1, 1, 1, 1, 1, 2]]
+        texts = [[1] * 30, []]
+        for _ in range(6):
+            copy = [int(w) if dice.random() < dice.choice([0.7, 0.8, 1.0]) else 99 for w in items[dice.integers(6)]]
+            texts.append(dice.integers(0, 40, dice.integers(0, 9)).tolist() + copy + dice.integers(0, 40, dice.integers(0, 9)).tolist())
+        expected = []
+        for t, text in enumerate(texts):
+            for i, item in enumerate(items):
+                for shift in range(1 - len(item), len(text)):
+                    first, last = max(0, -shift), min(len(item), len(text) - shift)
+                    equal = np.array(text[first + shift : last + shift]) == np.array(item[first:last])
+                    for start, end in spaced_seeds._runs(equal, min(spaced_seeds.SPAN, len(item))):
+                        expected.append((t, i, first + start + shift, first + start, end - start, int(equal[start:end].sum())))
+        index = spaced_seeds.build_index([" ".join(map(str, item)) for item in items])
+        assert sorted(spaced_seeds.overlaps([" ".join(map(str, text)) for text in texts], index)) == sorted(expected)
+        seen += len(expected)
+    assert seen > 300
+
+
+def test_leaks_of_short_items_and_in_very_long_texts(spark):
+    docs = documents(spark, ["so one two xx four then", "one two xx yy", prose(60_000, 96) + " a b c d e f X h i", None])
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "A b c d e f g h i")], "item_id long, text string")
+    found = sorted(map(tuple, spaced_seeds.find(docs, bench).collect()))
+    assert found == [(0, 1, 1, 0, 4, 3), (2, 2, 60_000, 0, 9, 8)]
+
+
 def test_leaks_in_blocks_are_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, spaced_seeds.find(docs, bench).collect()))
