@@ -52,12 +52,16 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.n
 
 
 def _usable(batches):
-    """Rows whose vectors have a direction: no NULL, NaN or infinite component, not all zero."""
+    """Rows whose vectors have a direction: no NULL, NaN or infinite component, not all zero.
+
+    Vectors are brought to a largest component between 0.5 and 1 by a power of two, which rounds
+    nothing, so that no sum of squares overflows or vanishes.
+    """
     for batch in batches:
         vectors = [None if v is None else np.asarray(v, dtype=float) for v in batch["_vector"]]
         good = np.array([v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in vectors], bool)
         rows = batch.loc[good, ["_id", "_label"]]
-        kept = [v for v, ok in zip(vectors, good) if ok]
+        kept = [np.ldexp(v, -np.frexp(np.abs(v).max())[1]) for v, ok in zip(vectors, good) if ok]
         yield rows.assign(_bytes=[v.tobytes() for v in kept], _dim=np.array([len(v) for v in kept], np.int32))
 
 
@@ -113,15 +117,15 @@ def link_vectors(
     """(``_id``, ``_links``, ``_component``), one row per input row.
 
     Vectors are compared when their labels are equal and not NULL and they have equally
-    many components. ``_links`` counts the other rows linked directly, ``_component`` is
+    many components, of whatever magnitude. ``_links`` counts the other rows linked directly, ``_component`` is
     the smallest id reachable by links. A vector without a direction (NULL, empty, zero,
     or with a component that is NULL, NaN or infinite) links with nothing. A NULL id is
     larger than all others.
 
     Pivots are a seeded sample of at most MOST_PIVOTS distinct vectors of each of the 16
     most frequent lengths (others share one list), less those too close to another; every
-    vector is indexed. Equal
-    vectors of a label are indexed once. Lists are compared in blocks, whatever their size.
+    vector is indexed. Vectors of a label that are equal, or become so by a power of two,
+    are indexed once. Lists are compared in blocks, whatever their size.
     """
     number = F.coalesce(F.col(vec_id).cast("long"), F.lit(_NO_ID))
     named = rows.select(number.alias("_id"), F.col(label).cast("string").alias("_label"), F.col(vector).alias("_vector"))

@@ -426,6 +426,13 @@ def test_vector_links_match_brute_force(spark):
     assert pivot_index.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_vectors_of_extreme_magnitudes_link(spark):
+    rows = [(k, [x * size for x in (1.0, 2.0, -0.5)], 1) for k, size in enumerate((1.0, 1e180, 3e-180, 1e307, 5e-320, 0.25))]
+    rows.append((9, [1e-200, 1e200, 0.0], 1))
+    found = pivot_index.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, found)) == [(k, 5, 0) for k in range(6)] + [(9, 0, 9)]
+
+
 # --- chat
 
 
