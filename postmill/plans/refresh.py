@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from postmill.functions.features import assemble_features
 from postmill.operators import cleaning, gates, market, trends
 from postmill.plans.publish import publish_run, write_run
+from postmill.session import materialize
 
 
 def clean(raw: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
     """Missing values, dates, salary, then duplicates: shares are taken before deduplication."""
+    # column choices, salary caps and the rows themselves each read the raw postings, which may be a plan of many joins
+    raw = materialize(raw, "raw")
     df, _ = cleaning.handle_missingness(raw)
     df = cleaning.prepare_salary(cleaning.parse_dates(df))
     return cleaning.deduplicate_latest(df, ties=ties)
