@@ -52,8 +52,8 @@ def marker_counts(df: DataFrame, markers: Sequence[str] = UNKNOWN_MARKERS) -> Da
     return df.agg(entries.alias("e")).select(F.explode("e").alias("e")).select("e.*").where(F.col("rows") > 0)
 
 
-def data_health(df: DataFrame, prefix: str = "", notes: Mapping[str, str] = COLUMN_NOTES) -> DataFrame:
-    """B2: one row per column; one wide aggregate, unpivoted afterwards."""
+def _health(df: DataFrame, prefix: str = "", notes: Mapping[str, str] = COLUMN_NOTES) -> Column:
+    """Aggregate: one struct per column with its shares of missing values and markers."""
     entries = []
     for f in df.schema.fields:
         text = isinstance(f.dataType, T.StringType)
@@ -64,7 +64,12 @@ def data_health(df: DataFrame, prefix: str = "", notes: Mapping[str, str] = COLU
             _share(_is_missing(df, f.name)).alias("share_nan"),
             (_share(_is_marker(f.name, UNKNOWN_MARKERS)) if text else F.lit(0.0)).alias("share_unknown_marker"),
         ))
-    long = df.agg(F.array(*entries).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+    return F.array(*entries)
+
+
+def data_health(df: DataFrame, prefix: str = "", notes: Mapping[str, str] = COLUMN_NOTES) -> DataFrame:
+    """B2: one row per column; one wide aggregate, unpivoted afterwards."""
+    long = df.agg(_health(df, prefix, notes).alias("e")).select(F.explode("e").alias("e")).select("e.*")
     effective = F.least(F.col("share_nan") + F.col("share_unknown_marker"), F.lit(1.0))
     coverage = F.greatest(1 - F.col("effective_missing_share"), F.lit(0.0))
     by_coverage = [(F.col("coverage_share") >= lo, bucket, use) for lo, bucket, use in COVERAGE_BUCKETS]
@@ -126,29 +131,32 @@ def to_boolean(df: DataFrame, name: str) -> Column:
     return F.when(text.isin(*TRUE_MARKERS), True).when(text.isin(*FALSE_MARKERS), False)
 
 
+def _all_boolean_like(names: Sequence[str]) -> list[Column]:
+    """Aggregates ``c0``, ``c1``, ...: whether all values of a text column are boolean-like, NULL without values."""
+    allowed = [*TRUE_MARKERS, *FALSE_MARKERS, *UNKNOWN_MARKERS, *BOOL_NULL_TEXTS]
+    return [F.bool_and(F.lower(F.trim(_q(c))).isin(*allowed)).alias(f"c{i}") for i, c in enumerate(names)]
+
+
 def boolean_like_columns(df: DataFrame) -> list[str]:
     """B6 detection: string columns whose every value is boolean-like (one aggregate, one row)."""
     names = columns_of(df, T.StringType)
     if not names:
         return []
-    allowed = [*TRUE_MARKERS, *FALSE_MARKERS, *UNKNOWN_MARKERS, *BOOL_NULL_TEXTS]
-    row = df.agg(*[
-        F.bool_and(F.lower(F.trim(_q(c))).isin(*allowed)).alias(f"c{i}") for i, c in enumerate(names)
-    ]).first()
+    row = df.agg(*_all_boolean_like(names)).first()
     # an all-NULL text column stays text
     return [c for i, c in enumerate(names) if row[f"c{i}"] is True]
 
 
-def coerce_boolean_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
+def coerce_boolean_columns(df: DataFrame, texts: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Prefixed columns and ``salary_gross`` always, text columns when all values allow it.
 
-    Counters that share a prefix (``*_count``) and other numeric columns are left alone.
+    ``texts`` are the boolean-like text columns where they are known already. Counters that share a prefix (``*_count``) and other numeric columns are left alone.
     """
     forced = [
         f.name for f in df.schema.fields
         if (f.name.startswith(tuple(PREFIX_GROUPS)) or f.name == "salary_gross") and not f.name.endswith("_count")
     ]
-    names = list(dict.fromkeys(forced + boolean_like_columns(df)))
+    names = list(dict.fromkeys(forced + (boolean_like_columns(df) if texts is None else list(texts))))
     return df.withColumns({c: to_boolean(df, c) for c in names}), names
 
 
@@ -172,8 +180,14 @@ def fill_counters(df: DataFrame, names: Sequence[str] = ZERO_FILLED) -> DataFram
 def handle_missingness(df: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     """Markers, low information, booleans, categories, counters, in this order."""
     df = standardize_unknown_markers(df)
-    df, dropped, retained = drop_low_information(df)
-    df, booleans = coerce_boolean_columns(df)
+    # both choices read the same rows, so one aggregate serves them
+    texts = columns_of(df, T.StringType)
+    row = df.agg(_health(df).alias("health"), *_all_boolean_like(texts)).first()
+    missing = {e["column"]: min(e["share_nan"] + e["share_unknown_marker"], 1.0) for e in row["health"]}
+    low = sorted((c for c, share in missing.items() if share >= LOW_INFORMATION_SHARE), key=lambda c: (-missing[c], c))
+    dropped, retained = [c for c in low if c not in BUSINESS_COLUMNS], [c for c in low if c in BUSINESS_COLUMNS]
+    df, booleans = coerce_boolean_columns(
+        df.drop(*dropped), [c for i, c in enumerate(texts) if row[f"c{i}"] is True and c not in dropped])
     return fill_counters(fill_categorical(df)), {"dropped": dropped, "retained": retained, "boolean": booleans}
 
 
