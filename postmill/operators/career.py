@@ -72,7 +72,8 @@ def career_nodes(df: DataFrame, roles: Sequence[str] | None = None, top_n: int =
     if roles is None:
         rows = rows.where(F.col("role").isNotNull()).drop("_label")
     else:
-        rows = rows.drop("role").join(_requested(df, roles), "_label").drop("_label")
+        # as many rows as labels that answer the given roles; the rows of a frequent label stay in their own tasks
+        rows = rows.drop("role").join(F.broadcast(_requested(df, roles)), "_label").drop("_label")
     keys = ["role", "grade", "grade_rank"]
     sums, names = top_skill_names(rows, keys, skills, top_n)
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("vacancy_count"), *sums)
