@@ -149,6 +149,13 @@ def posting_serving_rows(features: DataFrame, ordinal: Sequence[Column], run_id:
     )
 
 
+def _differing(fields: Sequence[str]) -> Column:
+    """Names of the fields in which the structs ``_old`` and ``_new`` differ."""
+    return F.array_compact(F.array(*[
+        F.when(~F.col(f"_old.{f}").eqNullSafe(F.col(f"_new.{f}")), F.lit(f)) for f in fields
+    ]))
+
+
 def reconcile(
     existing: DataFrame, incoming: DataFrame, key: str = "hh_vacancy_id", fields: Sequence[str] = COMPARED_FIELDS
 ) -> DataFrame:
@@ -157,9 +164,7 @@ def reconcile(
     old = existing.select(F.col(key), F.struct(*present).alias("_old"))
     new = incoming.select(F.col(key), F.struct(*present).alias("_new"))
     both = old.join(new, key, "full")
-    differing = F.array_compact(F.array(*[
-        F.when(~F.col(f"_old.{f}").eqNullSafe(F.col(f"_new.{f}")), F.lit(f)) for f in present
-    ]))
+    differing = _differing(present)
     action = (
         F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete")
         .when(F.size(differing) > 0, "update").otherwise("unchanged"))
@@ -181,12 +186,15 @@ def apply_reconciliation(existing: DataFrame, incoming: DataFrame, key: str = "h
     """H5: the table after reconciliation is the incoming one; ids keep their first-seen index time.
 
     ``existing`` carries indexed_at; unchanged rows keep it, others take the incoming one.
+    Ids are unique, as in ``reconcile``. Both tables are read once: an incoming row is unchanged when the
+    existing row of its id differs in no compared field, and deleted ids have no incoming row.
     """
-    actions = reconcile(existing, incoming, key).select(key, "action")
-    kept = existing.select(key, F.col("indexed_at").alias("_was"))
-    out = incoming.join(actions, key).join(kept, key, "left")
-    when = F.when(F.col("action") == "unchanged", F.col("_was")).otherwise(F.col("indexed_at"))
-    return out.withColumn("indexed_at", when).drop("action", "_was")
+    present = [f for f in COMPARED_FIELDS if f in existing.columns and f in incoming.columns]
+    old = existing.select(key, F.struct(*present).alias("_old"), F.col("indexed_at").alias("_was"))
+    both = incoming.where(F.col(key).isNotNull()).withColumn("_new", F.struct(*present)).join(old, key, "left")
+    unchanged = F.col("_old").isNotNull() & (F.size(_differing(present)) == 0)
+    when = F.when(unchanged, F.col("_was")).otherwise(F.col("indexed_at"))
+    return both.withColumn("indexed_at", when).drop("_old", "_new", "_was")
 
 
 def day_metadata(df: DataFrame, day: str, limit_per_day: int, max_unknown: float = 0.05, max_outside: float = 0.0) -> DataFrame:
