@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.columns import SALARY_COLUMNS, any_of, first_existing, flag, wide_to_long
+from postmill.functions.columns import GRADE_COLUMNS, SALARY_COLUMNS, any_of, first_existing, flag, wide_to_long
 from postmill.functions.normalize import ID_ALIASES, canonical_key, first_date
 from postmill.session import materialize
 
@@ -110,7 +110,11 @@ def processed_gates(
     features: DataFrame, view: DataFrame, thresholds: Mapping[str, float] | None = None
 ) -> DataFrame:
     """G1: ten gate rows (name, passed, value, threshold)."""
-    t = _thresholds(thresholds)
+    return _rows_of(processed_metrics(features, view), _gates(features, _thresholds(thresholds)))
+
+
+def _gates(features: DataFrame, t: Mapping[str, float]) -> list[Column]:
+    """The ten gates over a row of metrics of the table."""
     missing = [c for c in REQUIRED_COLUMNS if c not in features.columns]
     missing += [] if first_existing(features, *ID_ALIASES) else ["id"]
     c = F.col
@@ -118,7 +122,7 @@ def processed_gates(
     def at_most(name: str, limit: str) -> Column:
         return _gate(name, c(name) <= t[limit], c(name), t[limit])
 
-    return _rows_of(processed_metrics(features, view), [
+    return [
         _gate("non_empty_features", c("features_rows") > 0, c("features_rows"), 0),
         _gate("min_rows", c("features_rows") >= t["min_rows"], c("features_rows"), t["min_rows"]),
         _gate("required_columns", F.lit(not missing), F.lit(len(missing)), 0),
@@ -131,7 +135,7 @@ def processed_gates(
         at_most("unknown_work_mode_share", "max_unknown_work_mode_share"),
         _gate("min_market_view_rows", c("market_view_rows") >= t["min_market_view_rows"], c("market_view_rows"),
               t["min_market_view_rows"]),
-    ])
+    ]
 
 
 def gate_status(gates: DataFrame, good: str = "passed", bad: str = "failed") -> DataFrame:
@@ -194,17 +198,27 @@ def publication_range(features: DataFrame) -> DataFrame:
         F.date_format(F.max(day), "yyyy-MM-dd").alias("observed_published_at_to"))
 
 
+# all that the metrics, segments and periods of a table look at
+_GATE_COLUMNS = {
+    *ID_ALIASES, *SALARY_COLUMNS, *SEGMENT_COLUMNS, *GRADE_COLUMNS, "salary_known", "salary_from", "salary_to",
+    "published_at_iso", "published_at",
+}
+
+
 def trend_gate(
     features: DataFrame, view: DataFrame, lineage: DataFrame, thresholds: Mapping[str, float] | None = None
 ) -> DataFrame:
     """Eight criteria. ``lineage`` is one row with dataset_semantic_type,
     date_semantics_status and source_supported."""
     t = _thresholds(thresholds)
-    metrics = processed_metrics(features, view)
-    quality = gate_status(processed_gates(features, view, thresholds)).select(F.col("status").alias("quality_status"))
+    # metrics, segments and periods read the same few columns, so the table's plan runs once
+    read = [c for c in features.columns if c in _GATE_COLUMNS]
+    rows = materialize(features.select(*read), "gate-rows") if read else features
+    gates = F.array(*_gates(features, t))
+    quality = F.when(F.exists(gates, lambda g: ~g["passed"]), "failed").otherwise("passed")
     one = (
-        metrics.join(quality).join(segment_status(segment_quality(features, thresholds)))
-        .join(observed_periods(features)).join(lineage)
+        processed_metrics(rows, view).withColumn("quality_status", quality)
+        .join(segment_status(segment_quality(rows, thresholds))).join(observed_periods(rows)).join(lineage)
     )
     c = F.col
 
