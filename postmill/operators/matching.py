@@ -76,7 +76,7 @@ def _masked(fields: Sequence[tuple[str, str]], mask: Column, side: int, form: Ca
 
 def newest_per_profile(
     profiles: DataFrame, postings: DataFrame, fields: Sequence[tuple[str, str]], key: str, order: Sequence[Column], n: int,
-    form: Callable[[Column], Column] = norm,
+    form: Callable[[Column], Column] = norm, prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(profile, posting) rows: the ``n`` first postings by ``order`` that equal all set fields of a profile.
 
@@ -85,6 +85,9 @@ def newest_per_profile(
     ``n`` is the page size of the feature. The first ``n`` of a coarse group are
     among the first ``n`` of its full combinations, so reducing those first
     loses nothing; ``row_number`` limits run before each shuffle.
+
+    With ``prepare``, which adds columns to the page's rows, the page goes to all tasks and profiles are
+    spread by ``key``, not by their fields: for fields with few values, where most profiles share a group.
     """
     fields = [(t, p) for t, p in fields if p in postings.columns and t in profiles.columns]
     asked = profiles.withColumn("_mask", _set_mask(fields, form))
@@ -101,6 +104,9 @@ def newest_per_profile(
     page = repeated.withColumn("position", F.row_number().over(within)).where(F.col("position") <= n)
     page = page.withColumnsRenamed({c: f"posting_{c}" for c in postings.columns})
     mine = asked.withColumn("_group", _masked(fields, F.col("_mask"), 0, form)).drop("_mask")
+    if prepare is not None:
+        # at most n rows per combination of the fields' values
+        mine, page = mine.repartition(key), F.broadcast(prepare(page))
     return mine.join(page, "_group").drop("_group")
 
 
@@ -124,9 +130,8 @@ def _skill_keys(skills: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(skills, norm), lambda s: s != ""))
 
 
-def _originals(keys: Column, skills: Column) -> Column:
+def _originals(keys: Column, skills: Column, normalized: Column) -> Column:
     """First spelling of each key."""
-    normalized = F.transform(skills, norm)
     return F.transform(keys, lambda k: F.element_at(skills, F.array_position(normalized, k).cast("int")))
 
 
@@ -145,6 +150,16 @@ def plan_relevance(actions: Column, posting_skills: Column, title: Column, some_
         .when(saved.isNotNull(), F.struct(F.lit("saved").alias("kind"), saved["title"].alias("action_title"))))
 
 
+def _with_own(profiles: DataFrame) -> DataFrame:
+    return profiles.withColumn("_own", _skill_keys(F.coalesce("current_skills", F.array().cast("array<string>"))))
+
+
+def _with_keys(postings: DataFrame) -> DataFrame:
+    offered = F.coalesce("posting_skills", F.array().cast("array<string>"))
+    return postings.withColumn("_offered", offered).withColumns({
+        "_keys": _skill_keys(F.col("_offered")), "_spelled": F.transform("_offered", norm)})
+
+
 def match_score(pairs: DataFrame, skill: str | None = None) -> DataFrame:
     """I2-I4 over (profile, posting) rows.
 
@@ -154,18 +169,18 @@ def match_score(pairs: DataFrame, skill: str | None = None) -> DataFrame:
     """
     empty = F.array().cast("array<string>")
     pairs = pairs.withColumns({t: F.lit(None).cast("string") for t, _ in SEARCH_FIELDS if t not in pairs.columns} or {})
-    pairs = pairs.withColumns({
-        "_offered": F.coalesce("posting_skills", empty), "_own": _skill_keys(F.coalesce("current_skills", empty)),
-    }).withColumn("_keys", _skill_keys(F.col("_offered")))
+    # where profiles and postings were paired many times, each side has its own columns already
+    pairs = pairs if "_own" in pairs.columns else _with_own(pairs)
+    pairs = pairs if "_keys" in pairs.columns else _with_keys(pairs)
     wanted = F.lit((skill or "").strip().lower())
     asked = (wanted != "") & F.array_contains("_keys", wanted)
     common = F.array_intersect("_keys", "_own")
     pairs = pairs.withColumn("_common", F.array_sort(F.when(asked, F.array_union(common, F.array(wanted))).otherwise(common)))
     has_own = F.size("_own") > 0
     pairs = pairs.withColumns({
-        "matched_skills": F.slice(_originals(F.col("_common"), F.col("_offered")), 1, SHOWN_SKILLS),
+        "matched_skills": F.slice(_originals(F.col("_common"), F.col("_offered"), F.col("_spelled")), 1, SHOWN_SKILLS),
         "missing_skills": F.when(has_own, F.slice(
-            _originals(F.array_except("_keys", "_own"), F.col("_offered")), 1, SHOWN_SKILLS)).otherwise(empty),
+            _originals(F.array_except("_keys", "_own"), F.col("_offered"), F.col("_spelled")), 1, SHOWN_SKILLS)).otherwise(empty),
     })
     some = (F.size("matched_skills") > 0) | (F.size("missing_skills") > 0)
     actions = F.col("open_actions") if "open_actions" in pairs.columns else F.lit(None).cast(
@@ -195,7 +210,7 @@ def match_score(pairs: DataFrame, skill: str | None = None) -> DataFrame:
     level = first_match([(F.col("match_score") >= n, label) for n, label in LEVELS], "low")
     return pairs.withColumn("match_score", score).withColumn(
         "match_level", F.when(F.col("match_score").isNull(), "unknown").otherwise(level)
-    ).drop("_offered", "_own", "_keys", "_common")
+    ).drop("_offered", "_own", "_keys", "_spelled", "_common")
 
 
 def match_profiles(profiles: DataFrame, postings: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -205,7 +220,8 @@ def match_profiles(profiles: DataFrame, postings: DataFrame, limit: int = 20, of
     ``rank`` orders the page's own rows by score.
     """
     order = [F.desc_nulls_last("published_at"), F.col("hh_vacancy_id")]
-    pairs = newest_per_profile(profiles, postings, SEARCH_FIELDS[:2], "user_id", order, offset + limit)
+    pairs = newest_per_profile(
+        _with_own(profiles), postings, SEARCH_FIELDS[:2], "user_id", order, offset + limit, prepare=_with_keys)
     scored = match_score(pairs.where(F.col("position") > offset))
     best = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("match_score"), "position")
     return scored.withColumn("rank", F.row_number().over(best))
