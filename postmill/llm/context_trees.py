@@ -22,6 +22,7 @@ from postmill.session import materialize
 
 DEPTH = 4  # bytes of context; seven at most, so that a gram is a 64-bit number
 HEAD = 1 << 19  # words, and grams, that tasks hold at most: the most frequent ones; the others are joined
+PIECE = 1 << 18  # characters of text that a task works on at a time
 END = 0xFF  # never a byte of UTF-8
 
 _HALF = math.log(0.5)
@@ -113,7 +114,7 @@ def _counts(depth: int):
         held: dict[int, list] = {0: [], 1: []}
         texts = learned_texts = 0
         for batch in batches:
-            for piece in pieces(batch, "_text"):
+            for piece in pieces(batch, "_text", PIECE):
                 learn = piece["_learn"].to_numpy(dtype=bool)
                 texts, learned_texts = texts + len(learn), learned_texts + int(learn.sum())
                 for kind, (key, owner) in ((0, grams(piece["_text"].tolist(), depth)), (1, words(piece["_text"].tolist()))):
@@ -122,7 +123,7 @@ def _counts(depth: int):
                     learned = np.zeros(len(all_), np.int64)
                     learned[np.searchsorted(all_, seen)] = m
                     held[kind].append((all_, learned, n))
-                    if sum(len(h[0]) for h in held[kind]) > 1 << 21:
+                    if sum(len(h[0]) for h in held[kind]) > 1 << 20:
                         held[kind] = [merged(held[kind])]
         for kind, parts in held.items():
             if parts:
@@ -326,7 +327,7 @@ def score(docs: DataFrame, learn: Column, keep: Sequence[str], text: str = "text
     @F.pandas_udf(_SUMS)
     def sums(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            parts = [_sums(p["_text"].tolist(), depth, *shared.value, total) for p in pieces(batch.to_frame("_text"), "_text", 1 << 22)]
+            parts = [_sums(p["_text"].tolist(), depth, *shared.value, total) for p in pieces(batch.to_frame("_text"), "_text", PIECE)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[f.split()[0] for f in _SUMS.split(", ")])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, F.col(text).alias("_text"))
