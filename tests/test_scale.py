@@ -153,3 +153,18 @@ def test_report_computes_the_analysis_once(rows):
 
 def test_context_trees_take_texts_in_small_pieces():
     assert context_trees.PIECE <= 1 << 18
+
+
+def test_resource_lists_meet_each_skill_once(rows, monkeypatch):
+    from postmill.sources import exports
+
+    met, attach = [], exports.attach_resources
+    monkeypatch.setattr(exports, "attach_resources", lambda skills, resources: met.append(skills) or attach(skills, resources))
+    analysis = rows("persona_id int, recommended_skills array<string>",
+                    (1, ["skill_sql", "has_git"]), (2, [" Has_GIT", "none"]), (3, ["has_sql", None]), (3, ["git"]), (4, None), (None, ["sql"]))
+    resources = rows("skill string, title string, url string, type string", ("sql", "t", "u", "x"), ("has_git", "t", "u", "x"), ("Git ", "v", "u", "x"))
+    got = sorted((r["persona_id"] or 0, r["recommended_skills"], r["skill_resources"])
+                 for r in persona.persona_report(analysis, resources).collect())
+    assert got == [(0, ["sql"], []), (1, ["sql", "git"], ["sql:1", "git:2"]), (2, ["git", "none"], ["git:2"]),
+                   (3, ["git"], ["git:2", "sql:1"]), (3, ["sql", None], ["git:2", "sql:1"]), (4, None, [])]
+    assert [sorted(r["skill"] or "" for r in skills.collect()) for skills in met] == [["", "git", "none", "sql"]]
