@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.session import shuffles_removed
+
 
 class GateFailed(RuntimeError):
     """The run did not pass its gates; the previous run stays the latest one."""
@@ -24,7 +26,8 @@ def write_run(tables: Mapping[str, DataFrame], root: str, run_id: str) -> dict[s
     """Write each table of the run and return it as read back, so later steps do not recompute it."""
     out = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(run_path(root, name, run_id))
+        with shuffles_removed(df.sparkSession):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(run_path(root, name, run_id))
         out[name] = df.sparkSession.read.parquet(run_path(root, name, run_id))
     return out
 

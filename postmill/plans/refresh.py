@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from postmill.functions.features import assemble_features
 from postmill.operators import cleaning, gates, market, trends
 from postmill.plans.publish import publish_run, write_run
-from postmill.session import materialize
+from postmill.session import forget, materialize
 
 
 def clean(raw: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
     """Missing values, dates, salary, then duplicates: shares are taken before deduplication."""
     # column choices, salary caps and the rows themselves each read the raw postings, which may be a plan of many joins
-    raw = materialize(raw, "raw")
+    return _cleaned(materialize(raw, "raw"), ties)
+
+
+def _cleaned(raw: DataFrame, ties: tuple[Column, ...]) -> DataFrame:
     df, _ = cleaning.handle_missingness(raw)
     df = cleaning.prepare_salary(cleaning.parse_dates(df))
     return cleaning.deduplicate_latest(df, ties=ties)
@@ -31,7 +34,9 @@ def refresh(
 ) -> dict[str, DataFrame]:
     """All tables of one run; the latest pointer moves when the gates pass."""
     spark = raw.sparkSession
-    done = write_run({"clean": clean(raw, ties)}, root, run_id)
+    raw = materialize(raw, "raw")
+    done = write_run({"clean": _cleaned(raw, ties)}, root, run_id)
+    forget(raw)
     done |= write_run({"features": assemble_features(done["clean"])}, root, run_id)
     done |= write_run({"market_view": market.market_view(done["features"])}, root, run_id)
     done |= write_run({"weekly_snapshot": trends.weekly_snapshot(done["features"], week)}, root, run_id)

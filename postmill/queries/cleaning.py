@@ -24,12 +24,20 @@ RAW_SQL = """SELECT vacancy_id, ordinal,
   FROM postings"""
 
 
+RAW_COLUMNS = [
+    "vacancy_id", "ordinal", "city_tier", "title", "quantity", "work_mode", "is_remote", "domain",
+    "is_junior_friendly", "tech_stack_size", "salary_mid_rub_capped", "currency", "published_at", "scraped_at",
+]
+
+
 def raw_rows(t):
+    return as_raw(t.postings(*RAW_COLUMNS))
+
+
+def as_raw(rows, *kept):
+    """Rows with RAW_COLUMNS made to look raw; ``kept`` come along."""
     q = F.col("quantity")
-    return t.postings(
-        "vacancy_id", "ordinal", "city_tier", "title", "quantity", "work_mode", "is_remote", "domain",
-        "is_junior_friendly", "tech_stack_size", "salary_mid_rub_capped", "currency", "published_at", "scraped_at",
-    ).select(
+    return rows.select(
         "vacancy_id", "ordinal",
         F.when(F.col("city_tier") == "KZ/Other", " Unknown ").when(F.col("city_tier") == "SPb", "N/A")
         .otherwise(F.col("city_tier")).alias("city_tier"),
@@ -42,7 +50,7 @@ def raw_rows(t):
         .alias("accepts_handicapped"),
         F.when(q % 2 == 0, F.col("tech_stack_size")).alias("metro_count"),
         F.col("salary_mid_rub_capped").alias("salary_mid"), "currency",
-        F.col("published_at").alias("published_at_iso"), F.col("scraped_at").alias("scraped_at_utc"),
+        F.col("published_at").alias("published_at_iso"), F.col("scraped_at").alias("scraped_at_utc"), *kept,
     )
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postmill.operators import deltas
 from postmill.plans import publish, refresh
-from postmill.queries.cleaning import RAW_SQL, raw_rows
+from postmill.queries.cleaning import RAW_COLUMNS, RAW_SQL, as_raw, raw_rows
 from postmill.queries.deltas import SIDES, delta
 from postmill.queries.registry import query
 from postmill.queries.trends import HISTORY_SQL, history
@@ -183,11 +184,22 @@ def _(t):
     return t.spark.read.schema(manifest.schema).json(path)
 
 
+def raw_postings(t):
+    """Raw rows, each joined to the title, city and work mode of every posting with its id and ordinal.
+
+    An ordinal holds the key of its order, so postings that are dealt by their order need not be dealt again to meet.
+    """
+    rows = t.postings(*RAW_COLUMNS, "city", by_order=True).where(F.col("vacancy_id").isNotNull() & F.col("ordinal").isNotNull())
+    same = Window.partitionBy("_order", "vacancy_id", "ordinal")
+    rows = rows.withColumn("_met", F.collect_list(F.struct("title", "city", "work_mode")).over(same))
+    return as_raw(rows, F.explode("_met").alias("_met")).select("*", "_met.*").drop("_met")
+
+
 @query("refresh_run", f"""SELECT 'latest' AS section, 'run-2' AS name, count(DISTINCT vacancy_id) AS rows FROM postings
   UNION ALL SELECT 'gates', 'passed', 10 FROM (SELECT count(*) FROM postings)""")
 def _(t):
     root = shared_dir(t.spark, "runs")
-    raw = raw_rows(t).join(t.postings("vacancy_id", "ordinal", "title", "city", "work_mode"), ["vacancy_id", "ordinal"]).drop("rare_note", "schedule")
+    raw = raw_postings(t).drop("rare_note", "schedule")
     raw = raw.withColumns({"work_format": F.col("work_mode"), "experience": F.lit("1-3"), "primary_role": F.lit("x")}).drop("work_mode", "primary_role")
     done = refresh.refresh(raw, root, "run-2", F.lit("2024-02-15").cast("date"), {"max_unknown_role_share": 1.0}, (F.col("ordinal"),))
     latest = publish.read_latest(t.spark, root, "features").agg(F.count(F.lit(1)).alias("rows"))

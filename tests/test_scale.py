@@ -1,10 +1,13 @@
 """Work that must not be repeated or meet in one task, seen in plans and on small rows."""
 
 import datetime as dt
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from postmill import session
 from postmill.llm import context_trees
 from postmill.operators import career, cleaning, deltas, gates, matching, persona
 from postmill.plans import refresh
@@ -168,3 +171,72 @@ def test_resource_lists_meet_each_skill_once(rows, monkeypatch):
     assert got == [(0, ["sql"], []), (1, ["sql", "git"], ["sql:1", "git:2"]), (2, ["git", "none"], ["git:2"]),
                    (3, ["git"], ["git:2", "sql:1"]), (3, ["sql", None], ["git:2", "sql:1"]), (4, None, [])]
     assert [sorted(r["skill"] or "" for r in skills.collect()) for skills in met] == [["", "git", "none", "sql"]]
+
+
+def write_tables(spark, path):
+    day = dt.datetime(2001, 6, 1)
+    line = """l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double,
+      l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"""
+    lines = [(k, n, 1 + n % 2, 1, 5.0, 10.0 * n, 0.1, 0.01, "A", day) for k in (1, 2) for n in (1, 2)]
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "R")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (9, "M", 0)]),
+        # a customer that occurs twice, two orders without one, an order without a key
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string", [(2, 0, "BUILDING"), (2, 9, "HOUSEHOLD"), (3, 9, None)]),
+        "supplier": ("s_suppkey long, s_name string, s_acctbal double", [(1, "s", 1.0)]),
+        "part": ("p_partkey long, p_name string, p_type string, p_size int", [(1, "red ring", "LARGE", 1), (2, None, "SMALL", 7)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp", [
+            (1, 2, "2-HIGH", day), (2, 3, "3-MEDIUM", None), (3, 7, "5-LOW", day), (None, 3, "5-LOW", day), (4, None, "5-LOW", day), (5, 3, None, day)]),
+        # lines that come twice or thrice, two orders with one id, lines that miss a key or other values
+        "lineitem": (line, [*lines, lines[0], lines[0], lines[3], (1, 12, 1, 1, 5.0, 10.0, 0.1, 0.01, "A", day),
+                            (None, 1, 1, 1, 5.0, 10.0, 0.1, 0.01, "R", day), (5, None, 1, 1, 5.0, 10.0, 0.1, 0.01, "R", day),
+                            (5, 3, 2, None, None, None, None, None, None, None), (3, 1, 1, 1, 5.0, 10.0, 0.1, 0.01, "A", day)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_refresh_pairs_its_postings_without_a_second_read(spark, tmp_path, no_broadcast):
+    from postmill.queries import cleaning as raw_queries
+    from postmill.queries import sources
+
+    write_tables(spark, str(tmp_path))
+    t = registry.Tables(spark, str(tmp_path))
+    got = sources.raw_postings(t)
+    want = raw_queries.raw_rows(t).join(t.postings("vacancy_id", "ordinal", "title", "city", "work_mode"), ["vacancy_id", "ordinal"])
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    steps = plan(sources.raw_postings(t)).split("== Physical Plan ==")[1]
+    assert steps.count("FileScan parquet [l_") == 1
+    # by part and by order; neither to meet the customers nor to meet each other
+    assert steps.count("Exchange hashpartitioning(l_") == 2 and steps.count("Exchange hashpartitioning(vacancy_id") == 0
+
+
+def test_refresh_leaves_no_raw_rows(spark, tmp_path, monkeypatch):
+    from postmill.queries import sources
+
+    write_tables(spark, str(tmp_path))
+    raw = sources.raw_postings(registry.Tables(spark, str(tmp_path))).withColumn("primary_role", F.lit("x"))
+    paths, folder = {}, session.shared_dir
+    monkeypatch.setattr(session, "shared_dir", lambda spark, purpose: paths.setdefault(purpose, folder(spark, purpose)))
+    done = refresh.refresh(raw, f"{tmp_path}/runs", "run-1", F.lit("2024-02-15").cast("date"), ties=(F.col("ordinal"),), publish=False)
+    assert [done[k].count() for k in ("clean", "features")] == [raw.select("vacancy_id").distinct().count()] * 2
+    path = Path(paths["raw"].removeprefix("file:"))
+    assert path.parent.exists() and not path.exists()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    local = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffles():
+        return {f.name for d in local for f in d.glob("*/shuffle_*.data")}
+
+    before = shuffles()
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(r["n"] for r in session.materialize(counted, "counted").collect()) == [142] + [143] * 6
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    # the plan itself can run again
+    assert counted.count() == 7
