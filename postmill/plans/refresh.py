@@ -19,7 +19,7 @@ from postmill.session import forget, materialize
 def clean(raw: DataFrame, ties: tuple[Column, ...] = ()) -> DataFrame:
     """Missing values, dates, salary, then duplicates: shares are taken before deduplication."""
     # column choices, salary caps and the rows themselves each read the raw postings, which may be a plan of many joins
-    return _cleaned(materialize(raw, "raw"), ties)
+    return _cleaned(materialize(raw, "raw", "zstd"), ties)
 
 
 def _cleaned(raw: DataFrame, ties: tuple[Column, ...]) -> DataFrame:
@@ -34,7 +34,7 @@ def refresh(
 ) -> dict[str, DataFrame]:
     """All tables of one run; the latest pointer moves when the gates pass."""
     spark = raw.sparkSession
-    raw = materialize(raw, "raw")
+    raw = materialize(raw, "raw", "zstd")
     done = write_run({"clean": _cleaned(raw, ties)}, root, run_id)
     forget(raw)
     done |= write_run({"features": assemble_features(done["clean"])}, root, run_id)
